@@ -25,9 +25,45 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillrank.llm import toxicity
+
+    return toxicity.score(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillrank.llm import rules
+
+    return rules.decide(_documents(spark, sf_dir))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillrank.llm import quality
+
+    return quality.score(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillrank.llm import langid
+
+    return langid.identify(_documents(spark, sf_dir))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillrank.llm import mixing
+
+    return mixing.mix(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quillrank.llm import mixing, rules
+
+    return {"op7_quality_rules": rules.SQL, "op10_source_mixing": mixing.SQL}
