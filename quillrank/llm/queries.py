@@ -17,6 +17,12 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.decode(media.encode(_documents(spark, sf_dir))))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillrank.llm import linededup
+
+    return linededup.dedup(_documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,6 +70,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from quillrank.llm import mixing, rules
+    from quillrank.llm import linededup, mixing, rules
 
-    return {"op7_quality_rules": rules.SQL, "op10_source_mixing": mixing.SQL}
+    return {"op4_line_dedup": linededup.SQL, "op7_quality_rules": rules.SQL, "op10_source_mixing": mixing.SQL}
