@@ -12,7 +12,10 @@ once for each row; a null doc_id is kept; other columns are ignored, whatever th
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,33 +26,56 @@ from pyspark.sql import functions as F
 from quillrank.llm.common import steps
 
 CAPACITY = 4096
-#: Words that a worker remembers with their ids; beyond it the memory starts anew.
-MEMORY = 200_000
-_CACHE: dict[str, tuple] = {}
+#: Words that each of a worker's two generations of memory holds.
+MEMORY = 250_000
+_CACHE: dict[tuple, "WordIds"] = {}
+assert sys.byteorder == "little" and array("I").itemsize == 4
+
+
+class Recent:
+    """A bounded memory of two generations: what is used stays, what isn't used while ``size`` others are goes."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that aren't held; all others are in young afterwards."""
+        if len(self.young) + len(keys) > self.size:
+            self.old, self.young = self.young, {}
+        away = keys.difference(self.young)
+        found = away.intersection(self.old)
+        self.young.update((k, self.old[k]) for k in found)
+        return list(away - found)
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer whose pre-tokenizer drops white space, so that the words between ASCII white space can be encoded each once and joined: no normal form and no pattern reaches across a space."""
+    """Ids of whole texts by a tokenizer whose pre-tokenizer drops white space and parts letters from signs, and whose normal form is lower case.
+
+    Words between ASCII white space are encoded each once and joined: no normal form and no pattern reaches across a
+    space, nor from an ASCII letter into the full stop or comma that ends a word, which is therefore a word of its own.
+    """
+
+    END = re.compile(rb"(?<=[a-z])(?=[.,](?:\s|$))")
 
     def __init__(self, path: str, closing: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.closing, self.known = Tokenizer.from_file(path), np.array([closing], "<u4").tobytes(), {}
+        self.tokenizer, self.closing = Tokenizer.from_file(path), np.array([closing], "<u4").tobytes()
+        self.words = Recent(MEMORY)
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        new = self.words.missing(words)
+        for k in range(0, len(new), 4096):
+            part = new[k : k + 4096]
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            self.words.young.update(zip(part, [array("I", e.ids).tobytes() for e in found], strict=True))
+        return self.words.young
 
-    def raw(self, text: bytes | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers, the closing one last."""
-        words = (text or b"").split()
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = list(set(words))
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
-        return b"".join([known[w] for w in words]) + self.closing
+    def raw(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers, the closing one last."""
+        split = [self.END.sub(b" ", (t or b"").lower()).split() for t in texts]
+        known = self.learn(set().union(*split))
+        return [b"".join([known[w] for w in words]) + self.closing for words in split]
 
 
 def lengths(total: int, capacity: int = CAPACITY) -> list[int]:
@@ -80,8 +106,7 @@ def pack(docs: DataFrame, tokenizer_path: str, closing_id: int = 2, capacity: in
         for batch in batches:
             for part in steps(batch):
                 rows: list[list] = [[] for _ in schema]
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                    raw = encoder.raw(text)
+                for doc_id, raw in zip(part.column("doc_id").to_pylist(), encoder.raw(part.column("text").cast(pa.binary()).to_pylist()), strict=True):
                     start, total = 0, len(raw) // 4
                     for n in lengths(total, capacity):
                         piece = raw[4 * start : 4 * (start + n)]
