@@ -30,11 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return top
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as a Parquet table in the shared folder and reads it back."""
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Cuts lineage: writes df as a Parquet table in the shared folder and reads it back.
+
+    free: lets the driver's JVM collect its garbage, so that the shuffle files behind a large df go at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if free:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,6 +54,22 @@ def steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatc
         at = to
 
 
+class Recent:
+    """A bounded memory of two generations: what is used stays, what isn't used while ``size`` others are goes."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that aren't held; all others are in young afterwards."""
+        if len(self.young) + len(keys) > self.size:
+            self.old, self.young = self.young, {}
+        away = keys.difference(self.young)
+        found = away.intersection(self.old)
+        self.young.update((k, self.old[k]) for k in found)
+        return list(away - found)
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

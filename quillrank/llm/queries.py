@@ -11,6 +11,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillrank.llm import ngramjoin
+
+    return ngramjoin.similar(_documents(spark, sf_dir))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillrank.llm import media
 
