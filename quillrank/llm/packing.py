@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import steps
+from quillrank.llm.common import Recent, steps
 
 CAPACITY = 4096
 #: Words that each of a worker's two generations of memory holds.
@@ -32,22 +32,6 @@ _CACHE: dict[tuple, "WordIds"] = {}
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
 
-class Recent:
-    """A bounded memory of two generations: what is used stays, what isn't used while ``size`` others are goes."""
-
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
-
-    def missing(self, keys: set) -> list:
-        """The keys that aren't held; all others are in young afterwards."""
-        if len(self.young) + len(keys) > self.size:
-            self.old, self.young = self.young, {}
-        away = keys.difference(self.young)
-        found = away.intersection(self.old)
-        self.young.update((k, self.old[k]) for k in found)
-        return list(away - found)
-
-
 class WordIds:
     """Ids of whole texts by a tokenizer whose pre-tokenizer drops white space and parts letters from signs, and whose normal form is lower case.
 
