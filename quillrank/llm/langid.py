@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import fold, sampled_ids, steps
+from quillrank.shipping import ship
 
 UNKNOWN = "und"
 #: Learned from at most so many documents of each language, and so many words of each.
@@ -216,6 +217,7 @@ def train(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of every row; no shuffle."""
+    ship(docs.sparkSession)
     held, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # DIMS x K numbers, whatever the input's size
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -243,6 +245,7 @@ def filtered(docs: DataFrame) -> DataFrame:
     The label goes by the text, so the rows are labelled with their columns beside them rather than joined.
     """
     model = train(docs, fold(F.col("doc_id"), 4) != 2)
+    ship(docs.sparkSession)
     held, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     at = docs.columns.index("text")
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import steps
+from quillrank.shipping import ship
 
 WIDTH, CHANNELS = 64, 3
 ROW = WIDTH * CHANNELS
@@ -165,6 +166,7 @@ def encode(docs: DataFrame) -> DataFrame:
                 texts = part.column("text").cast(pa.binary()).to_pylist()
                 yield pa.record_batch([part.column("doc_id"), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array([to_png(payload(t)) for t in texts], pa.binary())], schema=schema)
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
@@ -186,6 +188,7 @@ def decode(media: DataFrame) -> DataFrame:
                 found = list(zip(*map(read, part.column("media").to_pylist()), strict=True))
                 yield pa.record_batch([*(part.column(c) for c in ("doc_id", "n_bytes", "media")), *(pa.array(list(x), t) for x, (_, t) in zip(found, kinds[3:], strict=True))], schema=schema)
 
+    ship(media.sparkSession)
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, cosine binary, fault string")
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import Recent, steps, written
+from quillrank.shipping import ship
 
 #: Words of a shingle; two texts link when 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 75
@@ -89,6 +90,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(part.column("text").cast(pa.binary()).to_pylist())
                 yield pa.record_batch([part.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary())], schema=schema)
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary")
 
 
@@ -157,6 +159,7 @@ def _dealt(docs: DataFrame, lists: int) -> DataFrame:
                     if step:
                         yield _batch(list(rows_of(step)))
 
+    ship(docs.sparkSession)
     return docs.select("text").mapInArrow(run, PACKED)
 
 

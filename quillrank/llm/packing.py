@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import Recent, steps
+from quillrank.shipping import ship
 
 CAPACITY = 4096
 #: Words that each of a worker's two generations of memory holds.
@@ -99,6 +100,7 @@ def pack(docs: DataFrame, tokenizer_path: str, closing_id: int = 2, capacity: in
                         start += n
                 yield pa.record_batch([pa.array(c, t.type) for c, t in zip(rows, schema, strict=True)], schema=schema)
 
+    ship(docs.sparkSession)
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
     return pieces.withColumns({"bucket": F.round(F.log2("length")).cast("int"), "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})

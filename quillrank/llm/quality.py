@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import fold, sampled_ids, steps
+from quillrank.shipping import ship
 
 SAMPLE = 6000
 #: Quantiles of the positives and of the unlabelled that part a measure into bins, the positives' range among them.
@@ -141,6 +142,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for part in steps(batch):
                 yield pa.record_batch([part.column("doc_id"), pa.array(scores(part.column("text").cast(pa.binary()).to_pylist(), model), pa.float64())], schema=schema)
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import fold, sampled_ids, steps
+from quillrank.shipping import ship
 
 SAMPLE = 3000
 #: Insults of general use.
@@ -160,6 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = S
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row; no shuffle."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY words
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
