@@ -158,7 +158,7 @@ def threshold_text(value: float | str) -> str:
 
 def list_count(c: Column, sep: str = ";") -> Column:
     """Distinct entries of a joined list that aren't blank."""
-    return F.size(F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), sep), F.trim), lambda x: x != ""))).cast("long")
+    return F.size(F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), sep), lambda x: F.trim(x)), lambda x: x != ""))).cast("long")
 
 
 def joined(c: Column, sep: str = ";") -> Column:

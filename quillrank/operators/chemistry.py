@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillrank.shipping import ship
+
 
 def toolkit():
     """RDKit, or None where it isn't installed."""
@@ -28,6 +30,7 @@ def applied(df: DataFrame, column: str, name: str, f: Callable[[list[str]], list
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(f(texts.tolist()))
 
+    ship(df.sparkSession)
     return df.withColumn(name, run(F.col(column)))
 
 

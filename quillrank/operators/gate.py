@@ -15,7 +15,7 @@ STATUSES = {
 
 def expand_mappings(pairs: DataFrame, entity_ids: str, target_ids: str, sep: str = ";") -> DataFrame:
     """Every combination of a pair's listed identifiers, once."""
-    ids = lambda c: F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), sep), F.trim), lambda x: x != ""))
+    ids = lambda c: F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), sep), lambda x: F.trim(x)), lambda x: x != ""))
     return pairs.withColumn("entity_id", F.explode(ids(entity_ids))).withColumn("target_id", F.explode(ids(target_ids))).select("pair_key", "entity_id", "target_id").dropDuplicates()
 
 

@@ -49,7 +49,7 @@ def component_sizes(labels: DataFrame) -> DataFrame:
 
 def component_summary(sizes: DataFrame) -> DataFrame:
     """Count of components, those with one left node, and the largest by each side and in total, with shares."""
-    out = sizes.agg(F.count("*").alias("components"), F.count_if("left_nodes = 1").alias("single_left"), *(x for c in ("left_nodes", "right_nodes", "nodes") for x in (F.max(c).alias(f"largest_{c}"), F.sum(c).alias(f"total_{c}"))))
+    out = sizes.agg(F.count("*").alias("components"), F.count_if(F.col("left_nodes") == 1).alias("single_left"), *(x for c in ("left_nodes", "right_nodes", "nodes") for x in (F.max(c).alias(f"largest_{c}"), F.sum(c).alias(f"total_{c}"))))
     return out.withColumns({f"largest_share_{c}": F.col(f"largest_{c}") / F.col(f"total_{c}") for c in ("left_nodes", "right_nodes", "nodes")})
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.functions.scalars import derived_seed
+from quillrank.shipping import ship
 
 LEVELS = (0.025, 0.975)
 
@@ -38,6 +39,7 @@ def query_intervals(metrics: DataFrame, names: list[str], replicates: int = 10_0
             rows += [(pdf["scope"].iloc[0], b, name, n, v[:, k].mean(), low[k], high[k], "estimated" if n > 1 else "n=1_descriptive_only") for k, name in enumerate(names)]
         return pd.DataFrame(rows, columns=["scope", "baseline", "metric", "n", "mean", "low", "high", "status"])
 
+    ship(metrics.sparkSession)
     kept = metrics.select("scope", "baseline", F.col("query").cast("string").alias("query"), *(F.col(n).cast("double").alias(n) for n in names))
     return kept.groupBy("scope").applyInPandas(run, "scope string, baseline string, metric string, n long, mean double, low double, high double, status string")
 

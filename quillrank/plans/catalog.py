@@ -17,16 +17,16 @@ DIGITS = 9
 
 
 def query(sql: str | None, with_: str = "", doubles: tuple[str, ...] = ()) -> Callable:
-    """Registers a function of a Binding; doubles are rounded alike on both sides."""
+    """Registers a function of a Binding; doubles are rounded alike on both sides (and -0 is 0)."""
 
     def add(f: Callable[[Binding], DataFrame]) -> Callable[[Binding], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = f(Binding(spark, sf_dir))
-            return df.withColumns({c: F.round(F.col(c).cast("double"), DIGITS) for c in doubles})
+            return df.withColumns({c: F.round(F.col(c).cast("double"), DIGITS) + 0.0 for c in doubles})
 
         QUERIES[f.__name__] = run
         if sql is not None:
-            star = "*" if not doubles else "* REPLACE (" + ", ".join(f'round(CAST("{c}" AS DOUBLE), {DIGITS}) AS "{c}"' for c in doubles) + ")"
+            star = "*" if not doubles else "* REPLACE (" + ", ".join(f'round(CAST("{c}" AS DOUBLE), {DIGITS}) + 0.0 AS "{c}"' for c in doubles) + ")"
             ORACLE[f.__name__] = (f"WITH RECURSIVE {with_.strip()}\n" if with_ else "") + f"SELECT {star} FROM ({sql})"
         return f
 
@@ -275,7 +275,7 @@ def one_to_one_mapping(b: Binding) -> DataFrame:
 _LEAK = HIST + """,
 pairs AS (SELECT query || '|' || target AS pair_key, query, target FROM endp),
 maps AS (SELECT pair_key, p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') OR p_size > 20 AS validated FROM pairs JOIN ts USING (target)),
-acts AS (SELECT query || '|' || target AS pair_key, l_orderkey AS activity_id FROM endp JOIN ev ON entity = query AND ev.target = endp.target WHERE endpoint = 'AC50' AND (p_size > 20 OR p_brand IN ('Brand#1', 'Brand#2', 'Brand#3'))),
+acts AS (SELECT query || '|' || endp.target AS pair_key, l_orderkey AS activity_id FROM endp JOIN ev ON entity = query AND ev.target = endp.target WHERE endpoint = 'AC50' AND (p_size > 20 OR p_brand IN ('Brand#1', 'Brand#2', 'Brand#3'))),
 aud AS (SELECT pair_key, coalesce(m, 0) AS mapping_count, coalesce(v, 0) AS validated_count, coalesce(a, 0) AS activity_rows, coalesce(i, 0) AS activity_ids,
   CASE WHEN a > 0 THEN 'historical_activity_recorded_in_chembl31' WHEN v > 0 THEN 'no_activity_found_in_validated_chembl31_entity_pair' ELSE 'entity_pair_not_sqlite_validated' END AS status
   FROM pairs LEFT JOIN (SELECT pair_key, count(*) AS m, count(*) FILTER (validated) AS v FROM maps GROUP BY 1) USING (pair_key) LEFT JOIN (SELECT pair_key, count(*) AS a, count(DISTINCT activity_id) AS i FROM acts GROUP BY 1) USING (pair_key))"""
@@ -367,7 +367,7 @@ def topk_boundary_ties(b: Binding) -> DataFrame:
 _LED2 = LED + f""",
 pop2 AS (SELECT target, sum(1.0::DOUBLE) AS s FROM hist GROUP BY target),
 led2 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, substr(sha256('{SALT}|' || query || '|' || target), 1, 16), target) AS rank FROM (SELECT query, target, round(coalesce(s, 0), 9) AS score FROM grid LEFT JOIN pop2 USING (target))),
-both AS (SELECT query, target, a.rank AS rank_a, a.score AS score_a, b.rank AS rank_b, b.score AS score_b FROM (SELECT * FROM led WHERE baseline = '{scoring.POPULARITY}') a JOIN led2 b USING (query, target))"""
+bth AS (SELECT query, target, a.rank AS rank_a, a.score AS score_a, b.rank AS rank_b, b.score AS score_b FROM (SELECT * FROM led WHERE baseline = '{scoring.POPULARITY}') a JOIN led2 b USING (query, target))"""
 
 
 def _both(b: Binding) -> DataFrame:
@@ -375,17 +375,17 @@ def _both(b: Binding) -> DataFrame:
     return ranking.aligned(b.ledger((scoring.POPULARITY,)), other, ["query", "target"])
 
 
-@query(f"SELECT query, count(*) AS rows, count(*) FILTER (score_a <> score_b) AS score_changes, count(*) FILTER (rank_a <> rank_b) AS rank_changes, sum(abs(rank_a - rank_b))::BIGINT AS total_shift, max(abs(rank_a - rank_b)) AS largest_shift, count(*) FILTER ((rank_a <= {K}) <> (rank_b <= {K})) AS top_k_difference FROM both GROUP BY query", _LED2)
+@query(f"SELECT query, count(*) AS rows, count(*) FILTER (score_a <> score_b) AS score_changes, count(*) FILTER (rank_a <> rank_b) AS rank_changes, sum(abs(rank_a - rank_b))::BIGINT AS total_shift, max(abs(rank_a - rank_b)) AS largest_shift, count(*) FILTER ((rank_a <= {K}) <> (rank_b <= {K})) AS top_k_difference FROM bth GROUP BY query", _LED2)
 def ledger_diff(b: Binding) -> DataFrame:
     return ranking.ledger_changes(_both(b), ["query"], K)
 
 
-@query(f"SELECT query, count(*) FILTER (rank_a <= {K} AND rank_b <= {K}) AS common, count(*) FILTER (rank_a <= {K} OR rank_b <= {K}) AS either, count(*) FILTER (rank_a <= {K} AND rank_b <= {K}) / count(*) FILTER (rank_a <= {K} OR rank_b <= {K})::DOUBLE AS jaccard, count(*) FILTER ((rank_a <= {K}) <> (rank_b <= {K})) = 0 AS identical FROM both GROUP BY query", _LED2, ("jaccard",))
+@query(f"SELECT query, count(*) FILTER (rank_a <= {K} AND rank_b <= {K}) AS common, count(*) FILTER (rank_a <= {K} OR rank_b <= {K}) AS either, count(*) FILTER (rank_a <= {K} AND rank_b <= {K}) / count(*) FILTER (rank_a <= {K} OR rank_b <= {K})::DOUBLE AS jaccard, count(*) FILTER ((rank_a <= {K}) <> (rank_b <= {K})) = 0 AS identical FROM bth GROUP BY query", _LED2, ("jaccard",))
 def topk_jaccard(b: Binding) -> DataFrame:
     return ranking.top_jaccard(_both(b), ["query"], K)
 
 
-@query("SELECT query, count(*) AS n, 1 - 6 * sum(power(rank_a - rank_b, 2)) / (count(*) * (power(count(*)::DOUBLE, 2) - 1)) AS spearman FROM both GROUP BY query", _LED2, ("spearman",))
+@query("SELECT query, count(*) AS n, 1 - 6 * sum(power(rank_a - rank_b, 2)) / (count(*) * (power(count(*)::DOUBLE, 2) - 1)) AS spearman FROM bth GROUP BY query", _LED2, ("spearman",))
 def rank_spearman(b: Binding) -> DataFrame:
     return ranking.spearman(_both(b), ["query"])
 
@@ -466,7 +466,7 @@ def zero_hit_bound(b: Binding) -> DataFrame:
     return metrics.zero_hit_bounds(counts, "n", "hits")
 
 
-@query(f"SELECT baseline, n, hits, u AS unresolved, hits / (n + u)::DOUBLE AS lower, (hits + u) / (n + u)::DOUBLE AS upper FROM (SELECT baseline, count(*) AS n, count(*) FILTER (rank <= {K}) AS hits FROM rel WHERE scope = 'temporal' GROUP BY ALL) CROSS JOIN (SELECT count(*) AS u FROM aud WHERE status = 'entity_pair_not_sqlite_validated')", REL + "," + _LEAK.split("ts AS (SELECT")[1].split(",\n", 1)[1], ("lower", "upper"))
+@query(f"SELECT baseline, n, hits, u AS unresolved, hits / (n + u)::DOUBLE AS lower, (hits + u) / (n + u)::DOUBLE AS upper FROM (SELECT baseline, count(*) AS n, count(*) FILTER (rank <= {K}) AS hits FROM rel WHERE scope = 'temporal' GROUP BY ALL) CROSS JOIN (SELECT count(*) AS u FROM aud WHERE status = 'entity_pair_not_sqlite_validated')", REL + _LEAK.removeprefix(HIST), ("lower", "upper"))
 def missing_data_bounds(b: Binding) -> DataFrame:
     counts = b.relevant.where("scope = 'temporal'").groupBy("baseline").agg(F.count("*").alias("n"), F.count_if(F.col("rank") <= K).alias("hits"))
     open_ = _leak(b).where("status = 'entity_pair_not_sqlite_validated'").agg(F.count("*").alias("unresolved"))
@@ -509,11 +509,11 @@ def score_fingerprint_transfer(b: Binding) -> DataFrame:
     return scoring.score_fingerprint(b.history, b.queries, entity_similarity=b.entity_similarity)
 
 
-_PAIR = SIM + "," + NAMES.split("ts AS (SELECT")[1].split(",\n", 1)[1] + """,
+_PAIR = SIM + NAMES.removeprefix(HIST) + """,
 act AS (SELECT query, other, max(similarity * weight) AS active FROM sim JOIN nh USING (entity) GROUP BY ALL)"""
 
 
-@query("SELECT query, n.target, max(similarity * active) AS score FROM act JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(similarity, 9) DESC, other) AS r FROM cs WHERE other IN (SELECT other FROM nh)) WHERE r <= 10) n USING (other) GROUP BY ALL", _PAIR, ("score",))
+@query("SELECT query, n.target, max(round(similarity, 9) * active) AS score FROM act JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(similarity, 9) DESC, other) AS r FROM cs WHERE other IN (SELECT other FROM nh)) WHERE r <= 10) n USING (other) GROUP BY ALL", _PAIR, ("score",))
 def score_pair_neighbour(b: Binding) -> DataFrame:
     return scoring.score_pair_neighbour(b.name_history, b.queries, b.entity_similarity, b.name_similarity.withColumn("similarity", F.round("similarity", 9)), neighbours=10)
 
@@ -574,12 +574,12 @@ def first_relevant_hit(b: Binding) -> DataFrame:
 _SHIFT = "quantile_cont(abs(rank_a - rank_b), {}) AS shift_{}"
 
 
-@query("SELECT query, count(*) AS rows, count(*) FILTER (score_a <> score_b) AS changed, count(*) FILTER (abs(score_a - score_b) > 1e-6) AS beyond_tolerance, max(abs(score_a - score_b)) AS largest_error, avg(abs(score_a - score_b)) AS mean_error, count(*) FILTER (rank_a <> rank_b) AS rank_changed, max(abs(rank_a - rank_b)) AS largest_shift, quantile_cont(abs(rank_a - rank_b), 0.25) AS shift_q25, quantile_cont(abs(rank_a - rank_b), 0.5) AS shift_median, quantile_cont(abs(rank_a - rank_b), 0.75) AS shift_q75 FROM both GROUP BY query", _LED2, ("largest_error", "mean_error", "shift_q25", "shift_median", "shift_q75"))
+@query("SELECT query, count(*) AS rows, count(*) FILTER (score_a <> score_b) AS changed, count(*) FILTER (abs(score_a - score_b) > 1e-6) AS beyond_tolerance, max(abs(score_a - score_b)) AS largest_error, avg(abs(score_a - score_b)) AS mean_error, count(*) FILTER (rank_a <> rank_b) AS rank_changed, max(abs(rank_a - rank_b)) AS largest_shift, quantile_cont(abs(rank_a - rank_b), 0.25) AS shift_q25, quantile_cont(abs(rank_a - rank_b), 0.5) AS shift_median, quantile_cont(abs(rank_a - rank_b), 0.75) AS shift_q75 FROM bth GROUP BY query", _LED2, ("largest_error", "mean_error", "shift_q25", "shift_median", "shift_q75"))
 def fidelity_summary(b: Binding) -> DataFrame:
     return audits.fidelity(_both(b), ["query"])
 
 
-@query("SELECT rank_a <= 100 AS in_front, count(*) AS rows, avg(rank_b - rank_a) AS mean_shift, max(abs(rank_b - rank_a)) AS largest FROM both GROUP BY ALL", _LED2, ("mean_shift",))
+@query("SELECT rank_a <= 100 AS in_front, count(*) AS rows, avg(rank_b - rank_a) AS mean_shift, max(abs(rank_b - rank_a)) AS largest FROM bth GROUP BY ALL", _LED2, ("mean_shift",))
 def before_after_ranks(b: Binding) -> DataFrame:
     return _both(b).groupBy((F.col("rank_a") <= 100).alias("in_front")).agg(F.count("*").alias("rows"), F.avg(F.col("rank_b") - F.col("rank_a")).alias("mean_shift"), F.max(F.abs(F.col("rank_b") - F.col("rank_a"))).alias("largest"))
 
@@ -606,7 +606,7 @@ def cohort_difference(b: Binding) -> DataFrame:
     return audits.cohort_difference(audits.cohort_summary(b.rows, "version", ["l_quantity", "p_size"], ["found"]), "version", "v2", "v3")
 
 
-@query("SELECT version, reason, count(*) AS n, count(*) / (sum(count(*)) OVER (PARTITION BY version))::DOUBLE AS share FROM (SELECT version, CASE WHEN c AND t THEN 'validated' WHEN NOT ac AND NOT at THEN 'sqlite_compound_and_target_validation_failed' WHEN NOT ac THEN 'sqlite_compound_validation_failed' WHEN NOT at THEN 'sqlite_target_validation_failed' ELSE 'sqlite_no_joint_valid_mapping' END AS reason FROM (SELECT version, pair_key, bool_or(found) AS ac, bool_or(relation = '=') AS at, bool_or(found AND relation = '=') AS c, bool_or(found AND relation = '=') AS t FROM ev GROUP BY ALL)) GROUP BY ALL", EV, ("share",))
+@query("SELECT version, reason, n, n / (sum(n) OVER (PARTITION BY version))::DOUBLE AS share FROM (SELECT version, reason, count(*) AS n FROM (SELECT version, CASE WHEN c AND t THEN 'validated' WHEN NOT ac AND NOT am THEN 'sqlite_compound_and_target_validation_failed' WHEN NOT ac THEN 'sqlite_compound_validation_failed' WHEN NOT am THEN 'sqlite_target_validation_failed' ELSE 'sqlite_no_joint_valid_mapping' END AS reason FROM (SELECT version, pair_key, bool_or(found) AS ac, bool_or(relation = '=') AS am, bool_or(found AND relation = '=') AS c, bool_or(found AND relation = '=') AS t FROM ev GROUP BY version, pair_key)) GROUP BY version, reason)", EV, ("share",))
 def unresolved_reasons(b: Binding) -> DataFrame:
     rows = b.rows.withColumn("eq", F.col("relation") == "=").groupBy("version", "pair_key").agg(gate.entity_status("found", "eq").alias("why"))
     return audits.reasons(rows, ["version"], F.col("why"))
@@ -725,7 +725,7 @@ def cluster_upper_median(b: Binding) -> DataFrame:
     return evidence.upper_median(sizes, ["_g"], "n").select("upper_median")
 
 
-_JC = _TC + "," + _SC.split("ts AS (SELECT")[1].split(",\n", 1)[1] + f""",
+_JC = _TC + _SC.removeprefix(HIST) + f""",
 jr AS (SELECT query || '|' || target AS pair_key, tier[1] = 'A' AS t, o LIKE 'coldness%' AS s, o, p_size, CASE WHEN p_size < 40 THEN status END AS status FROM (SELECT e.*, {_OUTCOME.format('coldness_unresolved__historical_scaffold_coverage_incomplete')} AS o FROM endp e JOIN cat USING (target)) JOIN tcold USING (target) JOIN ts USING (target)),
 jt AS (SELECT *, x AS threshold, CASE WHEN status IS NULL THEN NULL ELSE p_size > n END AS h FROM jr CROSS JOIN (VALUES ('0.30', 30), ('0.50', 10)) v(x, n))"""
 
@@ -769,12 +769,12 @@ def bootstrap_query_ci(b: Binding) -> DataFrame:
 
 _PAIRED = REL + f""",
 bq AS (SELECT a.scope, a.query, a.recall - b.recall AS d FROM pq a JOIN pq b ON a.scope = b.scope AND a.query = b.query WHERE a.baseline = '{scoring.FINGERPRINT}' AND b.baseline = '{scoring.POPULARITY}'),
-bn AS (SELECT scope, d, row_number() OVER (PARTITION BY scope ORDER BY query) - 1 AS pick, count(*) OVER (PARTITION BY scope) AS n FROM bq),
-bd AS (SELECT scope, rep, {_DRAW} % n AS pick FROM (SELECT scope, n, rep, unnest(range(1, n + 1)) AS slot FROM (SELECT DISTINCT scope, n FROM bn) CROSS JOIN range(1, {_REPS + 1}) r(rep))),
-bm AS (SELECT scope, rep, avg(d) AS m FROM bd JOIN bn USING (scope, pick) GROUP BY ALL)"""
+bx AS (SELECT scope, d, row_number() OVER (PARTITION BY scope ORDER BY query) - 1 AS pick, count(*) OVER (PARTITION BY scope) AS n FROM bq),
+bd AS (SELECT scope, rep, {_DRAW} % n AS pick FROM (SELECT scope, n, rep, unnest(range(1, n + 1)) AS slot FROM (SELECT DISTINCT scope, n FROM bx) CROSS JOIN range(1, {_REPS + 1}) r(rep))),
+bm AS (SELECT scope, rep, avg(d) AS m FROM bd JOIN bx USING (scope, pick) GROUP BY ALL)"""
 
 
-@query(f"SELECT scope, '{scoring.FINGERPRINT}' AS left, '{scoring.POPULARITY}' AS right, n, mean, low, high, {_STATE} AS status FROM (SELECT scope, count(*) AS n, avg(d) AS mean FROM bn GROUP BY ALL) JOIN (SELECT scope, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM bm GROUP BY ALL) USING (scope)".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'), _PAIRED, ("mean", "low", "high"))
+@query(f"SELECT scope, '{scoring.FINGERPRINT}' AS left, '{scoring.POPULARITY}' AS right, n, mean, low, high, {_STATE} AS status FROM (SELECT scope, count(*) AS n, avg(d) AS mean FROM bx GROUP BY ALL) JOIN (SELECT scope, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM bm GROUP BY ALL) USING (scope)".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'), _PAIRED, ("mean", "low", "high"))
 def bootstrap_paired_contrast(b: Binding) -> DataFrame:
     diffs = resample.paired_contrasts(metrics.per_query(b.relevant, K), "recall", {n: k for k, n in enumerate(BASELINES)})
     return resample.hashed_intervals(diffs, F.col("difference"), ["scope", "left", "right"], "query", _REPS)
@@ -782,12 +782,12 @@ def bootstrap_paired_contrast(b: Binding) -> DataFrame:
 
 _CLUSTER = REL + f""",
 bq AS (SELECT scope, baseline, substr(query, 1, 3) AS unit, sum(recall) AS top, count(*) AS bottom FROM pq GROUP BY ALL),
-bn AS (SELECT *, row_number() OVER (PARTITION BY scope, baseline ORDER BY unit) - 1 AS pick, count(*) OVER (PARTITION BY scope, baseline) AS n FROM bq),
-bd AS (SELECT scope, baseline, rep, {_DRAW} % n AS pick FROM (SELECT scope, baseline, n, rep, unnest(range(1, n + 1)) AS slot FROM (SELECT DISTINCT scope, baseline, n FROM bn) CROSS JOIN range(1, {_REPS + 1}) r(rep))),
-bm AS (SELECT scope, baseline, rep, sum(top) / sum(bottom) AS m FROM bd JOIN bn USING (scope, baseline, pick) GROUP BY ALL)"""
+bx AS (SELECT *, row_number() OVER (PARTITION BY scope, baseline ORDER BY unit) - 1 AS pick, count(*) OVER (PARTITION BY scope, baseline) AS n FROM bq),
+bd AS (SELECT scope, baseline, rep, {_DRAW} % n AS pick FROM (SELECT scope, baseline, n, rep, unnest(range(1, n + 1)) AS slot FROM (SELECT DISTINCT scope, baseline, n FROM bx) CROSS JOIN range(1, {_REPS + 1}) r(rep))),
+bm AS (SELECT scope, baseline, rep, sum(top) / sum(bottom) AS m FROM bd JOIN bx USING (scope, baseline, pick) GROUP BY ALL)"""
 
 
-@query("SELECT scope, baseline, clusters, mean, CASE WHEN clusters > 1 THEN low END AS low, CASE WHEN clusters > 1 THEN high END AS high, CASE WHEN clusters > 1 THEN 'estimated' ELSE 'not_estimable' END AS status FROM (SELECT scope, baseline, count(*) AS clusters, sum(top) / sum(bottom) AS mean FROM bn GROUP BY ALL) JOIN (SELECT scope, baseline, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM bm GROUP BY ALL) USING (scope, baseline)", _CLUSTER, ("mean", "low", "high"))
+@query("SELECT scope, baseline, clusters, mean, CASE WHEN clusters > 1 THEN low END AS low, CASE WHEN clusters > 1 THEN high END AS high, CASE WHEN clusters > 1 THEN 'estimated' ELSE 'not_estimable' END AS status FROM (SELECT scope, baseline, count(*) AS clusters, sum(top) / sum(bottom) AS mean FROM bx GROUP BY ALL) JOIN (SELECT scope, baseline, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM bm GROUP BY ALL) USING (scope, baseline)", _CLUSTER, ("mean", "low", "high"))
 def bootstrap_component_ci(b: Binding) -> DataFrame:
     """Nations are the clusters whose queries are drawn together."""
     m = metrics.per_query(b.relevant, K).groupBy("scope", "baseline", F.substring("query", 1, 3).alias("unit")).agg(F.sum("recall").alias("top"), F.count("*").alias("bottom"))
@@ -821,7 +821,7 @@ def membership_hash(b: Binding) -> DataFrame:
     return contracts.membership_hash(_policy_history(b), ["entity", "target", "best_tier"], ["policy"])
 
 
-_POLREC = _POLICY + "," + HIST.split(EV)[1].lstrip(",") + f""",
+_POLREC = _POLICY + HIST.removeprefix(EV) + f""",
 pp AS (SELECT policy, target, sum(weight) AS s FROM ph GROUP BY ALL),
 pg AS (SELECT policy, query, target, round(coalesce(s, 0), 9) AS score FROM (SELECT * FROM qs CROSS JOIN (SELECT target FROM ts) CROSS JOIN (SELECT DISTINCT policy FROM ph)) LEFT JOIN pp USING (policy, target) WHERE (policy, query, target) NOT IN (SELECT (policy, entity, target) FROM ph)),
 pl AS (SELECT *, row_number() OVER (PARTITION BY policy, query ORDER BY score DESC, substr(sha256('{SALT}|' || query || '|' || target), 1, 16), target) AS rank FROM pg)"""
@@ -874,7 +874,7 @@ def _mean(ranks: str, scope: str) -> str:
     return f"(SELECT scope, avg(r) AS v FROM (SELECT s.scope, query, avg(CASE WHEN rank <= {K} THEN 1.0::DOUBLE ELSE 0 END) AS r FROM {scope} s JOIN {ranks} USING (query, target) GROUP BY ALL) GROUP BY scope)"
 
 
-@query(f"SELECT scope, '{scoring.POPULARITY}' AS baseline, x.v AS new_new, y.v AS old_new, z.v AS old_old, x.v - y.v AS rank_effect, y.v - z.v AS membership_effect FROM {_mean('led2', 'sb')} x FULL JOIN {_mean('lp', 'sb')} y USING (scope) FULL JOIN {_mean('lp', 'scoped')} z USING (scope)", REL + "," + _LED2.split(LED)[1].lstrip(",") + "," + _SB + f", lp AS (SELECT query, target, rank FROM led WHERE baseline = '{scoring.POPULARITY}')", ("new_new", "old_new", "old_old", "rank_effect", "membership_effect"))
+@query(f"SELECT scope, '{scoring.POPULARITY}' AS baseline, x.v AS new_new, y.v AS old_new, z.v AS old_old, x.v - y.v AS rank_effect, y.v - z.v AS membership_effect FROM {_mean('led2', 'sb')} x FULL JOIN {_mean('lp', 'sb')} y USING (scope) FULL JOIN {_mean('lp', 'scoped')} z USING (scope)", REL + _LED2.removeprefix(LED) + "," + _SB + f", lp AS (SELECT query, target, rank FROM led WHERE baseline = '{scoring.POPULARITY}')", ("new_new", "old_new", "old_old", "rank_effect", "membership_effect"))
 def policy_effect_split(b: Binding) -> DataFrame:
     new = b.ledger((scoring.POPULARITY,), b.history.withColumn("weight", F.lit(1.0)))
     return audits.effect_split(b.ledger((scoring.POPULARITY,)), new, b.scoped.select("scope", "query", "target"), _other_scopes(b), K)

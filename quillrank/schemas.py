@@ -1,0 +1,22 @@
+"""Declared schemas of the production tables. Raw rows are read as text; types come by projection, never by inference."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+
+def text_schema(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+EVIDENCE = text_schema("source_version", "source_np_id", "source_target_id", "inchikey_full", "inchikey_connectivity", "smiles", "uniprot_raw", "target_type", "target_name", "target_tax_id", "activity_type_grouped", "activity_relation", "activity_type", "activity_value", "activity_units", "assay_organism", "assay_tax_id", "assay_strain", "assay_tissue", "assay_cell_type", "ref_id", "ref_id_type", "pair_key")
+REFERENCE_DATES = T.StructType([T.StructField("pmid", T.StringType()), T.StructField("found", T.BooleanType()), *text_schema("pubdate_raw", "epubdate_raw", "sortpubdate_raw", "publication_date", "date_precision", "date_source", "doi", "journal", "title")])
+HISTORICAL_PAIRS = T.StructType([*text_schema("canonical_pair_key", "inchikey_full", "uniprot_canonical_accession", "best_strict_evidence_tier"), T.StructField("eligible_row_count", T.IntegerType()), *text_schema("decision", "unrecorded_pair_policy")])
+SCORING_QUERIES = text_schema("query_id", "inchikey_full")
+CANDIDATE_TARGETS = text_schema("accession")
+SEQUENCES = text_schema("accession", "sequence")
+ENDPOINT = text_schema("canonical_pair_key", "query_id", "inchikey_full", "uniprot_canonical_accession", "best_strict_evidence_tier", "decision", "gate_status")
+MASK = T.StructType([T.StructField("key", T.StringType()), T.StructField("cold", T.BooleanType()), T.StructField("status", T.StringType())])
+RANK_LEDGER = T.StructType([*text_schema("protocol_id", "baseline", "query_id", "query_compound", "target"), T.StructField("rank", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("eligible_candidate_target_count", T.IntegerType())])
+PAIR_DOCUMENTS = text_schema("canonical_pair_key", "ref_id_type", "ref_id")
+ALIGNMENT_HITS = T.StructType([*text_schema("query", "target"), T.StructField("pident", T.DoubleType()), T.StructField("alnlen", T.IntegerType()), T.StructField("qcov", T.DoubleType()), T.StructField("tcov", T.DoubleType()), T.StructField("evalue", T.StringType()), T.StructField("bits", T.DoubleType())])
