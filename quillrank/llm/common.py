@@ -76,9 +76,19 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 
 def sampled_ids(df: DataFrame, strata: list[str], bound: int) -> DataFrame:
-    """At most bound distinct doc_ids of each stratum, those with the lowest hash: a bounded sample that any rerun repeats."""
+    """At most bound distinct doc_ids of each stratum, those with the lowest hash: a bounded sample that any rerun repeats.
+
+    Strata are counted first, and a stratum's rows are cut by their hash to little more than the bound where they lie, so
+    no task gets more than that of one stratum, whatever its size. Strata are label values or languages.
+    """
+    from functools import reduce
+
     from pyspark.sql import Window
 
-    # ties of the hash and repeated rows go by doc_id; the count of strata is that of label values or languages
-    w = Window.partitionBy(*strata).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return df.select("doc_id", *strata).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= bound).drop("_rank")
+    slim = df.select("doc_id", *strata)
+    counts = slim.groupBy(*(F.col(c).alias(f"_s_{c}") for c in strata)).agg(F.count("*").alias("_n"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in strata))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    near = slim.join(F.broadcast(counts), same).where(share * F.col("_n") < 1.2 * bound + 50)
+    w = Window.partitionBy(*strata).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
+    return near.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= bound).select("doc_id", *strata)
