@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from quillrank.llm.common import fold, sampled_ids, steps
 from quillrank.shipping import ship
 
-SAMPLE = 6000
+SAMPLE = 4000
 #: Quantiles of the positives and of the unlabelled that part a measure into bins, the positives' range among them.
 INNER, OUTER = (0.0, 0.02, 0.1, 0.3, 0.5, 0.7, 0.9, 0.98, 0.995, 1.0), (0.02, 0.05, 0.1, 0.9, 0.95, 0.98)
 BINS = len(INNER) + len(OUTER) + 1
 #: Steps of descent, prior without an estimate.
-ROUNDS, RATE, DECAY, PRIOR = 800, 0.05, 3e-5, 0.8
+ROUNDS, RATE, DECAY, PRIOR = 400, 0.1, 3e-5, 0.8
 #: Characters that running text rarely holds, and those that end its words.
 SYMBOLS, POINTS = b"#*$%&|<>{}[]\\^~=", b".,;:!?"
 MEASURES = ("words", "letters_a_word", "symbols_a_word", "exclamations_a_word", "upper_share", "digits_share", "distinct_share", "repeats_share", "points_a_word", "words_a_line", "distinct_lines_share", "short_words_share")

@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from quillrank.llm.common import fold, sampled_ids, steps
 from quillrank.shipping import ship
 
-SAMPLE = 3000
+SAMPLE = 2000
 #: Insults of general use.
 INSULTS = frozenset("asshole bastard bitch clown cretin disgusting dumb filth fool freak garbage hate idiot imbecile kill loser moron pathetic pig retard scum shit shut stupid trash ugly vermin worthless".split())
 #: Lexicon voters, words that a mined lexicon may hold, toxic documents that a word needs (number, share), how much likelier it is in toxic ones.
 GROUPS, MINED, LEAST, SHARE, RATIO = 8, 400, 5, 0.012, 6.0
-VOCABULARY, ROUNDS, RATE, DECAY = 30_000, 200, 0.05, 3e-4
+VOCABULARY, ROUNDS, RATE, DECAY = 30_000, 100, 0.1, 3e-4
 _WORD = re.compile(r"[^\W\d_]+")
 _MASKED = re.compile(r"[^\W\d_][*@$#!]+[^\W\d_]")
 _SHOUT = re.compile(r"!{3,}")
