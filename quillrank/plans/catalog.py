@@ -640,26 +640,28 @@ def date_precision_impact(b: Binding) -> DataFrame:
 # M7
 
 _CC = """
-doc AS (SELECT o_custkey AS l, date_trunc('week', o_orderdate) AS wk FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000),
-nodes AS (SELECT DISTINCT 'L|' || l AS node FROM doc UNION SELECT 'R|' || strftime(wk, '%Y-%m-%d') FROM doc),
-edg AS (SELECT DISTINCT 'L|' || l AS a, 'R|' || strftime(wk, '%Y-%m-%d') AS b FROM doc), e2 AS (SELECT a, b FROM edg UNION SELECT b, a FROM edg),
+doc AS (SELECT c_custkey AS l, 'n' || c_nationkey || '/' || CAST(floor(c_acctbal / 50) AS BIGINT) AS wk FROM customer UNION ALL SELECT c_custkey, 's' || c_mktsegment || '/' || CAST(floor(c_acctbal / 25) AS BIGINT) FROM customer),
+nodes AS (SELECT DISTINCT 'L|' || l AS node FROM doc UNION SELECT 'R|' || wk FROM doc),
+edg AS (SELECT DISTINCT 'L|' || l AS a, 'R|' || wk AS b FROM doc), e2 AS (SELECT a, b FROM edg UNION SELECT b, a FROM edg),
 walk(node, seen) AS (SELECT node, node FROM nodes UNION SELECT w.node, e2.b FROM walk w JOIN e2 ON w.seen = e2.a),
 comp AS (SELECT node, min(seen) AS component FROM walk GROUP BY node)"""
 
 
 def _edges(b: Binding) -> DataFrame:
-    o = b.table("orders").where("o_orderpriority = '1-URGENT' AND o_totalprice > 400000")
-    return o.select("o_custkey", F.date_format(F.date_trunc("week", "o_orderdate"), "yyyy-MM-dd").alias("week"))
+    """Customers and two keys of each: nation and segment, with a stretch of the balance."""
+    c = b.table("customer")
+    key = lambda kind, of, width: F.concat(F.lit(kind), F.col(of).cast("string"), F.lit("/"), F.floor(F.col("c_acctbal") / width).cast("string"))
+    return c.select("c_custkey", F.explode(F.array(key("n", "c_nationkey", 50), key("s", "c_mktsegment", 25))).alias("key"))
 
 
 @query("SELECT * FROM comp", _CC)
 def connected_components(b: Binding) -> DataFrame:
-    return graph.components(_edges(b), "o_custkey", "week")
+    return graph.components(_edges(b), "c_custkey", "key")
 
 
 @query("SELECT count(*) AS components, count(*) FILTER (l = 1) AS single_left, max(l) AS largest_left_nodes, sum(l)::BIGINT AS total_left_nodes, max(r) AS largest_right_nodes, sum(r)::BIGINT AS total_right_nodes, max(l + r) AS largest_nodes, sum(l + r)::BIGINT AS total_nodes, max(l) / sum(l) AS largest_share_left_nodes, max(r) / sum(r) AS largest_share_right_nodes, max(l + r) / sum(l + r) AS largest_share_nodes FROM (SELECT component, count(*) FILTER (node[1] = 'L') AS l, count(*) FILTER (node[1] = 'R') AS r FROM comp GROUP BY component)", _CC, ("largest_share_left_nodes", "largest_share_right_nodes", "largest_share_nodes"))
 def component_summary(b: Binding) -> DataFrame:
-    return graph.component_summary(graph.component_sizes(graph.components(_edges(b), "o_custkey", "week")))
+    return graph.component_summary(graph.component_sizes(graph.components(_edges(b), "c_custkey", "key")))
 
 
 _SC = HIST + """,
@@ -909,10 +911,10 @@ def table_zero_accounting(b: Binding) -> DataFrame:
     return metrics.macro(metrics.per_query(b.relevant, K), ["baseline", "scope"]).select("baseline", "scope", "queries", "zero_recall", "zero_ndcg", "zero_mrr")
 
 
-@query("SELECT 'dependence' AS section, item, value FROM (SELECT count(*)::DOUBLE AS edges, count(DISTINCT l)::DOUBLE AS customers, count(DISTINCT wk)::DOUBLE AS weeks FROM (SELECT DISTINCT l, wk FROM doc)) UNPIVOT (value FOR item IN (edges, customers, weeks))", _CC, ("value",))
+@query("SELECT 'dependence' AS section, item, value FROM (SELECT count(*)::DOUBLE AS edges, count(DISTINCT l)::DOUBLE AS customers, count(DISTINCT wk)::DOUBLE AS keys FROM (SELECT DISTINCT l, wk FROM doc)) UNPIVOT (value FOR item IN (edges, customers, keys))", _CC, ("value",))
 def table_dependence(b: Binding) -> DataFrame:
     e = _edges(b).distinct()
-    return shaping.key_values(e.agg(F.count("*").alias("edges"), F.count_distinct("o_custkey").alias("customers"), F.count_distinct("week").alias("weeks")), "dependence")
+    return shaping.key_values(e.agg(F.count("*").alias("edges"), F.count_distinct("c_custkey").alias("customers"), F.count_distinct("key").alias("keys")), "dependence")
 
 
 @query(f"SELECT baseline, scope, n, hits, hits / n::DOUBLE AS recall, hits / (n + 25)::DOUBLE AS lower, (hits + 25) / (n + 25)::DOUBLE AS upper FROM (SELECT baseline, scope, count(*) AS n, count(*) FILTER (rank <= {K}) AS hits FROM rel GROUP BY ALL)", REL, ("recall", "lower", "upper"))
