@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = S
     given = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = docs.select("doc_id").where(learnable & F.col("doc_id").isNotNull()).join(given, "doc_id", "left")
     ids = sampled_ids(rows.where(F.col("quality").isNull() | (F.col("quality") > 0)), ["quality"], sample).distinct()
-    found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "quality").collect()
+    found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "quality").distinct().collect()
     raw = lambda t: None if t is None else bytes(t)
     return fit([raw(r.text) for r in found if r.quality is not None], [raw(r.text) for r in found if r.quality is None])
 

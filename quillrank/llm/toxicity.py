@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = S
     """The model of a bounded sample: at most ``sample`` documents that are toxic, clean and unlabelled."""
     given = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = sampled_ids(docs.select("doc_id").where(learnable & F.col("doc_id").isNotNull()).join(given, "doc_id", "left"), ["toxic"], sample).distinct()
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic").distinct().collect()
     return fit([(r.text, r.toxic) for r in rows])
 
 
