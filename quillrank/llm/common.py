@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +60,9 @@ class Recent:
     def __init__(self, size: int):
         self.size, self.young, self.old = size, {}, {}
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
     def missing(self, keys: set) -> list:
         """The keys that aren't held; all others are in young afterwards."""
         if len(self.young) + len(keys) > self.size:
@@ -70,6 +73,17 @@ class Recent:
         return list(away - found)
 
 
+_MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, forget: Callable[[], None]) -> None:
+    """Called by an operator whose worker remembers things between tasks: the other operators' memories in this worker go."""
+    for other, f in _MEMORIES.items():
+        if other != name:
+            f()
+    _MEMORIES[name] = forget
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

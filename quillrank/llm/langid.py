@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import fold, sampled_ids, steps
+from quillrank.llm.common import claim, fold, sampled_ids, steps
 from quillrank.shipping import ship
 
 UNKNOWN = "und"
 #: Learned from at most so many documents of each language, and so many words of each.
-SAMPLE, WORDS = 250, 240
+SAMPLE, WORDS = 200, 160
 #: Hashed features; a word's n-grams; words of a sequence; letters of a word (longer ones are cut into several); lexicon entries of each language.
-DIMS, GRAMS, SPAN, LETTERS, LEXICON = 1 << 16, (1, 2, 3), 128, 48, 300
-ROUNDS, RATE, DECAY = 30, 0.25, 1e-5
+DIMS, GRAMS, SPAN, LETTERS, LEXICON = 1 << 16, (2, 3), 128, 48, 300
+ROUNDS, RATE, DECAY = 16, 0.35, 1e-5
+#: Words that each of a worker's two generations of memory holds.
 MEMORY = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 _STATE: dict = {}
@@ -60,20 +60,49 @@ def words_of(line: str) -> list[str]:
     return found if not found or max(map(len, found)) <= LETTERS else [x for w in found for x in _cut(w)]
 
 
-def features(word: str, lexicons: tuple[frozenset[str], ...]) -> list[int]:
-    """Hashed affixes up to 4 letters, the word, its n-grams within bounds, and the lexicons that hold it."""
-    marked = f"<{word}>"
-    names = {f"p{word[:n]}" for n in (1, 2, 3, 4) if n <= len(word)} | {f"s{word[-n:]}" for n in (1, 2, 3, 4) if n <= len(word)} | {f"w{word}"}
-    names |= {marked[k : k + n] for n in GRAMS for k in range(len(marked) - n + 1)}
-    names |= {f"lexicon{k}" for k, held in enumerate(lexicons) if word in held}
-    return sorted({zlib.crc32(x.encode()) % DIMS for x in names})
+def features(words: list[str], lexicons: tuple[frozenset[str], ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of all words at once and the word that each belongs to: n-grams within marks of start and end (those at an end are short affixes), affixes of 4 letters, the word, and the lexicons that hold it."""
+    u = np.uint64
+    code = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), "<u4").astype(u)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    start = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(code)) - start[owner]
+    each = np.arange(len(words))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(hashes: np.ndarray, of: np.ndarray) -> None:
+        x = (hashes + u(len(found) + 1)) * u(0x9E3779B97F4A7C15)
+        found.append(((x ^ (x >> u(29))) * u(0xBF58476D1CE4E5B9) >> u(40), of))
+
+    step = u(0x100000001B3)
+    with np.errstate(over="ignore"):
+        for n in GRAMS:
+            end = len(code) - n + 1
+            h = np.zeros(max(0, end), u)
+            for j in range(n):
+                h = h * step + code[j : j + len(h)]
+            whole = (size[owner] - place)[: len(h)] >= n
+            add(h[whole], owner[: len(h)][whole])
+        head, tail = np.zeros(len(words), u), np.zeros(len(words), u)
+        for j in range(5):  # a mark and 4 letters, or all that there are
+            at = np.minimum(j, size - 1)
+            head = head * step + np.where(j < size, code[start + at], u(0))
+            tail = tail * step + np.where(j < size, code[start + size - 1 - at], u(0))
+        power = np.concatenate([[u(1)], np.cumprod(np.full(int(size.max(initial=1)), step))])
+        add(head, each)
+        add(tail, each)
+        add(np.add.reduceat(code * power[place], start) if len(words) else head, each)
+        for held in lexicons:
+            hit = np.flatnonzero(np.fromiter((w in held for w in words), bool, len(words)))
+            add(np.zeros(len(hit), u), hit)
+    flat, of = (np.concatenate(x) for x in zip(*found, strict=True))
+    return (flat % u(DIMS)).astype(np.int64), of
 
 
 def _scores(words: list[str], model: Model) -> np.ndarray:
-    rows = [features(w, model.lexicons) for w in words]
-    sizes = np.array([len(r) for r in rows])
-    flat = model.weights[np.concatenate(rows)] if rows else np.zeros((0, len(model.languages)))
-    return np.add.reduceat(flat, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) if rows else flat
+    flat, owner = features(words, model.lexicons)
+    return np.stack([np.bincount(owner, model.weights[flat, c], len(words)) for c in range(len(model.languages))], axis=1)
 
 
 def posteriors(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: np.ndarray, pairs: bool = False):
@@ -133,8 +162,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     lengths, gold = np.array(lengths), np.array(labels)
     kinds = {w: i for i, w in enumerate(dict.fromkeys(words))}
     which = np.array([kinds[w] for w in words])
-    grams = [features(w, lexicons) for w in kinds]
-    flat, owner = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    flat, owner = features(list(kinds), lexicons)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     inner = np.ones(len(words), bool)
     inner[starts] = False
@@ -145,11 +173,11 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     means, squares = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     cells = np.unique(flat)
     for n in range(1, ROUNDS + 1):
-        emit = np.stack([np.bincount(owner, values[0][flat, c], len(grams)) for c in range(k)], axis=1)
+        emit = np.stack([np.bincount(owner, values[0][flat, c], len(kinds)) for c in range(k)], axis=1)
         post, pairs = posteriors(emit[which], lengths, values[1], values[2], pairs=True)
         error = post.copy()
         error[np.arange(len(gold)), gold] -= 1
-        by_kind = np.stack([np.bincount(which, error[:, c], len(grams)) for c in range(k)], axis=1)
+        by_kind = np.stack([np.bincount(which, error[:, c], len(kinds)) for c in range(k)], axis=1)
         slope = np.stack([np.bincount(flat, by_kind[owner, c], DIMS) for c in range(k)], axis=1)
         slopes = [slope / len(words) + DECAY * values[0], (pairs - seen) / len(words) + DECAY * values[1], (post[starts].sum(axis=0) - begun) / len(words) + DECAY * values[2]]
         for i, g in enumerate(slopes):
@@ -165,15 +193,21 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model, self.known, self.table = model, {}, np.zeros((0, len(model.languages)), np.float32)
+        self.old, self.old_table = self.known, self.table
 
     def _indices(self, words: list[str]) -> np.ndarray:
-        new = list({w for w in words if w not in self.known})
+        all_words = set(words)
+        new = all_words.difference(self.known)
+        if len(self.known) + len(new) > MEMORY:  # what is used again comes back from the older generation
+            self.old, self.old_table = self.known, self.table
+            self.known, self.table, new = {}, self.table[:0], all_words
+        back = list(new.intersection(self.old))
+        made = list(new.difference(self.old))
         if new:
-            if len(self.known) + len(new) > MEMORY:
-                self.known, self.table = {}, self.table[:0]
-                new = list(set(words))
-            self.known.update((w, len(self.table) + i) for i, w in enumerate(new))
-            self.table = np.concatenate([self.table, *(_scores(new[i : i + 20_000], self.model).astype(np.float32) for i in range(0, len(new), 20_000))])
+            self.known.update((w, len(self.table) + i) for i, w in enumerate(back + made))
+            parts = [self.old_table[[self.old[w] for w in back]]] if back else []
+            parts += [_scores(made[i : i + 20_000], self.model).astype(np.float32) for i in range(0, len(made), 20_000)]
+            self.table = np.concatenate([self.table, *parts])
         known = self.known
         return np.array([known[w] for w in words], np.int64)
 
@@ -222,6 +256,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid", _STATE.clear)
         if _STATE.get("token") != token:  # the words that a worker has met stay known to its next task
             _STATE.update(token=token, labeller=Labeller(held.value))
         for batch in batches:
@@ -250,6 +285,7 @@ def filtered(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid", _STATE.clear)
         if _STATE.get("token") != token:  # the words that a worker has met stay known to its next task
             _STATE.update(token=token, labeller=Labeller(held.value))
         for batch in batches:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import Recent, steps, written
+from quillrank.llm.common import Recent, claim, steps, written
 from quillrank.shipping import ship
 
 #: Words of a shingle; two texts link when 100 * intersection >= PERCENT * union.
@@ -52,6 +52,7 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     import xxhash
 
+    claim("ngramjoin", _HASHES.forget)
     split = [(t or b"").lower().split() for t in texts]
     for w in _HASHES.missing(set().union(*split)):
         _HASHES.young[w] = xxhash.xxh3_64_intdigest(w)

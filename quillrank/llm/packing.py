@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import Recent, steps
+from quillrank.llm.common import Recent, claim, steps
 from quillrank.shipping import ship
 
 CAPACITY = 4096
@@ -87,6 +87,7 @@ def pack(docs: DataFrame, tokenizer_path: str, closing_id: int = 2, capacity: in
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing", _CACHE.clear)
         encoder = _encoder(tokenizer_path, closing_id)
         for batch in batches:
             for part in steps(batch):
