@@ -6,7 +6,7 @@ posterior over all its words, so code-switched texts are labelled word by word a
 
 Training texts carry one language each, so code switching is imitated: a training sequence joins stretches of
 up to three training documents. At most ``SAMPLE`` documents of each language are learned from (chosen by a
-hash of doc_id); every word of every text is labelled. A sequence is a line, cut after ``SPAN`` words.
+hash of doc_id), each with all its words; every word of every text is labelled. A sequence is a line, cut after ``SPAN`` words.
 
 Edge cases: a null or empty text or one without letters is ``und`` with score 0; documents without a language
 are never learned from; without any training document all are ``und``; ties go to the language first by code
@@ -30,8 +30,8 @@ from quillrank.llm.common import claim, fold, sampled_ids, steps
 from quillrank.shipping import ship
 
 UNKNOWN = "und"
-#: Learned from at most so many documents of each language, and so many words of each.
-SAMPLE, WORDS = 200, 160
+#: Learned from at most so many documents of each language, with all their words.
+SAMPLE = 200
 #: Hashed features; a word's n-grams; words of a sequence; letters of a word (longer ones are cut into several); lexicon entries of each language.
 DIMS, GRAMS, SPAN, LETTERS, LEXICON = 1 << 16, (2, 3), 128, 48, 300
 ROUNDS, RATE, DECAY = 16, 0.35, 1e-5
@@ -141,7 +141,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     """rows: text and language. Adam on the mean negative log-likelihood; the draws of stretches are seeded."""
     languages = tuple(sorted({lang for _, lang in rows}))
     k = len(languages)
-    texts = [(words_of((text or "").lower())[:WORDS], languages.index(lang)) for text, lang in sorted(rows, key=lambda r: (r[1], r[0] or ""))]
+    texts = [(words_of((text or "").lower()), languages.index(lang)) for text, lang in sorted(rows, key=lambda r: (r[1], r[0] or ""))]
     texts = [x for x in texts if x[0]]
     counts = [Counter(w for ws, at in texts if at == i for w in ws) for i in range(k)]
     lexicons = tuple(frozenset(w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]) for c in counts)

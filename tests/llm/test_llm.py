@@ -326,6 +326,15 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identify(df.where("lang IS NULL")).collect()} == {"und"}
 
 
+def test_language_id_learns_from_whole_texts():
+    draw = random.Random(11)
+    rows = [(made(draw, "aa", 400), "aa") for _ in range(60)] + [(made(draw, "aa", 170) + "\n" + made(draw, "bb", 230), "bb") for _ in range(20)]
+    model = langid.fit(rows)
+    assert any(set(w) & set("üß") for w in model.lexicons[1])
+    langs, scores = langid.Labeller(model).label([made(draw, "bb", 40) for _ in range(20)] + [made(draw, "aa", 40) for _ in range(20)])
+    assert langs == ["bb"] * 20 + ["aa"] * 20 and min(scores[:20]) > 0.9
+
+
 def test_forward_backward_against_enumeration():
     import itertools
 
