@@ -6,8 +6,9 @@ and context judge each, and a threshold for each generator, calibrated on docume
 what is redacted besides.
 
 The trees learn from weak labels: a candidate that overlaps a checked base span, or that stands where a secret is
-assigned, is personal. Candidates are counted by their binned features over all documents, and the ``PATTERNS`` most
-frequent of these counts (a bounded table) are what the driver fits to. The fitted trees are a SQL expression.
+assigned, is personal. Candidates are counted by their binned features over all documents, and all of these counts are
+what the driver fits to and calibrates on: bins bound their number (``BINS``), whatever the input's size. The fitted
+trees are a SQL expression.
 
 Everything of a document is computed in its own row: no shuffle but that of the counts, pre-aggregated.
 
@@ -26,8 +27,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns and the rows that the trees are fitted to, trees, their depth, shrinkage, precision that a threshold must reach.
-PATTERNS, TREES, DEPTH, SHRINK, PRECISION = 20_000, 16, 3, 0.4, 0.95
+#: Trees, their depth, shrinkage, precision that a threshold must reach.
+TREES, DEPTH, SHRINK, PRECISION = 16, 3, 0.4, 0.95
 _MAIL = "A-Za-z0-9._%+-"
 
 
@@ -63,6 +64,8 @@ FEATURES = {
     "quoted": "IF(rlike(c.before, '[\"\\x27]$'), 1, 0) + IF(rlike(c.after, '^[\"\\x27]'), 2, 0)",
     "context": r"CASE WHEN rlike(c.before, '(?i)(token|secret|passw|pwd|key|auth|bearer|credential)') THEN 1 WHEN rlike(c.before, '(?i)(phone|tel|call|fax|mail|contact|card|iban|account|ssn|address)') THEN 2 WHEN rlike(c.before, '(?i)(version|licen|cc by|isbn|issn|doi)') THEN 3 ELSE 0 END",
 }
+#: Bins of each feature. No more patterns than their product can exist; most of it cannot (a number has no letters, a secret no dots).
+BINS = {"generator": 3, "size": 8, "digit_share": 9, "digits": 6, "dots": 5, "at": 2, "hex": 2, "cases": 4, "plus": 2, "quoted": 4, "context": 4}
 
 
 def _quoted(pattern: str) -> str:
@@ -158,8 +161,12 @@ def train(spans: DataFrame) -> tuple[str, str]:
     """SQL of a candidate c's score, and of the threshold of its generator."""
     # calibration holds out every third document, by a hash
     each = spans.select((F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held"), F.explode("candidates").alias("c")).select("held", "c.*")
-    counts = each.groupBy("held", *FEATURES, "label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "held", *FEATURES, "label").limit(PATTERNS)
-    rows = [(r.held, (tuple(r[f] for f in FEATURES), r.label, r.n)) for r in counts.collect()]
+    counts = each.groupBy(*FEATURES).agg(*(F.count_if((F.col("held") == bool(h)) & (F.col("label") == y)).alias(f"n_{h}{y}") for h in (0, 1) for y in (0, 1)))
+    rows = []
+    for r in counts.toArrow().to_pylist():
+        x = tuple(r[f] for f in FEATURES)
+        rows += [(h == 1, (x, y, n)) for h in (0, 1) for y in (0, 1) if (n := r[f"n_{h}{y}"])]
+    rows.sort(key=lambda r: (-r[1][2], r[0], *r[1]))
     held, seen = ([r for h, r in rows if h == want] for want in (True, False))
     start, trees = _fit(seen)
 

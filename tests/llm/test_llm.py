@@ -194,6 +194,15 @@ def test_personal_data(spark, corpus):
     assert pii.redacted(docs, pii.spans(documents(spark, rows))).first().text == "[phone] +12 +123456789 4111 1111 1111 1111"  # too many digits run together
 
 
+def test_personal_data_learns_from_rare_patterns(spark):
+    features = {f: "0" for f in pii.FEATURES} | {"generator": "IF(id < 21000, 0, 1)", "size": "CAST(id % 150 AS INT)", "digits": "CAST(id DIV 150 AS INT)"}
+    one = "named_struct('known', false, 'label', IF(id < 21000, CAST(id % 2 AS INT), 1), " + ", ".join(f"'{f}', {sql}" for f, sql in features.items()) + ")"
+    common_and_rare = spark.range(21600).selectExpr("id AS doc_id", f"array_repeat({one}, IF(id < 21000, 2, 1)) AS candidates")
+    _, threshold = pii.train(common_and_rare)
+    assert float(re.search(r"WHEN 1 THEN ([0-9.]+)D", threshold)[1]) < 100
+    assert list(pii.BINS) == list(pii.FEATURES)
+
+
 TOKENS = None
 
 
