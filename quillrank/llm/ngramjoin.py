@@ -81,18 +81,19 @@ def fingerprint(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp (null for an empty set)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary())])
+def digests(docs: DataFrame, turns: bool = False) -> DataFrame:
+    """doc_id, n_shingles, fp (null for an empty set), and with turns turn (a hash of the text)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary())] + [("turn", pa.int64())] * turns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch):
                 sets = shingle_sets(part.column("text").cast(pa.binary()).to_pylist())
-                yield pa.record_batch([part.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary())], schema=schema)
+                yield pa.record_batch([part.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), *([part.column("turn")] if turns else [])], schema=schema)
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.xxhash64("text").alias("turn")] if turns else []))
+    return slim.mapInArrow(run, "doc_id long, n_shingles long, fp binary" + (", turn long" if turns else ""))
 
 
 # Packed rows: column a holds 4 bytes for each entry (the text: first bytes of its fp), b 5 bytes (the shingle: 40 bits
@@ -321,31 +322,34 @@ def components_of(texts: DataFrame) -> DataFrame:
     return components(first.union(second))
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """The contract's rows, and fp."""
-    told = written(digests(docs), "ngram-digests", free=True)
+def joined(docs: DataFrame, turns: bool = False) -> DataFrame:
+    """The contract's rows, root (the component's own name, null without words) and with turns turn."""
+    told = written(digests(docs, turns), "ngram-digests", free=True)
     roots = components_of(survivors(docs))
     classes = told.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return told.join(named, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "fp")
+    named = rooted.join(ids, "root").select("fp", "component_id", "root")
+    return told.join(named, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root", *(["turn"] if turns else []))
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    return joined(docs).drop("fp")
+    return joined(docs).drop("root")
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, the one of the smallest doc_id; of its rows, those whose text is least (repeated rows once).
+    """One row of each component stays, of the smallest doc_id; of that id's rows in the component, the one whose text's hash is least.
 
-    A document without words is a component by itself; rows with a null doc_id stay.
+    Rows that share a doc_id but not a component stay or go each with its own. The wordless rows of a doc_id are a
+    component by themselves; rows with a null doc_id stay.
     """
     from pyspark.sql import Window
 
-    # rows that share a doc_id and a component are few: the id is unique but for repeated rows
-    heads = similar(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_ngram_id")).distinct()
-    stay = docs.where(F.col("doc_id").isNotNull()).join(heads, F.col("doc_id") == F.col("_ngram_id"), "left_semi")
-    turn = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    once = stay.withColumn("_ngram_turn", F.row_number().over(turn)).where("_ngram_turn = 1").drop("_ngram_turn")
+    # rows that share a doc_id and a text are few: the id is unique but for repeated rows
+    own = joined(docs, turns=True).where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("turn").alias("_ngram_head"))
+    heads = own.select(F.col("doc_id").alias("_ngram_id"), "_ngram_head").distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("_ngram_text", F.xxhash64("text"))
+    stay = named.join(heads, (F.col("doc_id") == F.col("_ngram_id")) & (F.col("_ngram_text") == F.col("_ngram_head")), "left_semi")
+    turn = Window.partitionBy("doc_id", "_ngram_text").orderBy("_ngram_text")
+    once = stay.withColumn("_ngram_turn", F.row_number().over(turn)).where("_ngram_turn = 1")
     return once.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

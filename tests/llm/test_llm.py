@@ -100,6 +100,21 @@ def test_ngram_join_of_many_near_copies_and_a_common_passage(spark):
     assert sorted(got, key=key) == sorted(brute_components(rows), key=key)
 
 
+def test_one_row_of_each_component_is_kept(spark):
+    draw = random.Random(9)
+    one, two, three = (" ".join(f"{c}{draw.randrange(10**6)}" for _ in range(30)) for c in "xyz")
+    rows = []
+    for k in range(0, 80, 10):  # several pairs, so that the order of hashes cannot help
+        x, y, z = (t.replace(" ", f" k{k}") for t in (one, two, three))
+        rows += [(k + 3, x, "en", "s"), (k + 5, x, "en", "s"), (k + 5, y, "en", "s"), (k + 5, y, "en", "s"), (k + 6, z, "en", "s"), (k + 6, y, "en", "s"), (k + 7, "", "en", "s"), (k + 7, "", "en", "s"), (k + 8, x + " w", "en", "s"), (k + 8, z + " w", "en", "s"), (k + 9, f"a{k} b c", "en", "s"), (k + 9, f"d{k} e f", "en", "s")]
+    got = sorted((r.doc_id, r.text) for r in ngramjoin.kept(documents(spark, rows, extra=True)).collect())
+    heads = {}
+    for (d, text, *_), (_, n, c) in zip(rows, brute_components(rows), strict=True):
+        if d == c:
+            heads[(d, text)] = n
+    assert got == sorted(heads)
+
+
 def brute_lines(rows):
     strip = " \t\n\x0b\x0c\r"
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
