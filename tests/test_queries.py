@@ -40,3 +40,18 @@ def test_entry_without_the_subpackage():
     code = "import sys; sys.modules['quillrank.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert not [n for n in e.queries() if n.startswith('op') or n == 'pipeline']; assert len(e.queries()) > 90"
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=top, check=True)
+
+
+def test_pcg64_bootstrap_draws_as_many_replicates_as_the_reference(monkeypatch):
+    import inspect
+    from types import SimpleNamespace
+
+    from quillrank.plans import catalog
+
+    drawn = inspect.signature(catalog.resample.query_intervals)
+    asked = []
+    monkeypatch.setattr(catalog.metrics, "per_query", lambda *a: None)
+    monkeypatch.setattr(catalog.resample, "query_intervals", lambda *a, **k: asked.append(drawn.bind(*a, **k)))
+    catalog.bootstrap_pcg64(SimpleNamespace(relevant=None))
+    asked[0].apply_defaults()
+    assert asked[0].arguments["replicates"] == 10_000
