@@ -43,34 +43,56 @@ def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about STEP_BYTES of text each, all rows in order."""
+def steps(batch: pa.RecordBatch, column: str = "text", size_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about size_bytes of text each, all rows in order."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     at, total = 0, np.cumsum(size)
     while at < batch.num_rows:
         done = total[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(total, done + STEP_BYTES, side="right")))
+        to = max(at + 1, int(np.searchsorted(total, done + size_bytes, side="right")))
         yield batch.slice(at, to - at)
         at = to
 
 
+def coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words between ASCII white space (A-Z in lower case), the place of each word of all texts in order among them, and words a text."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    count = np.asarray(pc.list_value_length(split), dtype=np.int64)
+    coded = split.flatten().dictionary_encode()
+    index = np.asarray(coded.indices, dtype=np.int64)
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    if b"" in words:  # beside white space at an end
+        full = index != words.index(b"")
+        count = count - np.bincount(np.repeat(np.arange(len(count)), count)[~full], minlength=len(count))
+        index = index[full]
+    return words, index, count
+
+
 class Recent:
-    """A bounded memory of two generations: what is used stays, what isn't used while ``size`` others are goes."""
+    """A memory of two generations, each bounded in bytes: what is used stays, what isn't used while a generation fills goes."""
+
+    #: Bytes of an entry besides its key and value, about.
+    ENTRY = 160
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+    def __init__(self, size_bytes: int):
+        self.size, self.young, self.old, self.held = size_bytes, {}, {}, 0
 
     def forget(self) -> None:
-        self.young, self.old = {}, {}
-
-    def missing(self, keys: set) -> list:
-        """The keys that aren't held; all others are in young afterwards."""
-        if len(self.young) + len(keys) > self.size:
-            self.old, self.young = self.young, {}
-        away = keys.difference(self.young)
-        found = away.intersection(self.old)
-        self.young.update((k, self.old[k]) for k in found)
-        return list(away - found)
+        self.young, self.old, self.held = {}, {}, 0
+
+    def put(self, keys: list, values: list) -> None:
+        self.young.update(zip(keys, values, strict=True))
+        self.held += self.ENTRY * len(keys) + sum(map(len, keys)) + (sum(map(len, values)) if values and isinstance(values[0], bytes) else 0)
+
+    def missing(self, keys: list) -> list:
+        """The keys (distinct) that aren't held; all others are in young afterwards."""
+        if self.held > self.size:
+            self.old, self.young, self.held = self.young, {}, 0
+        young, old = self.young, self.old
+        away = [k for k in keys if k not in young]
+        found = [k for k in away if k in old]
+        self.put(found, [old[k] for k in found])
+        return [k for k in away if k not in old] if found else away
 
 
 _MEMORIES: dict[str, Callable[[], None]] = {}

@@ -23,44 +23,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import Recent, claim, steps
+from quillrank.llm.common import Recent, claim, coded_words, steps
 from quillrank.shipping import ship
 
 CAPACITY = 4096
-#: Words that each of a worker's two generations of memory holds.
-MEMORY = 250_000
+#: Bytes that each generation of a worker's two memories (words, runs of one kind) holds; bytes of text that one step encodes.
+MEMORY, STEP = 48 << 20, 8 << 20
+#: What any word may hold of which the tokenizer's normal form and pattern are plain: printable ASCII and the letters of Latin-1.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The tokenizer's pattern for such words in lower case.
+_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 _CACHE: dict[tuple, "WordIds"] = {}
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
 
+def _byte_level() -> dict[int, str]:
+    """How a byte-level model spells the Latin-1 letters: bytes that print stand for themselves, the others for code points from 256 on, in order."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    odd = [b for b in range(256) if b not in prints]
+    spelt = {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(odd)}
+    return {c: "".join(spelt[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
 class WordIds:
-    """Ids of whole texts by a tokenizer whose pre-tokenizer drops white space and parts letters from signs, and whose normal form is lower case.
+    """Ids of whole texts by a tokenizer that drops white space, lowers case, parts letters, digits and signs and spells runs of them in bytes.
 
-    Words between ASCII white space are encoded each once and joined: no normal form and no pattern reaches across a
-    space, nor from an ASCII letter into the full stop or comma that ends a word, which is therefore a word of its own.
+    A step's distinct words between ASCII white space are encoded each once: no normal form and no pattern reaches across
+    a space. A plain word is parted into its runs, and each distinct run goes to the tokenizer's model; any other word
+    goes to the tokenizer as it is. Ids of the texts are gathered from the words' by their places.
     """
 
-    END = re.compile(rb"(?<=[a-z])(?=[.,](?:\s|$))")
-
     def __init__(self, path: str, closing: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.closing = Tokenizer.from_file(path), np.array([closing], "<u4").tobytes()
-        self.words = Recent(MEMORY)
-
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        new = self.words.missing(words)
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
+        self.words, self.runs, self.spelt = Recent(MEMORY), Recent(MEMORY), _byte_level()
+
+    def _plain(self, words: list[str]) -> list[bytes]:
+        parted = list(map(_RUNS.findall, words))
+        model, spelt = self.tokenizer.model, self.spelt
+        new = self.runs.missing(list({r for runs in parted for r in runs}))
+        self.runs.put(new, [array("I", [t.id for t in model.tokenize(r if r.isascii() else r.translate(spelt))]).tobytes() for r in new])
+        known = self.runs.young
+        return [known[runs[0]] if len(runs) == 1 else b"".join([known[r] for r in runs]) for runs in parted]
+
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        plain, other, texts = [], [], []
+        for w in self.words.missing(words):
+            t = w.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(t) and "<|" not in t:
+                plain.append(w)
+                texts.append(t.lower())
+            else:
+                other.append(w)
+        for k in range(0, len(plain), 1 << 16):
+            self.words.put(plain[k : k + (1 << 16)], self._plain(texts[k : k + (1 << 16)]))
+        for k in range(0, len(other), 4096):
+            part = other[k : k + 4096]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.words.young.update(zip(part, [array("I", e.ids).tobytes() for e in found], strict=True))
+            self.words.put(part, [array("I", e.ids).tobytes() for e in found])
         return self.words.young
 
-    def raw(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers, the closing one last."""
-        split = [self.END.sub(b" ", (t or b"").lower()).split() for t in texts]
-        known = self.learn(set().union(*split))
-        return [b"".join([known[w] for w in words]) + self.closing for words in split]
+    def raw(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, the closing one last in each, and how many each has."""
+        words, index, count = coded_words(texts)
+        known = self.learn(words)
+        parts = [known[w] for w in words] + [self.closing]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        index = np.insert(index, np.cumsum(count), len(words))
+        each = size[index]
+        ends = np.cumsum(each)
+        first = (np.cumsum(size) - size)[index]
+        ids = np.frombuffer(b"".join(parts), "<u4")[np.repeat(first - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        last = ends[np.cumsum(count + 1) - 1]
+        return ids, np.diff(last, prepend=0)
 
 
 def lengths(total: int, capacity: int = CAPACITY) -> list[int]:
@@ -90,15 +126,18 @@ def pack(docs: DataFrame, tokenizer_path: str, closing_id: int = 2, capacity: in
         claim("packing", _CACHE.clear)
         encoder = _encoder(tokenizer_path, closing_id)
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, size_bytes=STEP):
+                ids, totals = encoder.raw(part.column("text"))
+                raw, at = memoryview(ids.tobytes()), 0
                 rows: list[list] = [[] for _ in schema]
-                for doc_id, raw in zip(part.column("doc_id").to_pylist(), encoder.raw(part.column("text").cast(pa.binary()).to_pylist()), strict=True):
-                    start, total = 0, len(raw) // 4
+                for doc_id, total in zip(part.column("doc_id").to_pylist(), totals.tolist(), strict=True):
+                    start = 0
                     for n in lengths(total, capacity):
-                        piece = raw[4 * start : 4 * (start + n)]
+                        piece = raw[4 * at : 4 * (at + n)]
                         for column, value in zip(rows, (doc_id, start, n, zlib.crc32(piece), total, np.frombuffer(piece, "<i4") if with_ids else None), strict=False):
                             column.append(value)
                         start += n
+                        at += n
                 yield pa.record_batch([pa.array(c, t.type) for c, t in zip(rows, schema, strict=True)], schema=schema)
 
     ship(docs.sparkSession)
