@@ -10,10 +10,11 @@ assigned, is personal. Candidates are counted by their binned features over all
 what the driver fits to and calibrates on: bins bound their number (``BINS``), whatever the input's size. The fitted
 trees are a SQL expression.
 
-Everything of a document is computed in its own row: no shuffle but that of the counts, pre-aggregated.
+Everything of a document is computed in its own row and written once: no shuffle but that of the counts, pre-aggregated.
 
 Patterns start where their class of characters starts, or where the last match ended (the same matches as a plain
-search, but each text is passed over once), and use possessive loops, so very long texts cost linear time and no stack.
+search, but each text is passed over once), and use possessive loops, so very long texts cost linear time and no stack;
+a text with n spans costs n to the power of 1.5 at most besides, n being looked up by stretches of its square root.
 
 Edge cases: a null or empty text has no spans; equal texts have equal spans; a table without candidates has base spans
 alone; repeated rows get equal rows; other columns are ignored, whatever their names.
@@ -27,6 +28,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillrank.llm.common import written
+
 #: Trees, their depth, shrinkage, precision that a threshold must reach.
 TREES, DEPTH, SHRINK, PRECISION = 16, 3, 0.4, 0.95
 _MAIL = "A-Za-z0-9._%+-"
@@ -72,18 +75,35 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _once(value: str, name: str, body: str) -> str:
+    """SQL: body, in which name stands for value, worked out once (a lambda over a singleton)."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _blocks(name: str, body: str) -> str:
+    """SQL: body for each stretch b of the array called name, of about the square root of its size."""
+    side = f"CAST(ceil(sqrt(size({name}))) AS INT)"
+    return f"IF(size({name}) = 0, array(), transform(transform(sequence(0, (size({name}) - 1) DIV {side}), j -> slice({name}, CAST(j * {side} + 1 AS INT), {side})), b -> {body}))"
+
+
+def _sums_before(values: str) -> str:
+    """SQL: of an array of INT, the sum of all elements before each, by stretches, so that no step copies what it has beyond a stretch."""
+    within = "aggregate(b, struct(0 AS at, CAST(array() AS ARRAY<INT>) AS out), (a, v) -> struct(a.at + v AS at, array_append(a.out, a.at) AS out))"
+    ahead = "aggregate(slice(w, 1, k), 0, (a, q) -> a + q.at)"
+    return _once(values, "x", _once(_blocks("x", within), "w", f"flatten(transform(w, (q, k) -> {_once(ahead, 'first', 'transform(q.out, o -> o + first)')}))"))
+
+
 def _found(test: str, pattern: str, extra: str = "") -> str:
     """SQL: all matches of a pattern in t, as structs of start, stop (code points), m, d (its digits) and what is named in extra.
 
     The pieces between matches and the matches themselves come from the same search, so their lengths give the places.
     """
     p = _quoted(pattern)
-    one = f"struct(CAST(a.at + length(get(p, a.k)) AS INT) AS start, CAST(a.at + length(get(p, a.k)) + length(m) AS INT) AS stop, m, regexp_replace(m, '[^0-9]', '') AS d{extra})"
-    kinds = "start INT, stop INT, m STRING, d STRING" + (", g INT, before STRING, after STRING" if extra else "")
-    struct = ", ".join(f"{x.split()[0]}: {x.split()[1]}" for x in kinds.split(", "))
-    empty = f"CAST(array() AS ARRAY<STRUCT<{struct}>>)"
-    steps = f"aggregate(regexp_extract_all(t, {p}, 0), struct(0L AS at, 0 AS k, {empty} AS out), (a, m) -> struct(a.at + length(get(p, a.k)) + length(m) AS at, a.k + 1 AS k, array_append(a.out, {one}) AS out), a -> a.out)"
-    return f"IF({test} AND rlike(t, {p}), element_at(transform(array(split(t, {p}, -1)), p -> {steps}), 1), {empty})"
+    one = f"struct(get(s, k) + length(get(z.p, k)) AS start, get(s, k) + length(get(z.p, k)) + length(m) AS stop, m, regexp_replace(m, '[^0-9]', '') AS d{extra})"
+    sums = _sums_before("transform(z.m, (m, k) -> length(get(z.p, k)) + length(m))")
+    kinds = "start: INT, stop: INT, m: STRING, d: STRING" + (", g: INT, before: STRING, after: STRING" if extra else "")
+    all_of = _once(f"struct(split(t, {p}, -1) AS p, regexp_extract_all(t, {p}, 0) AS m)", "z", _once(sums, "s", f"transform(z.m, (m, k) -> {one})"))
+    return f"IF({test} AND rlike(t, {p}), {all_of}, CAST(array() AS ARRAY<STRUCT<{kinds}>>))"
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -99,16 +119,22 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def candidates(spans: DataFrame) -> DataFrame:
-    """Adds base (all base spans) and candidates with their binned features and weak label."""
+    """doc_id, base (all base spans) and candidates: place, known (a base span overlaps it), assigned (it stands where a secret is assigned) and binned features.
+
+    Base spans are looked up by stretches of them in the order of their starts: a candidate reads the stretches' ends and
+    the spans of the one or two stretches that it reaches.
+    """
     base = "concat(" + ", ".join(f"transform({k}, x -> struct('{k}' AS kind, x.start, x.stop))" for k in BASE) + ")"
     found = []
     for g, (test, pattern) in enumerate(GENERATORS.values()):
-        found.append(_found(test, pattern, f", {g} AS g, right(get(p, a.k), 32) AS before, left(get(p, a.k + 1), 8) AS after"))
+        found.append(_found(test, pattern, f", {g} AS g, right(get(z.p, k), 32) AS before, left(get(z.p, k + 1), 8) AS after"))
     binned = ", ".join(f"{sql} AS {name}" for name, sql in FEATURES.items())
-    known = "exists(base, b -> b.start < c.stop AND c.start < b.stop)"
-    label = f"IF({known} OR (c.g = 2 AND length(c.d) > 0 AND rlike(c.before, '{_ASSIGNED}')), 1, 0)"
+    stretches = _once("sort_array(transform(base, x -> struct(x.start, x.stop)))", "places", _blocks("places", "struct(b[0].start AS low, array_max(transform(b, x -> x.stop)) AS high, b AS held)"))
+    known = "exists(near, q -> q.low < c.stop AND c.start < q.high AND exists(q.held, b -> b.start < c.stop AND c.start < b.stop))"
+    assigned = f"c.g = 2 AND length(c.d) > 0 AND rlike(c.before, '{_ASSIGNED}')"
+    each = f"transform(raw, c -> struct(c.start, c.stop, {known} AS known, {assigned} AS assigned, {binned}))"
     with_base = spans.withColumn("base", F.expr(base)).withColumn("raw", F.expr(f"concat({', '.join(found)})"))
-    return with_base.withColumn("candidates", F.expr(f"transform(raw, c -> struct(c.start, c.stop, {known} AS known, {label} AS label, {binned}))")).drop("raw")
+    return with_base.select("doc_id", "base", F.expr(_once(stretches, "near", each)).alias("candidates"))
 
 
 def _fit(rows: list[tuple[tuple[int, ...], int, int]]) -> tuple[float, list]:
@@ -137,16 +163,11 @@ def _fit(rows: list[tuple[tuple[int, ...], int, int]]) -> tuple[float, list]:
         f, cut = best[1]
         return (f, cut, grow([i for i in at if rows[i][0][f] <= cut], slopes, depth - 1), grow([i for i in at if rows[i][0][f] > cut], slopes, depth - 1))
 
-    def value(tree, x):
-        while isinstance(tree, tuple):
-            tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
-        return tree
-
     for _ in range(TREES if 0 < hits < total else 0):
         chances = [1 / (1 + math.exp(-s)) for s in scores]
         slopes = [((p - y) * n, p * (1 - p) * n) for p, (_, y, n) in zip(chances, rows, strict=True)]
         trees.append(grow(list(range(len(rows))), slopes, DEPTH))
-        scores = [s + value(trees[-1], x) for s, (x, *_) in zip(scores, rows, strict=True)]
+        scores = [value(s, trees[-1:], x) for s, (x, *_) in zip(scores, rows, strict=True)]
     return start, trees
 
 
@@ -157,30 +178,23 @@ def _sql(tree) -> str:
     return f"IF(c.{list(FEATURES)[f]} <= {cut}, {_sql(left)}, {_sql(right)})"
 
 
-def train(spans: DataFrame) -> tuple[str, str]:
-    """SQL of a candidate c's score, and of the threshold of its generator."""
-    # calibration holds out every third document, by a hash
-    each = spans.select((F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held"), F.explode("candidates").alias("c")).select("held", "c.*")
-    counts = each.groupBy(*FEATURES).agg(*(F.count_if((F.col("held") == bool(h)) & (F.col("label") == y)).alias(f"n_{h}{y}") for h in (0, 1) for y in (0, 1)))
-    rows = []
-    for r in counts.toArrow().to_pylist():
-        x = tuple(r[f] for f in FEATURES)
-        rows += [(h == 1, (x, y, n)) for h in (0, 1) for y in (0, 1) if (n := r[f"n_{h}{y}"])]
-    rows.sort(key=lambda r: (-r[1][2], r[0], *r[1]))
-    held, seen = ([r for h, r in rows if h == want] for want in (True, False))
-    start, trees = _fit(seen)
+def value(start: float, trees: list, x: tuple[int, ...]) -> float:
+    """The score of binned features."""
+    for tree in trees:
+        while isinstance(tree, tuple):
+            tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+        start += tree
+    return start
 
-    def score(x) -> float:
-        s = start
-        for tree in trees:
-            while isinstance(tree, tuple):
-                tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
-            s += tree
-        return s
 
+def learned(rows: list[tuple[bool, tuple[tuple[int, ...], int, int]]]) -> tuple[float, list, dict[int, float]]:
+    """rows: whether a pattern is held out, and the counted pattern (features, label, count); start, trees and each generator's threshold."""
+    rows = sorted(rows, key=lambda r: (-r[1][2], r[0], *r[1]))
+    held, seen = ([r for h, r in rows if h == want] for want in (True, False))
+    start, trees = _fit(seen)
     thresholds = {}
     for g in range(len(GENERATORS)):
-        mine = sorted(((score(x), y, n) for x, y, n in held if x[0] == g), reverse=True)
+        mine = sorted(((value(start, trees, x), y, n) for x, y, n in held if x[0] == g), reverse=True)
         best, hits, total, at = 1e9, 0, 0, 0
         while at < len(mine):  # patterns of one score pass together
             level = mine[at][0]
@@ -189,17 +203,34 @@ def train(spans: DataFrame) -> tuple[str, str]:
             if total and hits / total >= PRECISION:
                 best = level
         thresholds[g] = max(best, 0.0)  # never what is likelier not personal
+    return start, trees, thresholds
+
+
+def train(spans: DataFrame) -> tuple[str, str]:
+    """SQL of a candidate c's score, and of the threshold of its generator."""
+    # calibration holds out every third document, by a hash
+    label = (F.col("known") | F.col("assigned")).cast("int").alias("label")
+    each = spans.select((F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held"), F.explode("candidates").alias("c")).select("held", "c.*").select("held", label, *FEATURES)
+    counts = each.groupBy(*FEATURES).agg(*(F.count_if((F.col("held") == bool(h)) & (F.col("label") == y)).alias(f"n_{h}{y}") for h in (0, 1) for y in (0, 1)))
+    rows = []
+    for r in counts.toArrow().to_pylist():
+        x = tuple(r[f] for f in FEATURES)
+        rows += [(h == 1, (x, y, n)) for h in (0, 1) for y in (0, 1) if (n := r[f"n_{h}{y}"])]
+    start, trees, thresholds = learned(rows)
     cases = " ".join(f"WHEN {g} THEN {t - 1e-6:.6f}D" for g, t in thresholds.items())
     return " + ".join([f"{start:.9f}D", *map(_sql, trees)]), f"CASE c.generator {cases} END"
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, base and added: arrays of (kind, start, stop), in the order of kinds, then start."""
-    proposed = candidates(base_spans(docs))
+    """doc_id, base and added: arrays of (kind, start, stop), in the order of kinds, then start.
+
+    What is found is written once, for the trees to learn from and to judge.
+    """
+    proposed = written(candidates(base_spans(docs)), "pii-spans")
     score, threshold = train(proposed)
     names = ", ".join(f"'{g}'" for g in GENERATORS)
     added = f"transform(filter(candidates, c -> NOT c.known AND {score} >= {threshold}), c -> struct(element_at(array({names}), c.generator + 1) AS kind, c.start, c.stop))"
-    return proposed.select("doc_id", *BASE, "base", F.expr(added).alias("added"))
+    return proposed.select("doc_id", "base", F.expr(added).alias("added"))
 
 
 def redacted(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -213,4 +244,4 @@ def find(docs: DataFrame) -> DataFrame:
     """The contract's rows."""
     found = spans(docs)
     text = lambda column: F.expr(f"array_join(transform({column}, x -> concat_ws(':', x.kind, x.start, x.stop)), ',')")
-    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), F.sha2(text("base"), 256).alias("base_sha256"), text("concat(base, added)").alias("spans"))
+    return found.select("doc_id", *(F.expr(f"CAST(size(filter(base, x -> x.kind = '{k}')) AS LONG) AS n_{k}") for k in BASE), F.sha2(text("base"), 256).alias("base_sha256"), text("concat(base, added)").alias("spans"))

@@ -209,9 +209,63 @@ def test_personal_data(spark, corpus):
     assert pii.redacted(docs, pii.spans(documents(spark, rows))).first().text == "[phone] +12 +123456789 4111 1111 1111 1111"  # too many digits run together
 
 
+def brute_candidates(t):
+    """Plain code of the generators, features and weak labels."""
+    base = brute_personal(t)
+    mail = r"[A-Za-z0-9._%+-]"
+    patterns = (rf"{mail}+(?:@|\x20?[(\[](?:at|AT)[)\]]\x20?)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*", r"(?<![0-9])[0-9](?:[\x20().-]{0,2}[0-9]){6,40}", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}")
+    out = []
+    for g, p in enumerate(patterns):
+        ends, found = 0, list(re.finditer(p, t))
+        for k, m in enumerate(found):
+            w, before = m.group(), t[ends : m.start()][-32:]
+            after = t[m.end() : found[k + 1].start() if k + 1 < len(found) else len(t)][:8]
+            ends = m.end()
+            d = re.sub("[^0-9]", "", w)
+            known = any(a < m.end() and m.start() < b for _, a, b in base)
+            assigned = g == 2 and bool(d) and bool(re.search(r"(?i)(token|secret|passw|pwd|key|auth|bearer|credential)[A-Za-z_]{0,12}[\"']?\s*[:=]?\s*[\"']?$", before))
+            context = [k for k, p in ((1, "token|secret|passw|pwd|key|auth|bearer|credential"), (2, "phone|tel|call|fax|mail|contact|card|iban|account|ssn|address"), (3, "version|licen|cc by|isbn|issn|doi")) if re.search(p, before.lower())]
+            digits = next((i for i, least in enumerate((7, 9, 13, 16, 20)) if len(d) < least), 5)
+            x = (g, min(7, len(w).bit_length() - 1), 8 * len(d) // len(w), digits, min(4, w.count(".")), int("@" in w), int(bool(re.fullmatch("[0-9a-fA-F]+", w))), bool(re.search("[a-z]", w)) + 2 * bool(re.search("[A-Z]", w)), int(before.endswith("+")), int(before[-1:] in ('"', "'") and before != "") + 2 * int(after[:1] in ('"', "'") and after != ""), context[0] if context else 0)
+            out.append((m.start(), m.end(), known, assigned, x))
+    return out
+
+
+def test_added_spans_against_plain_code(spark, corpus):
+    import struct
+
+    import xxhash
+
+    draw = random.Random(21)
+    rows = [(i, f"call {draw.choice(['+49 30 ', '030-', ''])}{draw.randrange(10**7, 10**9)} or {''.join(draw.choice('abcdef0123456789') for _ in range(draw.choice([18, 32, 40])))} {draw.choice(['token: ', 'api_key = ', 'id ', ''])}{''.join(draw.choice('abcXYZ0123456789') for _ in range(24))} and a{i}@b.org u{i} (at) c.net {'long-' * draw.randrange(5)}word", "en", "s") for i in range(300)]
+    rows += [(5000 + i, t, *r) for i, (_, t, *r) in enumerate(corpus)]
+    counts = collections.Counter()
+    each = {d: brute_candidates(t or "") for d, t, *_ in rows}
+    for d, found in each.items():
+        held = xxhash.xxh64_intdigest(struct.pack("<q", d), seed=42)
+        held = (held - 2**64 if held >= 2**63 else held) % 3 == 0
+        for _, _, known, assigned, x in found:
+            counts[held, x, int(known or assigned)] += 1
+    start, trees, limits = pii.learned([(h, (x, y, n)) for (h, x, y), n in counts.items()])
+    added = 0
+    for r in pii.find(documents(spark, rows)).collect():
+        base = brute_personal(next(t for d, t, *_ in rows if d == r.doc_id))
+        more = [(list(pii.GENERATORS)[x[0]], a, b) for a, b, known, _, x in each[r.doc_id] if not known and pii.value(start, trees, x) >= limits[x[0]] - 1e-6]
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in base + more)
+        added += len(more)
+    assert added > 100
+
+
+def test_personal_data_in_one_long_text(spark):
+    text = " ".join(f"user{i}@mail{i}.example.com" for i in range(20_000))
+    r = pii.find(documents(spark, [(1, text, "en", "s"), (2, None, "en", "s")])).where("doc_id = 1").first()
+    want = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_personal(text))
+    assert r.n_email == 20_000 and r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_personal_data_learns_from_rare_patterns(spark):
     features = {f: "0" for f in pii.FEATURES} | {"generator": "IF(id < 21000, 0, 1)", "size": "CAST(id % 150 AS INT)", "digits": "CAST(id DIV 150 AS INT)"}
-    one = "named_struct('known', false, 'label', IF(id < 21000, CAST(id % 2 AS INT), 1), " + ", ".join(f"'{f}', {sql}" for f, sql in features.items()) + ")"
+    one = "named_struct('known', false, 'assigned', id >= 21000 OR id % 2 = 1, " + ", ".join(f"'{f}', {sql}" for f, sql in features.items()) + ")"
     common_and_rare = spark.range(21600).selectExpr("id AS doc_id", f"array_repeat({one}, IF(id < 21000, 2, 1)) AS candidates")
     _, threshold = pii.train(common_and_rare)
     assert float(re.search(r"WHEN 1 THEN ([0-9.]+)D", threshold)[1]) < 100
