@@ -7,8 +7,10 @@
 3. Texts with the same size and the same shared prefix are one group. Groups that share a prefix shingle are candidates;
    sizes, numbers of shared shingles and places of the common shingle filter group pairs.
 4. Members are verified on their whole shared sets. First each group meets one centre of its lists and each member its
-   group's head; then all pairs of groups and members whose components still differ are verified. Every pair that could
-   link is either verified or already in one component, so no component is lost and no group emits all its pairs.
+   group's head; then pairs of groups and members whose components still differ are verified, list by list. Lists and
+   groups of more than ``LIGHT`` texts don't form pairs: they are parted by size and by prefixes counted within the list,
+   again and again while that helps. Every pair that could link is either verified or already in one component, so no
+   component is lost and no group emits all its pairs.
 
 A shingle that many texts hold is marked where a mapper sees it often, and its holders do not meet in one task.
 
@@ -29,16 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import Recent, claim, steps, written
+from quillrank.llm.common import coded_words, steps, written
 from quillrank.shipping import ship
 
 #: Words of a shingle; two texts link when 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 75
 #: Texts of one mapper step that make a shingle a frequent one.
 OFTEN = 8
-MEMORY = 250_000
-_HASHES = Recent(MEMORY)
+#: Lists that shingles are dealt to, at least.
+LISTS = 256
+#: Texts of a list whose pairs are formed at once; longer lists are parted further, so often at most.
+LIGHT, LEVELS = 128, 4
 _U = np.uint64
+_LIST = _U(0xFFFFFF)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -48,30 +53,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     import xxhash
 
-    claim("ngramjoin", _HASHES.forget)
-    split = [(t or b"").lower().split() for t in texts]
-    for w in _HASHES.missing(set().union(*split)):
-        _HASHES.young[w] = xxhash.xxh3_64_intdigest(w)
-    known = _HASHES.young
-    flat = np.fromiter((known[w] for words in split for w in words), _U, sum(map(len, split)))
+    words, index, count = coded_words(texts)
+    flat = _mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words)))[index]
     with np.errstate(over="ignore"):
         rolled = np.zeros(max(0, len(flat) - WORDS + 1), _U)
         for k in range(WORDS):
-            rolled = rolled * _U(0x9E3779B97F4A7C15) + _mixed(flat[k : k + len(rolled)])
+            rolled = rolled * _U(0x9E3779B97F4A7C15) + flat[k : k + len(rolled)]
         rolled = _mixed(rolled)
         out, at = [], 0
-        for words in split:
-            n = len(words)
+        for n in count.tolist():
             if n >= WORDS:
                 out.append(np.unique(rolled[at : at + n - WORDS + 1]))
             else:
                 short = _U(n)
                 for h in flat[at : at + n]:
-                    short = short * _U(0xD6E8FEB86659FD93) + _mixed(np.array([h]))[0]
+                    short = short * _U(0xD6E8FEB86659FD93) + h
                 out.append(_mixed(np.array([short], _U)) if n else np.zeros(0, _U))
             at += n
     return out
@@ -88,7 +88,7 @@ def digests(docs: DataFrame, turns: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch):
-                sets = shingle_sets(part.column("text").cast(pa.binary()).to_pylist())
+                sets = shingle_sets(part.column("text"))
                 yield pa.record_batch([part.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), *([part.column("turn")] if turns else [])], schema=schema)
 
     ship(docs.sparkSession)
@@ -97,7 +97,7 @@ def digests(docs: DataFrame, turns: bool = False) -> DataFrame:
 
 
 # Packed rows: column a holds 4 bytes for each entry (the text: first bytes of its fp), b 5 bytes (the shingle: 40 bits
-# besides its list), c a class for each entry. 16 bits tell the list; a step's texts differ in their first 4 bytes.
+# besides its list), c a class for each entry. Up to 24 more bits tell the list; a step's texts differ in their first 4 bytes.
 PACKED = "list int, step binary, kind int, a binary, b binary, c binary"
 _PACKED = pa.schema([("list", pa.int32()), ("step", pa.binary()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 ENTRIES, TEXTS, MARKED = 0, 1, 2
@@ -127,16 +127,16 @@ def _dealt(docs: DataFrame, lists: int) -> DataFrame:
         flat, owner = np.concatenate(list(sets.values())), np.repeat(names, sizes)
         home = int.from_bytes(step[:4], "little") % lists
         yield home, step, TEXTS, b"".join(sets), sizes.tobytes(), None
-        at, rest = ((flat & _U(0xFFFF)) % _U(lists)).astype(np.int64), flat >> _U(24)
-        key = (rest << _U(16)) | at.astype(_U)
+        at, rest = ((flat & _LIST) % _U(lists)).astype(np.int64), flat >> _U(24)
+        key = (rest << _U(24)) | at.astype(_U)
         _, back, count = np.unique(key, return_inverse=True, return_counts=True)
         often = count[back] >= OFTEN
         if often.any():
             # their holders need no meeting: the list only hears of them, and they go straight to the texts
             yield home, step, MARKED, owner[often].tobytes(), rest[often].astype("<u8").tobytes(), at[often].astype("<u4").tobytes()
             told = np.unique(key[often])
-            for k in np.unique(told & _U(0xFFFF)):
-                yield int(k), step, MARKED, b"", (told[(told & _U(0xFFFF)) == k] >> _U(16)).astype("<u8").tobytes(), None
+            for k in np.unique(told & _LIST):
+                yield int(k), step, MARKED, b"", (told[(told & _LIST) == k] >> _U(24)).astype("<u8").tobytes(), None
         at, rest, owner = at[~often], rest[~often], owner[~often]
         order = np.argsort(at, kind="stable")
         at, rest, owner = at[order], rest[order], owner[order]
@@ -149,7 +149,7 @@ def _dealt(docs: DataFrame, lists: int) -> DataFrame:
         for batch in batches:
             for part in steps(batch):
                 seen: list[dict[bytes, np.ndarray]] = [{}]
-                for s in shingle_sets(part.column("text").cast(pa.binary()).to_pylist()):
+                for s in shingle_sets(part.column("text")):
                     fp = fingerprint(s)
                     if not len(s) or any(fp in step for step in seen):
                         continue
@@ -223,11 +223,11 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for list_, _, kind, a, b, c in rows:
             if kind == ENTRIES:
                 owner.append(np.frombuffer(a, "<u4"))
-                token.append(_unpack(b) << _U(16) | _U(list_))
+                token.append(_unpack(b) << _U(24) | _U(list_))
                 level.append(np.frombuffer(c, np.uint8))
             elif kind == MARKED:
                 owner.append(np.frombuffer(a, "<u4"))
-                token.append(np.frombuffer(b, "<u8") << _U(16) | np.frombuffer(c, "<u4").astype(_U))
+                token.append(np.frombuffer(b, "<u8") << _U(24) | np.frombuffer(c, "<u4").astype(_U))
                 level.append(np.full(len(a) // 4, 255, np.uint8))
         owner, token, level = map(np.concatenate, (owner, token, level))
         order = np.lexsort((token, level, owner))
@@ -249,7 +249,7 @@ def survivors(docs: DataFrame) -> DataFrame:
     """fp, n, shared, prefix (how many of tokens lead), tokens (global order), head (group): one row per text that may have a partner."""
     spark = docs.sparkSession
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    lists = min(4 * width, 1 << 16)
+    lists = min(max(LISTS, 4 * width), 1 << 24)  # as many more as there are more partitions
     counted = _dealt(docs, lists).repartition(width, "list").mapInArrow(_counted, PACKED)
     texts = counted.repartition(width, "step").mapInArrow(_assembled, "fp binary, n int, shared int, prefix int, tokens array<long>")
     once = texts.dropDuplicates(["fp"])  # copies of a text in other steps
@@ -288,6 +288,50 @@ def _within(x: str, y: str) -> str:
     return f"{100 + PERCENT} * least({x}.shared, {y}.shared) >= {need} AND {100 + PERCENT} * least({x}.n, {y}.n) >= {need}"
 
 
+#: Cells of sizes: a text's size and that of the smaller text of a pair, to a twentieth.
+_CELLS = 20.5
+
+
+def _cell(n: str) -> str:
+    return f"CAST(floor(ln({n}) * {_CELLS}) AS INT)"
+
+
+def _pairs(rows: DataFrame, salts: int = 1) -> DataFrame:
+    """Pairs (a, b) of texts of one list (list, fp, n, shared, root) that lie in different components and could link."""
+    x = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts))).alias("x")
+    y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).alias("y")
+    met = x.join(y, F.expr(f"x.list = y.list AND x.salt = y.salt AND x.fp < y.fp AND x.root <> y.root AND {_within('x', 'y')}"))
+    return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+
+
+def _parted(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Parts lists (list, fp, n, shared, root) so that any two texts of one that link share one of the new lists.
+
+    Every pair belongs to the cell of its smaller size. Within a list and cell, where the least overlap of a link is known
+    better than for any size, shingles are counted anew: those of one text there end, and prefixes take the rarest first.
+    So what most texts of a list share (a template) leads no prefix, unless little else is left of a text.
+    """
+    largest = f"least(n, (100 * n - {100 + PERCENT} * (n - shared)) DIV {PERCENT})"
+    least = f"CAST(ceil({PERCENT} * n / 100) AS INT)"
+    big = f"IF({largest} >= {least}, sequence({_cell(least)}, {_cell(largest)}), CAST(array() AS ARRAY<INT>))"
+    dealt = rows.withColumn("bigs", F.expr(big)).withColumn("cell", F.explode(F.expr(f"array_union(bigs, array({_cell('n')}))")))
+    dealt = dealt.select("list", "cell", "fp", "n", "root", F.expr("array_contains(bigs, cell)").alias("big"), F.expr(f"cell = {_cell('n')}").alias("small"))
+    met = dealt.groupBy("list", "cell").agg(F.max("big").alias("big"), F.max("small").alias("small"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("held"))
+    # lists of the same texts are one
+    once = met.where("big AND small AND low <> high").groupBy("cell", "size", "held").agg(F.min("list").alias("list")).select("list", "cell")
+    live = written(dealt.join(once, ["list", "cell"]), "ngram-cells")
+    each = live.join(texts.select("fp", "tokens"), "fp").select("list", "cell", "fp", "n", "big", F.explode("tokens").alias("token"))
+    counts = each.groupBy("list", "cell", "token").agg(F.count("*").alias("times")).where("times > 1")
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("list", "cell", "fp")
+    placed = each.join(counts, ["list", "cell", "token"]).select("*", F.row_number().over(own.orderBy("times", "token")).alias("place"), F.count("*").over(own).alias("kept"))
+    other = f"IF(big, greatest({least}, CAST(floor(exp(cell / {_CELLS})) AS INT) - 1), n)"
+    need = f"CAST(ceil({PERCENT} * (n + {other}) / {100 + PERCENT}) AS INT)"
+    lead = placed.where(f"place <= kept - {need} + 1").select(F.xxhash64("list", "cell", "token").alias("list"), "fp", "n", "kept")
+    return lead.join(rows.select("fp", "shared").distinct(), "fp").select("list", "fp", "n", "shared")
+
+
 def components_of(texts: DataFrame) -> DataFrame:
     """node (fp) and root (fp) of every text that links with another."""
     members = texts.select("grp", "fp", "n", "shared", "prefix")
@@ -302,24 +346,48 @@ def components_of(texts: DataFrame) -> DataFrame:
     best = postings.join(centre, ["token", "band"]).groupBy("fp").agg(F.min("rank").alias("rank"))
     star = best.select(F.col("fp").alias("a"), F.col("rank.fp").alias("b"))
     inner = members.select("grp", F.col("fp").alias("a")).join(heads.where("size > 1").select("grp", F.col("rank.fp").alias("b")), "grp").select("a", "b")
-    first = written(links(texts, star.union(inner).where("a <> b").distinct()), "ngram-links")
-    labels = components(first)
+    edges = written(links(texts, star.union(inner).where("a <> b").distinct()), "ngram-links")
+    labels = components(edges)
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
     # what is left: lists, groups and members whose components differ
-    placed = written(members.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "ngram-placed")
-    whole = written(placed.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("shared").alias("shared")), "ngram-groups")
+    placed = written(rooted(members), "ngram-placed")
+    whole = written(placed.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("shared").alias("shared"), F.count("*").alias("size")), "ngram-groups")
     posted = postings.drop("shared").join(whole, "grp")
-    mixed = posted.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("token")
-    left = written(posted.join(mixed, "token").select("token", "grp", "n", "shared", "place", "low", "high"), "ngram-left")
+    mixed = written(posted.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("texts")).where("low <> high").select("token", "texts"), "ngram-mixed")
+    light = posted.join(mixed.where(F.col("texts") <= LIGHT), "token").select("token", "grp", "n", "shared", "place", "low", "high")
     rest = f"{100 + PERCENT} * (1 + least(x.n - (x.n - x.shared) - x.place, y.n - (y.n - y.shared) - y.place)) >= {PERCENT} * (x.n + y.n)"
-    met = left.alias("x").join(left.alias("y"), F.expr(f"x.token = y.token AND x.grp < y.grp AND (x.low <> x.high OR y.low <> y.high OR x.low <> y.low) AND {_within('x', 'y')} AND {rest}"))
+    met = light.alias("x").join(light.alias("y"), F.expr(f"x.token = y.token AND x.grp < y.grp AND (x.low <> x.high OR y.low <> y.high OR x.low <> y.low) AND {_within('x', 'y')} AND {rest}"))
     pairs = met.select(F.col("x.grp").alias("grp_a"), F.col("y.grp").alias("grp_b")).distinct()
-    own = whole.where("low <> high").select(F.col("grp").alias("grp_a"), F.col("grp").alias("grp_b"))
     side = lambda x: placed.select(F.col("grp").alias(f"grp_{x}"), F.struct("fp", "n", "shared", "root").alias(x))
-    expanded = pairs.union(own).join(side("a"), "grp_a").join(side("b"), "grp_b").where(F.expr(f"a.root <> b.root AND (grp_a <> grp_b OR a.fp < b.fp) AND {_within('a', 'b')}"))
-    second = written(links(texts, expanded.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()), "ngram-links")
-    if not second.take(1):
-        return labels
-    return components(first.union(second))
+    expanded = pairs.join(side("a"), "grp_a").join(side("b"), "grp_b").where(F.expr(f"a.root <> b.root AND {_within('a', 'b')}"))
+    alone = whole.where(f"low <> high AND size <= {LIGHT}").select("grp")
+    inside = _pairs(placed.where(f"{100 + PERCENT} * shared >= {2 * PERCENT} * n").join(alone, "grp").withColumnRenamed("grp", "list"))
+    second = written(links(texts, expanded.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).union(inside).distinct()), "ngram-links")
+    heavy = postings.select("token", "grp").join(mixed.where(F.col("texts") > LIGHT).select("token"), "token").join(placed.select("grp", "fp", "n", "shared"), "grp").select(F.col("token").alias("list"), "fp", "n", "shared")
+    for level in range(LEVELS + 1):
+        if second.take(1):
+            edges = edges.union(second)
+            labels = components(edges)
+        if not mixed.where(F.col("texts") > LIGHT).take(1):
+            return labels
+        parted = written(_parted(rooted(heavy), texts), "ngram-parted")
+        near = parted.groupBy("list").agg(F.min(rank).alias("rank"))
+        star = parted.join(near, "list").select(F.col("fp").alias("a"), F.col("rank.fp").alias("b")).where("a <> b").distinct()
+        second = written(links(texts, star.join(rooted(members.select("fp")).select(F.col("fp").alias("a"), F.col("root").alias("_a")), "a").join(rooted(members.select("fp")).select(F.col("fp").alias("b"), F.col("root").alias("_b")), "b").where("_a <> _b").select("a", "b")), "ngram-links")
+        if second.take(1):
+            edges = edges.union(second)
+            labels = components(edges)
+        rows = written(rooted(parted), "ngram-rows")
+        mixed = written(rows.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("texts")).where("low <> high").select("list", "texts"), "ngram-mixed")
+        last = level == LEVELS - 1
+        second = written(links(texts, _pairs(rows.join(mixed if last else mixed.where(F.col("texts") <= LIGHT), "list"), 16 if last else 1)), "ngram-links")
+        if last:
+            mixed = mixed.limit(0)
+        heavy = rows.drop("root").join(mixed.where(F.col("texts") > LIGHT).select("list"), "list")
+    return labels
 
 
 def joined(docs: DataFrame, turns: bool = False) -> DataFrame:

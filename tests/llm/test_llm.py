@@ -83,7 +83,10 @@ def test_ngram_join_against_all_pairs(spark, corpus):
     assert sorted(got, key=key) == sorted(brute_components(corpus), key=key)
 
 
-def test_ngram_join_of_many_near_copies_and_a_common_passage(spark):
+@pytest.mark.parametrize("light, levels", [(128, 4), (2, 4), (2, 1)])
+def test_ngram_join_of_many_near_copies_and_a_common_passage(spark, monkeypatch, light, levels):
+    monkeypatch.setattr(ngramjoin, "LIGHT", light)  # the later cases part every list
+    monkeypatch.setattr(ngramjoin, "LEVELS", levels)
     draw = random.Random(3)
     base = [f"w{draw.randrange(10**6)}" for _ in range(80)]
     passage = [f"p{k}" for k in range(40)]
@@ -96,8 +99,13 @@ def test_ngram_join_of_many_near_copies_and_a_common_passage(spark):
     for i in range(120, 240):
         own = [f"o{draw.randrange(10**6)}" for _ in range(draw.choice([2, 8, 30]))]
         rows.append((i, " ".join(own + passage), "en", "s"))
+    template = [f"t{k}" for k in range(60)]
+    for i in range(240, 340):  # one frame about words of a pool: some link, most don't
+        ws = template + [f"v{draw.randrange(8)}{c}" for c in "abcdefghij"] + [f"o{draw.randrange(10**6)}" for _ in range(draw.choice([0, 1, 2, 4, 9]))]
+        rows.append((i, " ".join(ws), "en", "s"))
     got = [tuple(r) for r in ngramjoin.similar(documents(spark, rows).repartition(5)).collect()]
-    assert sorted(got, key=key) == sorted(brute_components(rows), key=key)
+    want = brute_components(rows)
+    assert sorted(got, key=key) == sorted(want, key=key) and len({c for d, _, c in want if d >= 240}) > 3
 
 
 def test_one_row_of_each_component_is_kept(spark):
