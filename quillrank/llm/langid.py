@@ -6,7 +6,7 @@ posterior over all its words, so code-switched texts are labelled word by word a
 
 Training texts carry one language each, so code switching is imitated: a training sequence joins stretches of
 up to three training documents. At most ``SAMPLE`` documents of each language are learned from (chosen by a
-hash of doc_id), each with all its words; every word of every text is labelled. A sequence is a line, cut after ``SPAN`` words.
+hash of doc_id), each with all its words; every word of every text is labelled. A sequence is a whole line, of any length.
 
 Edge cases: a null or empty text or one without letters is ``und`` with score 0; documents without a language
 are never learned from; without any training document all are ``und``; ties go to the language first by code
@@ -31,12 +31,16 @@ from quillrank.shipping import ship
 
 UNKNOWN = "und"
 #: Learned from at most so many documents of each language, with all their words.
-SAMPLE = 200
-#: Hashed features; a word's n-grams; words of a sequence; letters of a word (longer ones are cut into several); lexicon entries of each language.
-DIMS, GRAMS, SPAN, LETTERS, LEXICON = 1 << 16, (2, 3), 128, 48, 300
-ROUNDS, RATE, DECAY = 16, 0.35, 1e-5
-#: Words that each of a worker's two generations of memory holds.
-MEMORY = 150_000
+SAMPLE = 250
+#: Hashed features; a word's n-grams; lexicon entries of each language.
+DIMS, GRAMS, LEXICON = 1 << 18, (1, 2, 3), 300
+ROUNDS, RATE, DECAY = 30, 0.05, 1e-5
+#: Words that forward-backward takes in one block.
+BLOCK = 128
+#: A stage keeps what reaches so much of the least score and support that calibrated documents reach; words that a short text is filled up with.
+SLACK, FILL = (0.75, 0.9), 20
+#: Words that each of a worker's two generations of memory holds, and their letters.
+MEMORY, MEMORY_LETTERS = 150_000, 4 << 20
 _WORD = re.compile(r"[^\W\d_]+")
 _STATE: dict = {}
 
@@ -48,16 +52,12 @@ class Model:
     moves: np.ndarray  # K x K, logarithms
     start: np.ndarray  # K
     lexicons: tuple[frozenset[str], ...]
-
-
-def _cut(word: str) -> list[str]:
-    return [word] if len(word) <= LETTERS else [word[k : k + LETTERS] for k in range(0, len(word), LETTERS)]
+    seen: np.ndarray  # DIMS, whether training met a feature
 
 
 def words_of(line: str) -> list[str]:
-    """Runs of letters, in lower case."""
-    found = _WORD.findall(line)
-    return found if not found or max(map(len, found)) <= LETTERS else [x for w in found for x in _cut(w)]
+    """Runs of letters."""
+    return _WORD.findall(line)
 
 
 def features(words: list[str], lexicons: tuple[frozenset[str], ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,40 +101,77 @@ def features(words: list[str], lexicons: tuple[frozenset[str], ...]) -> tuple[np
 
 
 def _scores(words: list[str], model: Model) -> np.ndarray:
+    """Of each word, its score per language and, last, the share of its features that training met."""
     flat, owner = features(words, model.lexicons)
-    return np.stack([np.bincount(owner, model.weights[flat, c], len(words)) for c in range(len(model.languages))], axis=1)
+    size = np.maximum(1, np.bincount(owner, minlength=len(words)))
+    return np.stack([*(np.bincount(owner, model.weights[flat, c], len(words)) for c in range(len(model.languages))), np.bincount(owner, model.seen[flat], len(words)) / size], axis=1)
+
+
+def _sharp(x: np.ndarray, axes: int | tuple[int, ...]) -> np.ndarray:
+    return x / x.sum(axis=axes, keepdims=True)
 
 
 def posteriors(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: np.ndarray, pairs: bool = False):
-    """Forward-backward over all sequences at once, the longest first; emissions are the sequences' words one after another.
+    """Forward-backward over all sequences (none empty) at once; emissions are the sequences' words one after another.
 
-    Returns each word's posterior, and with pairs the expected number of each transition.
+    A sequence is worked on in blocks of ``BLOCK`` words, all blocks of all sequences side by side. What a block does to a
+    message from either end is a matrix; the messages go from block to block through these first, so the result is that
+    of one pass over the whole sequence. Returns each word's posterior, and with pairs the expected number of each
+    transition.
     """
-    order = np.argsort(-lengths, kind="stable")
-    first = (np.cumsum(lengths) - lengths)[order]
-    ordered = lengths[order]
-    live = np.searchsorted(-ordered, -np.arange(1, (ordered[0] if len(ordered) else 0) + 1), side="right")
+    k = len(start)
     shift = np.exp(emissions - emissions.max(axis=1, keepdims=True))
     step, begin = np.exp(moves), np.exp(start)
+    parts = -(-lengths // BLOCK)
+    head = np.cumsum(parts) - parts  # each sequence's first block
+    turn = np.arange(parts.sum()) - np.repeat(head, parts)
+    first = np.repeat(np.cumsum(lengths) - lengths, parts) + turn * BLOCK
+    size = np.minimum(BLOCK, np.repeat(lengths, parts) - turn * BLOCK)
+    into, back = np.full((len(size), k), 1.0 / k), np.full((len(size), k), 1.0 / k)  # message before a block, at its last word from behind
+    many = np.flatnonzero(np.repeat(parts, parts) > 1)
+    if len(many):
+        held = many[np.argsort(-size[many], kind="stable")]
+        through = np.tile(np.eye(k), (len(size), 1, 1))
+        for t in range(BLOCK):
+            at = held[: np.searchsorted(-size[held], -t, side="left")]
+            if not len(at):
+                break
+            moved = through[at] @ step
+            if t == 0:
+                moved[turn[at] == 0] = np.diag(begin)
+            through[at] = _sharp(moved * shift[first[at] + t][:, None, :], (1, 2))
+        long = np.flatnonzero(parts > 1)
+        long = long[np.argsort(-parts[long], kind="stable")]
+        for j in range(1, int(parts[long[0]])):
+            at = head[long[: np.searchsorted(-parts[long], -j, side="left")]] + j
+            before = np.ones((len(at), k)) if j == 1 else into[at - 1]
+            into[at] = _sharp(np.einsum("nk,nkl->nl", before, through[at - 1]), 1)
+        for j in range(int(parts[long[0]]) - 1, 0, -1):
+            at = head[long[: np.searchsorted(-parts[long], -j, side="left")]] + j
+            back[at - 1] = _sharp(np.einsum("nkl,nl->nk", through[at], back[at]), 1)
+    order = np.argsort(-size, kind="stable")
+    first, size, turn, into, back = first[order], size[order], turn[order], into[order], back[order]
+    live = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
     forward, backward = np.empty_like(shift), np.empty_like(shift)
     for t, n in enumerate(live):
         at = first[:n] + t
-        x = shift[at] * (begin if t == 0 else forward[at - 1] @ step)
-        forward[at] = x / x.sum(axis=1, keepdims=True)
-    expected = np.zeros_like(moves)
+        come = np.where((turn == 0)[:, None], begin, into @ step) if t == 0 else forward[at - 1] @ step
+        forward[at] = _sharp(shift[at] * come, 1)
     for t in range(len(live) - 1, -1, -1):
         at = first[: live[t]] + t
-        y = np.full((len(at), len(start)), 1.0 / len(start))
+        y = back[: live[t]].copy()
         if t + 1 < len(live) and (n := live[t + 1]):
-            ahead = backward[at[:n] + 1] * shift[at[:n] + 1]
-            z = ahead @ step.T
-            y[:n] = z / z.sum(axis=1, keepdims=True)
-            if pairs:
-                joint = forward[at[:n]][:, :, None] * step[None] * ahead[:, None, :]
-                expected += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            y[:n] = _sharp((backward[at[:n] + 1] * shift[at[:n] + 1]) @ step.T, 1)
         backward[at] = y
-    both = forward * backward
-    return both / both.sum(axis=1, keepdims=True), expected
+    expected = np.zeros_like(moves)
+    if pairs:
+        inner = np.ones(len(shift), bool)
+        inner[np.cumsum(lengths) - 1] = False
+        inner = np.flatnonzero(inner)
+        for a in range(0, len(inner), 1 << 16):
+            i = inner[a : a + (1 << 16)]
+            expected += _sharp(forward[i][:, :, None] * step * (backward[i + 1] * shift[i + 1])[:, None, :], (1, 2)).sum(axis=0)
+    return _sharp(forward * backward, 1), expected
 
 
 def fit(rows: list[tuple[str, str]]) -> Model:
@@ -145,8 +182,10 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     texts = [x for x in texts if x[0]]
     counts = [Counter(w for ws, at in texts if at == i for w in ws) for i in range(k)]
     lexicons = tuple(frozenset(w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]) for c in counts)
-    model = Model(languages, np.zeros((DIMS, k)), np.zeros((k, k)), np.zeros(k), lexicons)
+    model = Model(languages, np.zeros((DIMS, k)), np.zeros((k, k)), np.zeros(k), lexicons, np.zeros(DIMS, bool))
     if not texts or k == 1:
+        if texts:
+            model.seen[features(list(counts[0]), lexicons)[0]] = True
         return model
     draw = np.random.default_rng(0)
     words, labels, lengths = [], [], []
@@ -172,6 +211,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     values = [model.weights, model.moves, model.start]
     means, squares = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     cells = np.unique(flat)
+    model.seen[cells] = True
     for n in range(1, ROUNDS + 1):
         emit = np.stack([np.bincount(owner, values[0][flat, c], len(kinds)) for c in range(k)], axis=1)
         post, pairs = posteriors(emit[which], lengths, values[1], values[2], pairs=True)
@@ -185,33 +225,35 @@ def fit(rows: list[tuple[str, str]]) -> Model:
             means[i][rows_of] = 0.9 * means[i][rows_of] + 0.1 * g[rows_of]
             squares[i][rows_of] = 0.99 * squares[i][rows_of] + 0.01 * g[rows_of] ** 2
             values[i][rows_of] -= RATE * (means[i][rows_of] / (1 - 0.9**n)) / (np.sqrt(squares[i][rows_of] / (1 - 0.99**n)) + 1e-7)
-    return Model(languages, values[0].astype(np.float32), values[1], values[2], lexicons)
+    return Model(languages, values[0].astype(np.float32), values[1], values[2], lexicons, model.seen)
 
 
 class Labeller:
     """A model with the words it has met, so that features are made once for each word."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.table = model, {}, np.zeros((0, len(model.languages)), np.float32)
+        self.model, self.known, self.letters, self.table = model, {}, 0, np.zeros((0, len(model.languages) + 1), np.float32)
         self.old, self.old_table = self.known, self.table
 
     def _indices(self, words: list[str]) -> np.ndarray:
         all_words = set(words)
         new = all_words.difference(self.known)
-        if len(self.known) + len(new) > MEMORY:  # what is used again comes back from the older generation
+        if len(self.known) + len(new) > MEMORY or self.letters > MEMORY_LETTERS:  # what is used again comes back from the older generation
             self.old, self.old_table = self.known, self.table
-            self.known, self.table, new = {}, self.table[:0], all_words
+            self.known, self.letters, self.table, new = {}, 0, self.table[:0], all_words
         back = list(new.intersection(self.old))
         made = list(new.difference(self.old))
         if new:
             self.known.update((w, len(self.table) + i) for i, w in enumerate(back + made))
+            self.letters += sum(map(len, new))
             parts = [self.old_table[[self.old[w] for w in back]]] if back else []
             parts += [_scores(made[i : i + 20_000], self.model).astype(np.float32) for i in range(0, len(made), 20_000)]
             self.table = np.concatenate([self.table, *parts])
         known = self.known
         return np.array([known[w] for w in words], np.int64)
 
-    def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: language, the language's mean posterior, mean share of features that training met, words."""
         words: list[str] = []
         lengths, owners = [], []
         for i, text in enumerate(texts):
@@ -219,22 +261,27 @@ class Labeller:
             if not any(c.isalpha() for found in lines for w in found for c in w):
                 continue  # nothing, or only signs such as fractions
             for found in lines:
-                words += found
-                for a in range(0, len(found), SPAN):
-                    lengths.append(min(SPAN, len(found) - a))
+                if found:
+                    words += found
+                    lengths.append(len(found))
                     owners.append(i)
-        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        langs, scores, support = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         if not words or not self.model.languages:
-            return langs, scores
+            return langs, scores, support, np.zeros(len(texts), np.int64)
         lengths = np.array(lengths)
-        post, _ = posteriors(self._emissions(words), lengths, self.model.moves, self.model.start)
+        rows = self._emissions(words)
+        post, _ = posteriors(rows[:, :-1], lengths, self.model.moves, self.model.start)
         of = np.repeat(np.array(owners), lengths)
         total = np.bincount(of, minlength=len(texts))
-        mean = np.stack([np.bincount(of, post[:, c], len(texts)) for c in range(post.shape[1])], axis=1) / np.maximum(total, 1)[:, None]
-        best = mean.argmax(axis=1)
+        mean = np.stack([np.bincount(of, x, len(texts)) for x in (*post.T, rows[:, -1])], axis=1) / np.maximum(total, 1)[:, None]
+        best = mean[:, :-1].argmax(axis=1)
         for i in np.flatnonzero(total):
-            langs[i], scores[i] = self.model.languages[best[i]], float(min(1.0, mean[i, best[i]]))
-        return langs, scores
+            langs[i], scores[i], support[i] = self.model.languages[best[i]], min(1.0, mean[i, best[i]]), mean[i, -1]
+        return langs, scores, support, total
+
+    def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        langs, scores, *_ = self.judge(texts)
+        return langs, scores.tolist()
 
     def _emissions(self, words: list[str]) -> np.ndarray:
         at = self._indices(words)
@@ -249,22 +296,29 @@ def train(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> Model:
     return fit([(r.text, r.lang) for r in rows])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score of every row; no shuffle."""
+def _labeller(held, token: str) -> Labeller:
+    """This worker's labeller of a broadcast model: the words that it has met stay known to its next task."""
+    claim("langid", _STATE.clear)
+    if _STATE.get("token") != token:
+        _STATE.update(token=token, labeller=Labeller(held.value))
+    return _STATE["labeller"]
+
+
+def predict(docs: DataFrame, model: Model, more: bool = False) -> DataFrame:
+    """doc_id, lang_pred and score of every row, and with more support and words; no shuffle."""
     ship(docs.sparkSession)
     held, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # DIMS x K numbers, whatever the input's size
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())] + [("support", pa.float64()), ("words", pa.int64())] * more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("langid", _STATE.clear)
-        if _STATE.get("token") != token:  # the words that a worker has met stay known to its next task
-            _STATE.update(token=token, labeller=Labeller(held.value))
+        labeller = _labeller(held, token)
         for batch in batches:
             for part in steps(batch):
-                langs, scores = _STATE["labeller"].label(part.column("text").to_pylist())
-                yield pa.record_batch([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=schema)
+                found = labeller.judge(part.column("text").to_pylist())
+                yield pa.record_batch([part.column("doc_id"), *(pa.array(x, f.type) for x, f in zip(found, list(schema)[1:], strict=False))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    kind = "doc_id long, lang_pred string, score double" + ", support double, words long" * more
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -274,23 +328,51 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@dataclass(frozen=True)
+class Limits:
+    """The least score and support of a document, and what short texts are filled up with."""
+
+    least: tuple[float, float] = (0.0, 0.0)
+    usual: tuple[float, float] = (1.0, 1.0)
+
+    def filled(self, values: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> list[np.ndarray]:
+        return [(words * x + FILL * u) / (words + FILL) for x, u in zip(values, self.usual, strict=True)]
+
+    def passes(self, langs: list[str], scores: np.ndarray, support: np.ndarray, words: np.ndarray) -> np.ndarray:
+        found = self.filled((scores, support), words)
+        return (np.array(langs) != UNKNOWN) & (found[0] >= self.least[0]) & (found[1] >= self.least[1])
+
+
+def calibrate(docs: DataFrame, model: Model, sample: int = SAMPLE) -> Limits:
+    """Limits that all of at most ``sample`` documents of each language pass, by a margin; docs: labelled ones that the model has not learned from."""
+    kept = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.trim("text") != ""))
+    ids = sampled_ids(kept, ["lang"], sample).select("doc_id", "lang").distinct()
+    rows = predict(kept.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi"), model, more=True).where(F.col("lang_pred") != UNKNOWN).select("score", "support", "words").toPandas()
+    if not len(rows):
+        return Limits()
+    first = Limits(usual=(float(rows["score"].median()), float(rows["support"].median())))
+    return Limits(tuple(k * float(x.min()) for k, x in zip(SLACK, first.filled((rows["score"].to_numpy(), rows["support"].to_numpy()), rows["words"].to_numpy()), strict=True)), first.usual)
+
+
 def filtered(docs: DataFrame) -> DataFrame:
-    """The documents (all columns and rows) that have a language: those without letters are rejected.
+    """The documents (all columns and rows) in a language that the field knows.
 
-    The label goes by the text, so the rows are labelled with their columns beside them rather than joined.
+    Rejected are those without letters, those whose words agree on no language (the mean posterior of the best one) and
+    those whose words are not made of what training met (the share of features known). Both limits come from labelled
+    documents that the field has not learned from. The label goes by the text, so rows are judged with their columns
+    beside them rather than joined.
     """
-    model = train(docs, fold(F.col("doc_id"), 4) != 2)
+    learnable = fold(F.col("doc_id"), 4) != 2
+    model = train(docs, learnable)
+    limits = calibrate(docs.where(~learnable), model)
     ship(docs.sparkSession)
     held, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("langid", _STATE.clear)
-        if _STATE.get("token") != token:  # the words that a worker has met stay known to its next task
-            _STATE.update(token=token, labeller=Labeller(held.value))
+        labeller = _labeller(held, token)
         for batch in batches:
             for part in steps(batch, batch.schema.names[at]):
-                langs, _ = _STATE["labeller"].label(part.column(at).to_pylist())
-                yield part.filter(pa.array([x != UNKNOWN for x in langs]))
+                yield part.filter(pa.array(limits.passes(*labeller.judge(part.column(at).to_pylist()))))
 
     return docs.mapInArrow(run, docs.schema)
