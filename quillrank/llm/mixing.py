@@ -11,7 +11,8 @@ is spread over as many tasks as the others.
 
 Edge cases: a null text has size 0; null is a source of its own, the last; documents of size 0 are laid out and taken
 0 words; a table without words gives targets of 0; rows with equal doc_id are ordered by size and otherwise alike, so
-reruns agree; a null doc_id has the key of the empty text; other columns are kept, and may not begin with ``_mix_``.
+reruns agree; a null doc_id has the key of the empty text; other columns are kept by ``mixed``, whatever their names.
+Sources are some thousands at most: their totals, one row each, meet in one task.
 """
 
 from __future__ import annotations
@@ -88,10 +89,10 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document's row as often as it is taken, with the columns of docs."""
-    sized = docs.withColumn("size", words_count(F.col("text")))
+    """The mix itself: each document's row as often as it is taken, with the columns of docs (whatever their names: they travel as one)."""
+    sized = docs.select(F.struct("*").alias("_mix_doc"), F.col("doc_id"), F.col("source"), words_count(F.col("text")).alias("size"))
     slim = written(sized.select("doc_id", "source", "size"), "mix-sizes")
-    return laid_out(sized, slim).where(F.col("copies") > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    return laid_out(sized, slim).where(F.col("copies") > 0).select("_mix_doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_mix_copy")).select("_mix_doc.*")
 
 
 #: DuckDB SQL of the contract's rows.
