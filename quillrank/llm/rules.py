@@ -28,8 +28,6 @@ BASE = 0b11
 #: Versions of the policy: the rules that count.
 POLICIES = {"base": BASE, "v1": 0b111111}
 CURRENT = "v1"
-#: A window's place and its hash share 64 bits up to so many words; longer texts are sorted by both in full.
-PLACE_BITS = 24
 
 
 def words(text: Column) -> Column:
@@ -37,16 +35,12 @@ def words(text: Column) -> Column:
     return F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, f"{WS}+"))
 
 
-def repeated_places(hashes: str, n: str) -> str:
+def repeated_places(hashes: str) -> str:
     """SQL: the places, in order, of array elements that occur twice or more; n log n and without a shuffle."""
-    mask = (1 << PLACE_BITS) - 1
-    packed = f"sort_array(transform({hashes}, (h, i) -> (h & {~mask}L) | i))"
-    near = lambda k: f"(shiftright(x, {PLACE_BITS}) = shiftright(get(packed, {k}), {PLACE_BITS}) AND get({hashes}, CAST(x & {mask}L AS INT)) = get({hashes}, CAST(get(packed, {k}) & {mask}L AS INT)))"
-    quick = f"sort_array(transform(filter(packed, (x, k) -> {near('k - 1')} OR {near('k + 1')}), x -> CAST(x & {mask}L AS INT)))"
-    whole = f"array_sort(transform({hashes}, (h, i) -> struct(h, i)))"
-    slow = "sort_array(transform(filter(whole, (x, k) -> x.h = get(whole, k - 1).h OR x.h = get(whole, k + 1).h), x -> x.i))"
-    # each array is bound by a lambda over a singleton, so that it is made once
-    return f"IF({n} <= {mask}, element_at(transform(array({packed}), packed -> {quick}), 1), element_at(transform(array({whole}), whole -> {slow}), 1))"
+    ordered = f"sort_array(transform({hashes}, (h, i) -> struct(h, i)))"
+    places = "sort_array(transform(filter(whole, (x, k) -> x.h = get(whole, k - 1).h OR x.h = get(whole, k + 1).h), x -> x.i))"
+    # the array is bound by a lambda over a singleton, so that it is made once
+    return f"element_at(transform(array({ordered}), whole -> {places}), 1)"
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -63,7 +57,7 @@ def ledger(docs: DataFrame) -> DataFrame:
         F.when(F.size("w") < 4, F.array().cast("array<bigint>")).otherwise(F.expr("slice(transform(w, (x, i) -> xxhash64(x, get(w, i + 1), get(w, i + 2))), 1, greatest(size(w) - 2, 0))")).alias("windows"),
     )
     # most work ends here for texts without a repeated window
-    told = measured.withColumn("places", F.expr(f"IF(size(array_distinct(windows)) = size(windows), CAST(array() AS ARRAY<INT>), {repeated_places('windows', 'size(windows)')})"))
+    told = measured.withColumn("places", F.expr(f"IF(size(array_distinct(windows)) = size(windows), CAST(array() AS ARRAY<INT>), {repeated_places('windows')})"))
     covered = F.expr("aggregate(transform(places, (p, k) -> least(3, coalesce(get(places, k + 1) - p, 3))), 0L, (a, x) -> a + x)")
     rows = told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_exclamations", F.size("full").cast("long").alias("n_lines"), (F.size("full") - F.size(F.array_distinct("full"))).cast("long").alias("n_dup_lines"), covered.alias("n_repeat_words"))
     bits = " | ".join(f"IF({condition}, {1 << k}, 0)" for k, (_, condition) in enumerate(RULES))
