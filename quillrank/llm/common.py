@@ -19,17 +19,25 @@ STEP_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir or the context's; where neither is set, a temporary one, if there is only one machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillrank-"))
         top = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return top
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table's folder that nothing will read again."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Cuts lineage: writes df as a Parquet table in the shared folder and reads it back.
 

@@ -23,12 +23,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import shared_dir, written
+from quillrank.llm.common import discard, shared_dir, written
 
 #: Code points of a key that counts, documents that must hold it.
 LEAST, DOCUMENTS = 40, 5
 #: Batches that a table is fed in, runs of a level that are merged.
 BATCHES, FANOUT = 4, 2
+#: A key is broadcast from so small a share of all rows on.
+HOT = 4096
 KEY = ["h1", "h2"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(2**63)
@@ -62,10 +64,22 @@ class LineRuns:
         """One sorted file per bucket: rows come hashed by the key into as many partitions."""
         self.made += 1
         table = f"{self.name}_{self.made}"
-        path = f"{shared_dir(self.spark).rstrip('/')}/{table}"
-        rows.repartition(self.buckets, *KEY).write.option("path", path).bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(table)
+        rows.repartition(self.buckets, *KEY).write.option("path", self._path(table)).bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(table)
         return table
 
+    def _path(self, table: str) -> str:
+        return f"{shared_dir(self.spark).rstrip('/')}/{table}"
+
+    def _drop(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE {table}")
+        discard(self.spark, self._path(table))
+
+    def close(self) -> None:
+        """Drops all tables; what counts gave must have been written."""
+        for table in [t for level in self.levels for t in level] + self.repeats:
+            self._drop(table)
+        self.levels, self.repeats = [], []
+
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(t) for level in self.levels for t in level]
 
@@ -85,7 +99,7 @@ class LineRuns:
             return
         self.repeats.append(self._save(again))
         self._level(0, self._save(fresh))
-        self.spark.sql(f"DROP TABLE {entry}")
+        self._drop(entry)
 
     def _level(self, k: int, table: str) -> None:
         if len(self.levels) == k:
@@ -98,7 +112,7 @@ class LineRuns:
                 merged = merged.unionByName(self.spark.table(t))
             self._level(k + 1, self._save(merged))
             for t in old:
-                self.spark.sql(f"DROP TABLE {t}")
+                self._drop(t)
 
     def counts(self, least: int) -> DataFrame:
         """h1, h2, n, top of the keys that at least so many documents hold."""
@@ -127,13 +141,19 @@ def repeated(docs: DataFrame, batches: int = BATCHES, least: int = DOCUMENTS) ->
     runs = LineRuns(spark)
     for b in range(batches):
         runs.add(slim.where(F.col("batch") == b).select("doc", *KEY).distinct())
-    return written(runs.counts(least), "line-repeated"), slim.select("doc", *KEY)
+    common = written(runs.counts(least), "line-repeated")
+    runs.close()
+    return common, slim.select("doc", *KEY)
 
 
 def without(docs: DataFrame) -> DataFrame:
     """docs with text cut to the lines that stay, _line_n (lines before) and _line_dropped."""
     common, slim = repeated(docs)
-    marks = slim.join(common, KEY).where(F.col("doc") < F.col("top")).groupBy("doc").agg(F.collect_set(F.struct(*KEY)).alias("_line_drop"))
+    # keys that a HOT-th part of all rows holds are HOT at most, so they are broadcast; no other key makes a large task
+    frequent = F.col("n") * HOT >= slim.count()
+    hot = F.broadcast(common.where(frequent).select(*KEY, "top"))
+    held = slim.join(hot, KEY).unionByName(slim.join(hot.select(*KEY), KEY, "left_anti").join(common.where(~frequent).select(*KEY, "top"), KEY))
+    marks = held.where(F.col("doc") < F.col("top")).groupBy("doc").agg(F.collect_set(F.struct(*KEY)).alias("_line_drop"))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     joined = docs.withColumn("_line_doc", doc).join(marks.withColumnRenamed("doc", "_line_doc"), "_line_doc", "left")
     lines = lines_of(F.col("text"))
