@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from quillrank.llm.common import fold, sampled_ids, steps
 from quillrank.shipping import ship
 
-SAMPLE = 4000
+SAMPLE = 6000
 #: Quantiles of the positives and of the unlabelled that part a measure into bins, the positives' range among them.
 INNER, OUTER = (0.0, 0.02, 0.1, 0.3, 0.5, 0.7, 0.9, 0.98, 0.995, 1.0), (0.02, 0.05, 0.1, 0.9, 0.95, 0.98)
 BINS = len(INNER) + len(OUTER) + 1
 #: Steps of descent, prior without an estimate.
-ROUNDS, RATE, DECAY, PRIOR = 400, 0.1, 3e-5, 0.8
+ROUNDS, RATE, DECAY, PRIOR = 800, 0.1, 3e-5, 0.8
 #: Characters that running text rarely holds, and those that end its words.
 SYMBOLS, POINTS = b"#*$%&|<>{}[]\\^~=", b".,;:!?"
 MEASURES = ("words", "letters_a_word", "symbols_a_word", "exclamations_a_word", "upper_share", "digits_share", "distinct_share", "repeats_share", "points_a_word", "words_a_line", "distinct_lines_share", "short_words_share")
@@ -100,9 +100,12 @@ def descend(positive: np.ndarray, unlabelled: np.ndarray, size: int, prior: floa
     return w, b
 
 
-def fit(positive: list[bytes | None], unlabelled: list[bytes | None]) -> Model:
-    """A first scorer with the default prior learns one half of the samples; the prior is estimated on its scores of the other half, then the final scorer is fitted to all."""
-    good, mixed = (np.array([measures(t) for t in sorted(x, key=lambda t: t or b"")]) for x in (positive, unlabelled))
+def fit(good: np.ndarray, mixed: np.ndarray) -> Model:
+    """good, mixed: measures of positives and of unlabelled documents, one row each.
+
+    A first scorer with the default prior learns one half of the samples; the prior is estimated on its scores of the other half, then the final scorer is fitted to all.
+    """
+    good, mixed = (x[np.lexsort(x.T[::-1])] for x in (good, mixed))
     m = len(MEASURES)
     if not len(good) or not len(mixed):
         return Model(np.zeros((m, BINS - 1)), np.zeros((m, BINS)), float(np.log(PRIOR / (1 - PRIOR))), PRIOR)
@@ -128,9 +131,21 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = S
     given = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = docs.select("doc_id").where(learnable & F.col("doc_id").isNotNull()).join(given, "doc_id", "left")
     ids = sampled_ids(rows.where(F.col("quality").isNull() | (F.col("quality") > 0)), ["quality"], sample).distinct()
-    found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "quality").distinct().collect()
-    raw = lambda t: None if t is None else bytes(t)
-    return fit([raw(r.text) for r in found if r.quality is not None], [raw(r.text) for r in found if r.quality is None])
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "quality").distinct()
+    schema = pa.schema([("positive", pa.bool_()), ("measures", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch):
+                found = [measures(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.record_batch([part.column("quality").is_valid(), pa.array(found, schema.field(1).type)], schema=schema)
+
+    ship(docs.sparkSession)
+    # measures, not texts, come to the driver
+    rows = texts.mapInArrow(run, "positive boolean, measures array<double>").toArrow()
+    table = np.array(rows.column("measures").to_pylist()).reshape(-1, len(MEASURES))
+    known = np.array(rows.column("positive").to_pylist(), bool)
+    return fit(table[known], table[~known])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
