@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import fold, sampled_ids, steps
+from quillrank.llm.common import fold, sampled_ids, steps, written
 from quillrank.shipping import ship
 
-SAMPLE = 2000
+SAMPLE = 3000
 #: Insults of general use.
 INSULTS = frozenset("asshole bastard bitch clown cretin disgusting dumb filth fool freak garbage hate idiot imbecile kill loser moron pathetic pig retard scum shit shut stupid trash ugly vermin worthless".split())
 #: Lexicon voters, words that a mined lexicon may hold, toxic documents that a word needs (number, share), how much likelier it is in toxic ones.
 GROUPS, MINED, LEAST, SHARE, RATIO = 8, 400, 5, 0.012, 6.0
-VOCABULARY, ROUNDS, RATE, DECAY = 30_000, 100, 0.1, 3e-4
+VOCABULARY, ROUNDS, RATE, DECAY = 30_000, 200, 0.1, 3e-4
 _WORD = re.compile(r"[^\W\d_]+")
 _MASKED = re.compile(r"[^\W\d_][*@$#!]+[^\W\d_]")
 _SHOUT = re.compile(r"!{3,}")
@@ -60,13 +59,10 @@ def dense_features(words: list[str], mined: frozenset[str]) -> list[float]:
     return [float(n > 0), float(np.log1p(n)), min(len(set(hits)), 5) / 5, min(1.0, 20 * n / max(1, len(words)))]
 
 
-def mine(documents: list[set[str]], toxic: np.ndarray) -> frozenset[str]:
-    """Words much likelier in toxic documents, the strongest first, by smoothed log odds times their frequency."""
-    inside, outside = Counter(), Counter()
-    for words, is_toxic in zip(documents, toxic, strict=True):
-        (inside if is_toxic else outside).update(words)
-    n, m = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    odds = {w: ((c + 0.1) / n) / ((outside[w] + 0.5) / m) for w, c in inside.items() if c >= max(LEAST, SHARE * n)}
+def mine(counts: list[tuple[str, int, int]], n: int, m: int) -> frozenset[str]:
+    """Words much likelier in toxic documents, the strongest first, by smoothed log odds times their frequency; counts: word, toxic and clean documents that hold it, of n and m."""
+    odds = {w: ((a + 0.1) / max(1, n)) / ((b + 0.5) / max(1, m)) for w, a, b in counts if a >= max(LEAST, SHARE * n)}
+    inside = {w: a for w, a, _ in counts}
     strong = [w for w, r in odds.items() if r >= RATIO]
     return frozenset(sorted(strong, key=lambda w: (-inside[w] * np.log(odds[w]), w))[:MINED])
 
@@ -109,25 +105,12 @@ def label_model(table: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.nda
     return post, chances, share
 
 
-def fit(rows: list[tuple[str | None, int | None]]) -> Model:
-    """rows: text and label (None: unlabelled)."""
-    rows = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0] or ""))
-    texts = [t for t, _ in rows]
-    given = np.array([NONE if x is None else int(x > 0) for _, x in rows], np.int64)
-    words = [words_of(t) for t in texts]
-    sets = [set(w) for w in words]
-    known = np.flatnonzero(given != NONE)
-    if not (given == TOXIC).any() or not (given == CLEAN).any():
-        return Model({}, INSULTS, np.array([2.0, 1.0, 1.0, 1.0]), -2.0)
-    mined = mine([sets[i] for i in known], given[known] == TOXIC)
-    post, _, _ = label_model(votes(texts, words, mined, given))
-    df = Counter(w for s in sets for w in s)
-    vocabulary = {w: i for i, w in enumerate(sorted((w for w, c in df.items() if c >= 3), key=lambda w: (-df[w], w))[:VOCABULARY])}
-    found = [[vocabulary[w] for w in sorted(s) if w in vocabulary] for s in sets]
-    owner, flat = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.array([i for f in found for i in f], np.int64)
-    scale = 1 / np.sqrt(np.maximum(1, np.array([df[w] for w in vocabulary])))  # rare words learn less from one document
-    dense = np.array([dense_features(w, mined) for w in words])
-    w, d, b = np.zeros(len(vocabulary)), np.zeros(dense.shape[1]), -2.0
+def fit(given: np.ndarray, found: list[np.ndarray], dense: np.ndarray, table: np.ndarray, words: list[str], times: np.ndarray, mined: frozenset[str]) -> Model:
+    """By document: given label, places of its words in words (the vocabulary), dense features, votes; times: documents that hold each word."""
+    post, _, _ = label_model(table)
+    owner, flat = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64)
+    scale = 1 / np.sqrt(np.maximum(1, times))  # rare words learn less from one document
+    w, d, b = np.zeros(len(words)), np.zeros(dense.shape[1]), -2.0
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, d, np.zeros(1))]
     for n in range(1, ROUNDS + 1):
         z = np.bincount(owner, (w * scale)[flat], len(found)) + dense @ d + b
@@ -142,7 +125,7 @@ def fit(rows: list[tuple[str | None, int | None]]) -> Model:
             moves.append(RATE * (mean / (1 - 0.9**n)) / (np.sqrt(square / (1 - 0.99**n)) + 1e-8))
         w, d, b = w - moves[0], d - moves[1], b - float(moves[2][0])
     final = w * scale
-    return Model({x: float(final[i]) for x, i in vocabulary.items() if abs(final[i]) > 1e-4}, mined, d, b)
+    return Model({x: float(final[i]) for i, x in enumerate(words) if abs(final[i]) > 1e-4}, mined, d, b)
 
 
 def score_of(text: str | None, model: Model) -> float:
@@ -155,8 +138,44 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = S
     """The model of a bounded sample: at most ``sample`` documents that are toxic, clean and unlabelled."""
     given = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = sampled_ids(docs.select("doc_id").where(learnable & F.col("doc_id").isNotNull()).join(given, "doc_id", "left"), ["toxic"], sample).distinct()
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic").distinct().collect()
-    return fit([(r.text, r.toxic) for r in rows])
+    kind = F.when(F.col("toxic").isNull(), NONE).otherwise((F.col("toxic") > 0).cast("int"))
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", kind.alias("label")).distinct(), "toxicity-sample")
+    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not sizes.get(TOXIC) or not sizes.get(CLEAN):
+        return Model({}, INSULTS, np.array([2.0, 1.0, 1.0, 1.0]), -2.0)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch):
+                each = [sorted(set(words_of(t))) for t in part.column("text").to_pylist()]
+                label = np.repeat(part.column("label").to_numpy(zero_copy_only=False), [len(ws) for ws in each])
+                yield pa.record_batch([pa.array([w for ws in each for w in ws], pa.string()), pa.array(label, pa.int32())], names=["word", "label"])
+
+    ship(docs.sparkSession)
+    held = rows.mapInArrow(split, "word string, label int").groupBy("word").agg(*(F.count_if(F.col("label") == k).alias(f"n{k}") for k in (CLEAN, TOXIC)), F.count("*").alias("n"))
+    counts = written(held.where("n >= 3"), "toxicity-words")
+    # at most VOCABULARY words, and those that so many toxic documents hold; no texts come to the driver
+    known = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    frequent = counts.where(F.col(f"n{TOXIC}") >= max(LEAST, SHARE * sizes[TOXIC])).collect()
+    mined = mine([(r.word, r[f"n{TOXIC}"], r[f"n{CLEAN}"]) for r in frequent], sizes[TOXIC], sizes[CLEAN])
+    words = sorted(r.word for r in known)
+    shared = docs.sparkSession.sparkContext.broadcast((words, mined))
+    schema = pa.schema([("turn", pa.int64()), ("label", pa.int32()), ("found", pa.list_(pa.int32())), ("dense", pa.list_(pa.float64())), ("votes", pa.list_(pa.int8()))])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, mined = shared.value
+        place = {w: i for i, w in enumerate(words)}
+        for batch in batches:
+            for part in steps(batch):
+                texts, label = part.column("text").to_pylist(), part.column("label").to_numpy(zero_copy_only=False)
+                each = [words_of(t) for t in texts]
+                columns = [[sorted(place[w] for w in set(ws) if w in place) for ws in each], [dense_features(ws, mined) for ws in each], votes(texts, each, mined, label).tolist()]
+                yield pa.record_batch([part.column("turn"), part.column("label"), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[2:], strict=True))], schema=schema)
+
+    got = rows.select("text", "label", F.xxhash64("text").alias("turn")).mapInArrow(measured, "turn long, label int, found array<int>, dense array<double>, votes array<byte>").toArrow().sort_by([("label", "ascending"), ("turn", "ascending")])
+    times = {r.word: r.n for r in known}
+    found = [np.array(x, np.int64) for x in got.column("found").to_pylist()]
+    return fit(got.column("label").to_numpy(), found, np.array(got.column("dense").to_pylist()), np.array(got.column("votes").to_pylist(), np.int64), words, np.array([times[w] for w in words]), mined)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
