@@ -7,9 +7,9 @@
 3. Texts with the same size and the same shared prefix are one group. Groups that share a prefix shingle are candidates;
    sizes, numbers of shared shingles and places of the common shingle filter group pairs.
 4. Members are verified on their whole shared sets. First each group meets one centre of its lists and each member its
-   group's head; then pairs of groups and members whose components still differ are verified, list by list. Lists and
-   groups of more than ``LIGHT`` texts don't form pairs: they are parted by size and by prefixes counted within the list,
-   again and again while that helps. Every pair that could link is either verified or already in one component, so no
+   group's head; then pairs of groups and members whose components still differ are verified, list by list. Texts outside a
+   list's largest component meet the list; lists with more than ``LIGHT`` of these are parted first, by size and by
+   prefixes counted within the list, again and again while that helps. Every pair that could link is either verified or already in one component, so no
    component is lost and no group emits all its pairs.
 
 A shingle that many texts hold is marked where a mapper sees it often, and its holders do not meet in one task.
@@ -40,8 +40,8 @@ WORDS, PERCENT = 5, 75
 OFTEN = 8
 #: Lists that shingles are dealt to, at least.
 LISTS = 256
-#: Texts of a list whose pairs are formed at once; longer lists are parted further, so often at most.
-LIGHT, LEVELS = 128, 4
+#: Texts outside a list's major component that meet the list at once; lists with more are parted further, so often at most.
+LIGHT, LEVELS = 1000, 4
 _U = np.uint64
 _LIST = _U(0xFFFFFF)
 
@@ -296,12 +296,23 @@ def _cell(n: str) -> str:
     return f"CAST(floor(ln({n}) * {_CELLS}) AS INT)"
 
 
-def _pairs(rows: DataFrame, salts: int = 1) -> DataFrame:
-    """Pairs (a, b) of texts of one list (list, fp, n, shared, root) that lie in different components and could link."""
-    x = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts))).alias("x")
-    y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).alias("y")
-    met = x.join(y, F.expr(f"x.list = y.list AND x.salt = y.salt AND x.fp < y.fp AND x.root <> y.root AND {_within('x', 'y')}"))
-    return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+def _mixed_lists(rows: DataFrame) -> DataFrame:
+    """list, major (the component with most texts) and minor (texts of other components) of lists of several components; rows: list, root, size."""
+    sums = rows.groupBy("list", "root").agg(F.sum("size").alias("size")).groupBy("list").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("texts"))
+    return sums.select("list", F.col("top.root").alias("major"), (F.col("texts") - F.col("top.size")).alias("minor")).where("minor > 0")
+
+
+def _pairs(rows: DataFrame, mixed: DataFrame, more: str = "true", salts: int = 1) -> DataFrame:
+    """Pairs of (grp, root) of one list that could link: grp_a, root_a, grp_b, root_b; rows: list, grp, n, shared, root.
+
+    Only what lies outside a list's major component goes to meet the list, so copies of one text make no pairs.
+    """
+    told = rows.join(mixed.select("list", "major"), "list")
+    x = told.where("root <> major").withColumn("salt", F.pmod(F.xxhash64("grp", "root"), F.lit(salts))).alias("x")
+    y = (told.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))) if salts > 1 else told.withColumn("salt", F.lit(0).cast("long"))).alias("y")
+    once = "(y.root = y.major OR struct(x.grp, x.root) < struct(y.grp, y.root))"
+    met = x.join(y, F.expr(f"x.list = y.list AND x.salt = y.salt AND x.root <> y.root AND {once} AND {_within('x', 'y')} AND {more}"))
+    return met.select(*(F.col(f"{k}.{c}").alias(f"{c}_{n}") for k, n in (("x", "a"), ("y", "b")) for c in ("grp", "root"))).distinct()
 
 
 def _parted(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -354,40 +365,37 @@ def components_of(texts: DataFrame) -> DataFrame:
 
     # what is left: lists, groups and members whose components differ
     placed = written(rooted(members), "ngram-placed")
-    whole = written(placed.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("shared").alias("shared"), F.count("*").alias("size")), "ngram-groups")
-    posted = postings.drop("shared").join(whole, "grp")
-    mixed = written(posted.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("texts")).where("low <> high").select("token", "texts"), "ngram-mixed")
-    light = posted.join(mixed.where(F.col("texts") <= LIGHT), "token").select("token", "grp", "n", "shared", "place", "low", "high")
+    whole = written(placed.groupBy("grp", "root").agg(F.max("shared").alias("shared"), F.count("*").alias("size")), "ngram-groups")
+    posted = postings.select(F.col("token").alias("list"), "grp", "n", "place").join(whole, "grp")
+    mixed = written(_mixed_lists(posted), "ngram-mixed")
     rest = f"{100 + PERCENT} * (1 + least(x.n - (x.n - x.shared) - x.place, y.n - (y.n - y.shared) - y.place)) >= {PERCENT} * (x.n + y.n)"
-    met = light.alias("x").join(light.alias("y"), F.expr(f"x.token = y.token AND x.grp < y.grp AND (x.low <> x.high OR y.low <> y.high OR x.low <> y.low) AND {_within('x', 'y')} AND {rest}"))
-    pairs = met.select(F.col("x.grp").alias("grp_a"), F.col("y.grp").alias("grp_b")).distinct()
-    side = lambda x: placed.select(F.col("grp").alias(f"grp_{x}"), F.struct("fp", "n", "shared", "root").alias(x))
-    expanded = pairs.join(side("a"), "grp_a").join(side("b"), "grp_b").where(F.expr(f"a.root <> b.root AND {_within('a', 'b')}"))
-    alone = whole.where(f"low <> high AND size <= {LIGHT}").select("grp")
-    inside = _pairs(placed.where(f"{100 + PERCENT} * shared >= {2 * PERCENT} * n").join(alone, "grp").withColumnRenamed("grp", "list"))
-    second = written(links(texts, expanded.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).union(inside).distinct()), "ngram-links")
-    heavy = postings.select("token", "grp").join(mixed.where(F.col("texts") > LIGHT).select("token"), "token").join(placed.select("grp", "fp", "n", "shared"), "grp").select(F.col("token").alias("list"), "fp", "n", "shared")
-    for level in range(LEVELS + 1):
+    pairs = _pairs(posted, mixed.where(F.col("minor") <= LIGHT), rest)
+    side = lambda x: placed.select(F.col("grp").alias(f"grp_{x}"), F.col("root").alias(f"root_{x}"), F.struct("fp", "n", "shared").alias(x))
+    expanded = pairs.join(side("a"), ["grp_a", "root_a"]).join(side("b"), ["grp_b", "root_b"]).where(_within("a", "b"))
+    second = written(links(texts, expanded.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()), "ngram-links")
+    heavy = postings.select(F.col("token").alias("list"), "grp").join(mixed.where(F.col("minor") > LIGHT).select("list"), "list").join(placed.select("grp", "fp", "n", "shared"), "grp").select("list", "fp", "n", "shared")
+    for level in range(LEVELS):
         if second.take(1):
             edges = edges.union(second)
             labels = components(edges)
-        if not mixed.where(F.col("texts") > LIGHT).take(1):
+        if not mixed.where(F.col("minor") > LIGHT).take(1):
             return labels
         parted = written(_parted(rooted(heavy), texts), "ngram-parted")
         near = parted.groupBy("list").agg(F.min(rank).alias("rank"))
+        found = rooted(texts.select("fp"))
         star = parted.join(near, "list").select(F.col("fp").alias("a"), F.col("rank.fp").alias("b")).where("a <> b").distinct()
-        second = written(links(texts, star.join(rooted(members.select("fp")).select(F.col("fp").alias("a"), F.col("root").alias("_a")), "a").join(rooted(members.select("fp")).select(F.col("fp").alias("b"), F.col("root").alias("_b")), "b").where("_a <> _b").select("a", "b")), "ngram-links")
+        apart = star.join(found.select(F.col("fp").alias("a"), F.col("root").alias("_a")), "a").join(found.select(F.col("fp").alias("b"), F.col("root").alias("_b")), "b").where("_a <> _b")
+        second = written(links(texts, apart.select("a", "b")), "ngram-links")
         if second.take(1):
             edges = edges.union(second)
             labels = components(edges)
-        rows = written(rooted(parted), "ngram-rows")
-        mixed = written(rows.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("texts")).where("low <> high").select("list", "texts"), "ngram-mixed")
+        rows = written(rooted(parted).withColumn("grp", F.col("fp")).withColumn("size", F.lit(1)), "ngram-rows")
+        mixed = written(_mixed_lists(rows), "ngram-mixed")
         last = level == LEVELS - 1
-        second = written(links(texts, _pairs(rows.join(mixed if last else mixed.where(F.col("texts") <= LIGHT), "list"), 16 if last else 1)), "ngram-links")
-        if last:
-            mixed = mixed.limit(0)
-        heavy = rows.drop("root").join(mixed.where(F.col("texts") > LIGHT).select("list"), "list")
-    return labels
+        pairs = _pairs(rows, mixed if last else mixed.where(F.col("minor") <= LIGHT), salts=16 if last else 1)
+        second = written(links(texts, pairs.select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b"))), "ngram-links")
+        heavy = rows.select("list", "fp", "n", "shared").join(mixed.where(F.col("minor") > LIGHT).select("list"), "list")
+    return components(edges.union(second)) if second.take(1) else labels
 
 
 def joined(docs: DataFrame, turns: bool = False) -> DataFrame:

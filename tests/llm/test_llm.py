@@ -83,7 +83,7 @@ def test_ngram_join_against_all_pairs(spark, corpus):
     assert sorted(got, key=key) == sorted(brute_components(corpus), key=key)
 
 
-@pytest.mark.parametrize("light, levels", [(128, 4), (2, 4), (2, 1)])
+@pytest.mark.parametrize("light, levels", [(1000, 4), (1, 4), (2, 1)])
 def test_ngram_join_of_many_near_copies_and_a_common_passage(spark, monkeypatch, light, levels):
     monkeypatch.setattr(ngramjoin, "LIGHT", light)  # the later cases part every list
     monkeypatch.setattr(ngramjoin, "LEVELS", levels)
