@@ -37,6 +37,8 @@ DIMS, GRAMS, LEXICON = 1 << 18, (1, 2, 3), 300
 ROUNDS, RATE, DECAY = 30, 0.05, 1e-5
 #: Words that forward-backward takes in one block.
 BLOCK = 128
+#: Bytes of text that a worker judges at once.
+STEP = 512 << 10
 #: A stage keeps what reaches so much of the least score and support that calibrated documents reach; words that a short text is filled up with.
 SLACK, FILL = (0.75, 0.9), 20
 #: Words that each of a worker's two generations of memory holds, and their letters.
@@ -232,8 +234,13 @@ class Labeller:
     """A model with the words it has met, so that features are made once for each word."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.letters, self.table = model, {}, 0, np.zeros((0, len(model.languages) + 1), np.float32)
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.letters, self.table = {}, 0, np.zeros((0, len(self.model.languages) + 1), np.float32)
         self.old, self.old_table = self.known, self.table
+        pa.default_memory_pool().release_unused()
 
     def _indices(self, words: list[str]) -> np.ndarray:
         all_words = set(words)
@@ -247,7 +254,7 @@ class Labeller:
             self.known.update((w, len(self.table) + i) for i, w in enumerate(back + made))
             self.letters += sum(map(len, new))
             parts = [self.old_table[[self.old[w] for w in back]]] if back else []
-            parts += [_scores(made[i : i + 20_000], self.model).astype(np.float32) for i in range(0, len(made), 20_000)]
+            parts += [_scores(made[i : i + 10_000], self.model).astype(np.float32) for i in range(0, len(made), 10_000)]
             self.table = np.concatenate([self.table, *parts])
         known = self.known
         return np.array([known[w] for w in words], np.int64)
@@ -297,7 +304,7 @@ def train(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> Model:
 
 
 def _labeller(held, token: str) -> Labeller:
-    """This worker's labeller of a broadcast model: the words that it has met stay known to its next task."""
+    """This worker's labeller of a broadcast model; it knows the words that a task has met until the task ends."""
     claim("langid", _STATE.clear)
     if _STATE.get("token") != token:
         _STATE.update(token=token, labeller=Labeller(held.value))
@@ -313,9 +320,10 @@ def predict(docs: DataFrame, model: Model, more: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _labeller(held, token)
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, size_bytes=STEP):
                 found = labeller.judge(part.column("text").to_pylist())
                 yield pa.record_batch([part.column("doc_id"), *(pa.array(x, f.type) for x, f in zip(found, list(schema)[1:], strict=False))], schema=schema)
+        labeller.forget()
 
     kind = "doc_id long, lang_pred string, score double" + ", support double, words long" * more
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
@@ -372,7 +380,8 @@ def filtered(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _labeller(held, token)
         for batch in batches:
-            for part in steps(batch, batch.schema.names[at]):
+            for part in steps(batch, batch.schema.names[at], STEP):
                 yield part.filter(pa.array(limits.passes(*labeller.judge(part.column(at).to_pylist()))))
+        labeller.forget()
 
     return docs.mapInArrow(run, docs.schema)
