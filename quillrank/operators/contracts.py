@@ -29,6 +29,21 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") > 1) | blank)
 
 
+def unique_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df, or a failed query where a key has several rows: the check is part of the plan, so nothing runs before the result is asked for."""
+    rest = [c for c in df.columns if c not in keys]
+    once = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_row") if rest else F.lit(None).alias("_row"))
+    what = F.concat(F.lit("several rows of key "), F.to_json(F.struct(*keys)))
+    checked = once.withColumn("_ok", F.when(F.col("_n") == 1, True).otherwise(F.raise_error(what).cast("boolean"))).where("_ok")
+    return checked.select(*keys, *(F.col("_row")[c].alias(c) for c in rest)).select(df.columns)
+
+
+def many_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", fill: str | None = None) -> DataFrame:
+    """Joins facts to a dimension that has one row of each key, or fails; with fill, texts that a left join doesn't find are that."""
+    out = left.join(unique_rows(right, keys), keys, how)
+    return out if fill is None else out.fillna(fill, [c for c in right.columns if c not in keys])
+
+
 def keyset_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that one side alone has."""
     sides = left.select(*keys).distinct().withColumn("_l", F.lit(True)).join(right.select(*keys).distinct().withColumn("_r", F.lit(True)), keys, "full_outer")
@@ -90,9 +105,12 @@ def membership_hash(df: DataFrame, columns: list[str], by: list[str] | None = No
 
 def identifying(df: DataFrame, forbidden: tuple[str, ...], pattern: str) -> DataFrame:
     """For tables that may hold aggregates only: forbidden columns raise, text values that look like ids are returned."""
-    if named := [c for c in df.columns if c.lower() in forbidden]:
+    inner = lambda t: [n for f in getattr(t, "fields", []) for n in (f.name, *inner(f.dataType))] + [n for k in ("elementType", "keyType", "valueType") if hasattr(t, k) for n in inner(getattr(t, k))]
+    if named := [n for n in inner(df.schema) if n.lower() in forbidden or n.lower().endswith("_ids")]:
         raise ContractError(f"columns identify rows: {named}")
-    texts = [c for c, t in df.dtypes if t == "string"]
-    found = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in texts))) if texts else None
+    # nested values are searched as JSON
+    texts = [c for c, t in df.dtypes if "string" in t]
+    text = lambda c: F.col(c) if dict(df.dtypes)[c] == "string" else F.to_json(F.struct(c))
+    found = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in texts))) if texts else None
     rows = df.select(found.alias("x")).select("x.*") if texts else df.sparkSession.createDataFrame([], "column string, value string")
     return rows.where(F.col("value").rlike(pattern))

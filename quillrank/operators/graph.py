@@ -11,10 +11,12 @@ from quillrank.operators import contracts
 
 
 def shared(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage by a table in the folder that driver and executors share (spark.checkpoint.dir, else a temporary one)."""
+    """Cuts lineage by a table in the folder that driver and executors share (spark.checkpoint.dir; a temporary one on a single machine where that is unset)."""
     spark: SparkSession = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         top = tempfile.mkdtemp(prefix="quillrank-")

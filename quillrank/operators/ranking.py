@@ -10,21 +10,27 @@ from quillrank.functions import scalars as S
 BLOCK = ["baseline", "query"]
 
 
-def ranked(scores: DataFrame, salt: str, block: list[str] | None = None) -> DataFrame:
-    """Ranks by score, then salted hash, then target, and the number of eligible targets. Masked pairs are not in scores.
+def tie(salt: str) -> Column:
+    return S.salted(salt, F.col("query").cast("string"), F.col("target").cast("string"))
+
+
+def ranked(scores: DataFrame, salt: str, block: list[str] | None = None, tied: str | None = None) -> DataFrame:
+    """Ranks by score, then salted hash (the column named tied, if it is made already), then target, and the number of eligible targets. Masked pairs are not in scores.
 
     Both windows share one exchange by block.
     """
-    block = block or BLOCK
-    tie = S.salted(salt, F.col("query").cast("string"), F.col("target").cast("string"))
-    w = Window.partitionBy(*block)
-    return scores.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), tie, "target"))).withColumn("eligible", F.count("*").over(w))
+    w = Window.partitionBy(*(block or BLOCK))
+    order = w.orderBy(F.desc("score"), F.col(tied) if tied else tie(salt), "target")
+    out = scores.withColumn("rank", F.row_number().over(order)).withColumn("eligible", F.count("*").over(w))
+    return out.drop(tied) if tied else out
 
 
 def tie_blocks(ledger: DataFrame, block: list[str] | None = None) -> DataFrame:
-    """First and last rank and size of each run of equal scores."""
-    out = ledger.groupBy(*(block or BLOCK), "score").agg(F.min("rank").alias("start"), F.max("rank").alias("end"), F.count("*").alias("size"))
-    return out
+    """First and last rank and size of each run of equal scores. Scores are enough, ranks aren't read: runs are counted, and the counts of better ones summed up."""
+    block = block or BLOCK
+    out = ledger.groupBy(*block, "score").agg(F.count("*").alias("size"))
+    end = F.sum("size").over(Window.partitionBy(*block).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn("end", end).select(*block, "score", (F.col("end") - F.col("size") + 1).cast("int").alias("start"), F.col("end").cast("int").alias("end"), "size")
 
 
 def broken_ties(blocks: DataFrame) -> DataFrame:

@@ -44,20 +44,25 @@ def query_intervals(metrics: DataFrame, names: list[str], replicates: int = 10_0
     return kept.groupBy("scope").applyInPandas(run, "scope string, baseline string, metric string, n long, mean double, low double, high double, status string")
 
 
-def draws(units: DataFrame, by: list[str], order: str, replicates: int, seed: int) -> DataFrame:
-    """replicate, slot and by: which unit (numbered from 0 in order) a hashed draw takes. Draws depend on replicate, slot and n alone, so groups of one size share them."""
-    sizes = units.groupBy(*by).agg(F.count("*").alias("_n"))
-    slots = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+def draws(sizes: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """sizes: n. n, replicate, pick and times: how often a hashed draw of n takes each unit (numbered from 0). Draws depend on replicate, slot and n alone, so all groups of one size share them."""
+    slots = sizes.select("n").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("slot").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    return slots.withColumn("pick", hashed % F.col("_n")).drop("_n")
+    return slots.groupBy("n", "replicate", (hashed % F.col("n")).alias("pick")).agg(F.count("*").alias("times"))
 
 
-def hashed_intervals(metrics: DataFrame, value: Column, by: list[str], order: str, replicates: int = 200, seed: int = 20260719) -> DataFrame:
-    """Percentile intervals of a mean per group, by hashed draws: plain joins and aggregates."""
+def _numbered(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Units of each group numbered from 0, with how many there are."""
     from pyspark.sql import Window
 
-    numbered = metrics.select(*by, order, value.alias("_v"), (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).alias("pick"))
-    means = draws(numbered, by, order, replicates, seed).join(numbered, [*by, "pick"]).groupBy(*by, "replicate").agg(F.avg("_v").alias("m"))
+    w = Window.partitionBy(*by)
+    return rows.withColumns({"pick": (F.row_number().over(w.orderBy(order)) - 1).cast("long"), "n": F.count("*").over(w)})
+
+
+def hashed_intervals(metrics: DataFrame, value: Column, by: list[str], order: str, replicates: int = 10_000, seed: int = 20260719) -> DataFrame:
+    """Percentile intervals of a mean per group, by hashed draws: plain joins and aggregates."""
+    numbered = _numbered(metrics.select(*by, order, value.alias("_v")), by, order)
+    means = draws(numbered, replicates, seed).join(numbered, ["n", "pick"]).groupBy(*by, "n", "replicate").agg((F.sum(F.col("_v") * F.col("times")) / F.col("n")).alias("m"))
     ends = means.groupBy(*by).agg(F.percentile("m", F.array(*map(F.lit, LEVELS))).alias("q"))
     point = numbered.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
     return point.join(ends, by).select(*by, "n", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), status(F.col("n")).alias("status"))
@@ -71,15 +76,13 @@ def paired_contrasts(metrics: DataFrame, name: str, order: dict[str, int]) -> Da
     return both.select("scope", "query", "left", "right", (F.col("_left") - F.col("_right")).alias("difference"))
 
 
-def cluster_intervals(sums: DataFrame, by: list[str], unit: str, top: str, bottom: str, replicates: int = 200, seed: int = 20260719) -> DataFrame:
+def cluster_intervals(sums: DataFrame, by: list[str], unit: str, top: str, bottom: str, replicates: int = 10_000, seed: int = 20260719) -> DataFrame:
     """Intervals of a ratio of sums when whole clusters are drawn: the drawn clusters' own count is below the line. Fewer than two clusters are not estimable.
 
     sums: one row per cluster.
     """
-    from pyspark.sql import Window
-
-    numbered = sums.select(*by, unit, F.col(top).alias("_t"), F.col(bottom).alias("_b"), (F.row_number().over(Window.partitionBy(*by).orderBy(unit)) - 1).alias("pick"))
-    means = draws(numbered, by, unit, replicates, seed).join(numbered, [*by, "pick"]).groupBy(*by, "replicate").agg((F.sum("_t") / F.sum("_b")).alias("m"))
+    numbered = _numbered(sums.select(*by, unit, F.col(top).alias("_t"), F.col(bottom).alias("_b")), by, unit)
+    means = draws(numbered, replicates, seed).join(numbered, ["n", "pick"]).groupBy(*by, "replicate").agg((F.sum(F.col("_t") * F.col("times")) / F.sum(F.col("_b") * F.col("times"))).alias("m"))
     ends = means.groupBy(*by).agg(F.percentile("m", F.array(*map(F.lit, LEVELS))).alias("q"))
     point = numbered.groupBy(*by).agg(F.count("*").alias("clusters"), (F.sum("_t") / F.sum("_b")).alias("mean"))
     sure = F.col("clusters") >= 2

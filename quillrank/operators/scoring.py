@@ -36,7 +36,8 @@ def popularity(history: DataFrame, exact: bool = False) -> DataFrame:
 
 @scorer(POPULARITY)
 def score_popularity(history: DataFrame, queries: DataFrame, **_) -> DataFrame:
-    return queries.select("query").crossJoin(popularity(history)).select("query", "target", "score")
+    """The same for all queries: target and score alone."""
+    return popularity(history).select("target", "score")
 
 
 @scorer(SEQUENCE)
@@ -62,19 +63,23 @@ def score_pair_neighbour(history: DataFrame, queries: DataFrame, entity_similari
     return active.join(near, "other").groupBy("query", "target").agg(F.max(F.col("similarity") * F.col("active")).alias("score"))
 
 
-def candidates(scores: DataFrame, queries: DataFrame, targets: DataFrame, history: DataFrame, baseline: str) -> DataFrame:
-    """The whole universe of a query, zeros filled in, its own historical targets masked. The product of queries and targets is the result's own size."""
-    grid = queries.select("query").crossJoin(targets.select("target")).join(history.select(F.col("entity").alias("query"), "target"), ["query", "target"], "left_anti")
-    return grid.join(scores, ["query", "target"], "left").select(F.lit(baseline).alias("baseline"), "query", "target", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
+def candidates(history: DataFrame, queries: DataFrame, targets: DataFrame, salt: str, names: tuple[str, ...], **features) -> DataFrame:
+    """baseline, query, target, score (zeros filled in) and _tie: the whole universe of a query, its own historical targets masked.
+
+    The product of queries and targets is the result's own size; it is made, masked and hashed once for all baselines.
+    """
+    grid = queries.select("query").crossJoin(targets.select("target")).join(history.select(F.col("entity").alias("query"), "target"), ["query", "target"], "left_anti").withColumn("_tie", ranking.tie(salt))
+    cells = []
+    for k, name in enumerate(names):
+        scores = SCORERS[name](history, queries, **features).withColumnRenamed("score", f"_s{k}")
+        grid = grid.join(scores, [c for c in ("query", "target") if c in scores.columns], "left")
+        cells.append(F.struct(F.lit(name).alias("baseline"), F.round(F.coalesce(F.col(f"_s{k}"), F.lit(0.0)), 9).alias("score")))
+    return grid.select("query", "target", "_tie", F.explode(F.array(*cells)).alias("_c")).select("_c.baseline", "query", "target", "_c.score", "_tie")
 
 
 def ledger(history: DataFrame, queries: DataFrame, targets: DataFrame, salt: str, names: tuple[str, ...], **features) -> DataFrame:
     """One ranking rule over all baselines: one exchange by (baseline, query)."""
-    parts = [candidates(SCORERS[n](history, queries, **features), queries, targets, history, n) for n in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return ranking.ranked(out, salt)
+    return ranking.ranked(candidates(history, queries, targets, salt, names, **features), salt, tied="_tie")
 
 
 def weight_variants(history: DataFrame, variants: dict[str, dict[str, float]]) -> DataFrame:

@@ -127,9 +127,16 @@ class Binding:
         g = similarity.gram_weights(self.names, "p_name", "p_name")
         return similarity.cosine_join(g.withColumnRenamed("p_name", "target"), g.withColumnRenamed("p_name", "other"), "target", "other")
 
+    def _features(self, names: tuple[str, ...]) -> dict[str, DataFrame]:
+        return {"entity_similarity": self.entity_similarity} if scoring.FINGERPRINT in names else {}
+
     def ledger(self, names: tuple[str, ...] = BASELINES, history: DataFrame | None = None) -> DataFrame:
-        features = {"entity_similarity": self.entity_similarity} if scoring.FINGERPRINT in names else {}
-        return scoring.ledger(history or self.history, self.queries, self.targets, SALT, names, **features)
+        return scoring.ledger(history or self.history, self.queries, self.targets, SALT, names, **self._features(names))
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        """The ledger's rows without ranks, for what ties alone decide."""
+        return scoring.candidates(self.history, self.queries, self.targets, SALT, BASELINES, **self._features(BASELINES)).drop("_tie")
 
     @cached_property
     def ranks(self) -> DataFrame:

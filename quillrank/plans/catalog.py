@@ -329,12 +329,12 @@ def rank_monotone_violations(b: Binding) -> DataFrame:
 
 @query('SELECT * FROM blocks', REL, ("score",))
 def tie_blocks(b: Binding) -> DataFrame:
-    return ranking.tie_blocks(b.ranks)
+    return ranking.tie_blocks(b.scores)
 
 
 @query(f'SELECT baseline, query, "end" > {K} AS crosses, size AS block_size, {K} - "start" + 1 AS selected, "end" - {K} AS excluded, score = 0 AS zero_score FROM blocks WHERE "start" <= {K} AND "end" >= {K}', REL)
 def boundary_ties(b: Binding) -> DataFrame:
-    return ranking.boundary(ranking.tie_blocks(b.ranks), K)
+    return ranking.boundary(ranking.tie_blocks(b.scores), K)
 
 
 _STRUCT = REL + ', struc AS (SELECT baseline, query, sum(size)::BIGINT AS eligible, coalesce(sum(size) FILTER (score > 0), 0)::BIGINT AS positive, count(*) AS unique_scores, max(size) AS largest_block, count(*) FILTER (size > 1) AS tied_blocks, sum(size)::BIGINT - coalesce(sum(size) FILTER (score > 0), 0)::BIGINT AS zero, count(*) < sum(size) AS has_tie, coalesce(sum(size) FILTER (score > 0), 0) = 0 AS all_zero, count(*) = 1 AS "constant" FROM blocks GROUP BY ALL)'
@@ -342,7 +342,7 @@ _STRUCT = REL + ', struc AS (SELECT baseline, query, sum(size)::BIGINT AS eligib
 
 @query("SELECT * FROM struc", _STRUCT)
 def score_structure(b: Binding) -> DataFrame:
-    return ranking.score_structure(ranking.tie_blocks(b.ranks))
+    return ranking.score_structure(ranking.tie_blocks(b.scores))
 
 
 _SPREAD = ", ".join(f"min({c}) AS {c}_min, quantile_cont({c}, 0.25) AS {c}_q25, quantile_cont({c}, 0.5) AS {c}_median, quantile_cont({c}, 0.75) AS {c}_q75, max({c}) AS {c}_max, avg({c}) AS {c}_mean" for c in ("positive", "largest_block"))
@@ -350,7 +350,7 @@ _SPREAD = ", ".join(f"min({c}) AS {c}_min, quantile_cont({c}, 0.25) AS {c}_q25,
 
 @query(f"SELECT baseline, count(*) AS queries, count(*) FILTER (has_tie) AS with_tie, count(*) FILTER (all_zero) AS all_zero, count(*) FILTER (\"constant\") AS \"constant\", {_SPREAD} FROM struc GROUP BY baseline", _STRUCT, tuple(f"{c}_{n}" for c in ("positive", "largest_block") for n in ("q25", "median", "q75", "mean")))
 def score_structure_by_baseline(b: Binding) -> DataFrame:
-    return ranking.structure_by_baseline(ranking.score_structure(ranking.tie_blocks(b.ranks)))
+    return ranking.structure_by_baseline(ranking.score_structure(ranking.tie_blocks(b.scores)))
 
 
 @query("SELECT target, other, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(similarity, 9) DESC, other) AS place FROM cs) WHERE place <= 10", NAMES, ("similarity",))
@@ -445,8 +445,9 @@ _TIE_DOUBLES = tuple(f"{a}_{m}" for a in ("expected", "worst", "best") for m in
 
 
 def _tied(b: Binding) -> DataFrame:
-    blocks = ranking.tie_blocks(b.ranks)
-    held = b.relevant.join(blocks, ["baseline", "query", "score"]).groupBy("baseline", "scope", "query", "start", "end", "size").agg(F.count("*").alias("relevant"))
+    blocks = ranking.tie_blocks(b.scores)
+    relevant = b.scoped.join(b.scores, ["query", "target"]).select("baseline", "scope", "query", "target", "score")
+    held = relevant.join(blocks, ["baseline", "query", "score"]).groupBy("baseline", "scope", "query", "start", "end", "size").agg(F.count("*").alias("relevant"))
     return metrics.tie_aware(held, K)
 
 
@@ -491,12 +492,15 @@ def tanimoto_similarity_join(b: Binding) -> DataFrame:
     return b.entity_similarity
 
 
-@query("SELECT vec_id, label, bits, near FROM (SELECT vec_id, label, bit_count(w) AS bits, round(bit_count(w & 255) / bit_count(w | 255)::DOUBLE, 9) AS near FROM (SELECT vec_id, label, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT AS w FROM embeddings))")
+_WORDS = ", ".join(f"list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i + {32 * k}] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT AS w{k}" for k in (0, 1))
+
+
+@query(f"SELECT vec_id, label, bit_count(w0) + bit_count(w1) AS bits, round((bit_count(w0 & 16711935) + bit_count(w1 & 255)) / (bit_count(w0 | 16711935) + bit_count(w1 | 255))::DOUBLE, 9) AS near FROM (SELECT vec_id, label, {_WORDS} FROM embeddings)")
 def word_tanimoto(b: Binding) -> DataFrame:
-    """Similarity of the sign bits of an embedding's first half to a fixed word of eight bits."""
-    word = F.expr("aggregate(transform(slice(embedding, 1, 32), (x, i) -> IF(x > 0, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)")
-    w = b.table("embeddings").select("vec_id", "label", F.array(word).alias("a"), F.array(F.lit(255).cast("long")).alias("b"))
-    return similarity.word_tanimoto(w, "a", "b").select("vec_id", "label", F.bit_count(F.col("a")[0]).cast("int").alias("bits"), F.round("similarity", 9).alias("near"))
+    """Similarity of the sign bits of an embedding, in two words, to two fixed words."""
+    word = lambda k: F.expr(f"aggregate(transform(slice(embedding, {32 * k + 1}, 32), (x, i) -> IF(x > 0, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)")
+    w = b.table("embeddings").select("vec_id", "label", F.array(word(0), word(1)).alias("a"), F.array(*(F.lit(x).cast("long") for x in (16711935, 255))).alias("b"))
+    return similarity.word_tanimoto(w, "a", "b").select("vec_id", "label", (F.bit_count(F.col("a")[0]) + F.bit_count(F.col("a")[1])).cast("int").alias("bits"), F.round("similarity", 9).alias("near"))
 
 
 @query("SELECT entity AS query, target, max(similarity * weight) AS score FROM nh JOIN cs USING (other) GROUP BY ALL", NAMES, ("score",))
@@ -563,12 +567,12 @@ def date_attrition(b: Binding) -> DataFrame:
 
 @query("SELECT baseline, scope, count(*) AS relations, " + ", ".join(f"count(*) FILTER (score {'=' if z == 'zero' else '>'} 0 AND size {'=' if t == 'unique' else '>'} 1 AND rank {'<=' if w == 'within' else '>'} {K}) AS {z}_{t}_{w}" for z in ("zero", "positive") for t in ("unique", "tied") for w in ("within", "beyond")) + " FROM rel JOIN blocks USING (baseline, query, score) GROUP BY ALL", REL)
 def score_attribution(b: Binding) -> DataFrame:
-    return audits.attribution(b.relevant, ranking.tie_blocks(b.ranks), ["baseline", "scope"], K)
+    return audits.attribution(b.relevant, ranking.tie_blocks(b.scores), ["baseline", "scope"], K)
 
 
 @query("SELECT baseline, query, target, rank, score, size FROM (SELECT *, row_number() OVER (PARTITION BY baseline, query ORDER BY rank) AS n FROM rel JOIN blocks USING (baseline, query, score) WHERE scope = 'temporal') WHERE n = 1", REL, ("score",))
 def first_relevant_hit(b: Binding) -> DataFrame:
-    return audits.first_hits(b.relevant.where("scope = 'temporal'"), ranking.tie_blocks(b.ranks))
+    return audits.first_hits(b.relevant.where("scope = 'temporal'"), ranking.tie_blocks(b.scores))
 
 
 _SHIFT = "quantile_cont(abs(rank_a - rank_b), {}) AS shift_{}"
@@ -753,7 +757,7 @@ def joint_coldness_counts(b: Binding) -> DataFrame:
     return _joint(b).groupBy("threshold").agg(F.count("*").alias("pairs"), F.count_if("homology_cold").alias("homology_cold"), F.count_if("eligible").alias("eligible"))
 
 
-_REPS = 100
+_REPS = 10_000
 _DRAW = "CAST('0x' || substr(md5('20260719|' || rep || '|' || slot), 1, 8) AS BIGINT)"
 _BOOT = REL + f""",
 bq AS (SELECT scope, baseline, recall, row_number() OVER (PARTITION BY scope, baseline ORDER BY query) - 1 AS pick, count(*) OVER (PARTITION BY scope, baseline) AS n FROM pq),
@@ -917,9 +921,10 @@ def table_dependence(b: Binding) -> DataFrame:
     return shaping.key_values(e.agg(F.count("*").alias("edges"), F.count_distinct("c_custkey").alias("customers"), F.count_distinct("key").alias("keys")), "dependence")
 
 
-@query(f"SELECT baseline, scope, n, hits, hits / n::DOUBLE AS recall, hits / (n + 25)::DOUBLE AS lower, (hits + 25) / (n + 25)::DOUBLE AS upper FROM (SELECT baseline, scope, count(*) AS n, count(*) FILTER (rank <= {K}) AS hits FROM rel GROUP BY ALL)", REL, ("recall", "lower", "upper"))
+@query(f"SELECT baseline, scope, n, hits, hits / n::DOUBLE AS recall, hits / (n + u)::DOUBLE AS lower, (hits + u) / (n + u)::DOUBLE AS upper FROM (SELECT baseline, scope, count(*) AS n, count(*) FILTER (rank <= {K}) AS hits FROM rel GROUP BY ALL) CROSS JOIN (SELECT count(*) AS u FROM aud WHERE status = 'entity_pair_not_sqlite_validated')", REL + _LEAK.removeprefix(HIST), ("recall", "lower", "upper"))
 def table_bounds(b: Binding) -> DataFrame:
     counts = b.relevant.groupBy("baseline", "scope").agg(F.count("*").alias("n"), F.count_if(F.col("rank") <= K).alias("hits"))
-    return counts.withColumn("_b", metrics.missing_bounds(F.col("hits"), F.col("n"), F.lit(25))).select("baseline", "scope", "n", "hits", (F.col("hits") / F.col("n")).alias("recall"), "_b.*")
+    open_ = _leak(b).where("status = 'entity_pair_not_sqlite_validated'").agg(F.count("*").alias("unresolved"))
+    return counts.crossJoin(open_).withColumn("_b", metrics.missing_bounds(F.col("hits"), F.col("n"), F.col("unresolved"))).select("baseline", "scope", "n", "hits", (F.col("hits") / F.col("n")).alias("recall"), "_b.*")
 
 

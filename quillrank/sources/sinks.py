@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from quillrank.operators import contracts
 
-# Columns that identify a row, and texts that look like identifiers.
-FORBIDDEN = ("inchikey_full", "canonical_pair_key", "uniprot_canonical_accession", "smiles", "query_id", "ref_id")
-IDENTIFIER = r"^[A-Z]{14}-[A-Z]{10}-[A-Z]$"
+# Columns that identify a row (as does any that ends in _ids), and texts that hold an identifier.
+FORBIDDEN = ("canonical_pair_key", "inchikey_full", "pair_key", "pmid", "query_compound_inchikey_full", "query_id", "rank_vector", "ref_id", "score_vector", "smiles", "source_document_id", "target_uniprot_accession", "uniprot_canonical_accession")
+IDENTIFIER = r"\b[A-Z]{14}-[A-Z]{10}-[A-Z]\b"
 
 
 def write_table(df: DataFrame, path: str, keys: list[str], columns: list[str] | None = None, kind: str = "parquet") -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillrank.operators.contracts import ContractError, require_columns
+from quillrank.operators.graph import shared
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
@@ -60,7 +61,8 @@ def with_source_rows(df: DataFrame, order: list[str], name: str = "source_row")
 
     Spark keeps no line numbers, so the order must be told.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    # written once, so that counts and rows see the same ranges
+    ranged = shared(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "source-rows")
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     ahead = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
