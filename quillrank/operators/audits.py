@@ -140,3 +140,24 @@ def effect_split(ranks_a: DataFrame, ranks_b: DataFrame, scope_a: DataFrame, sco
 
     out = mean(ranks_b, scope_b, "new_new").join(mean(ranks_a, scope_b, "old_new"), ["scope", "baseline"], "full_outer").join(mean(ranks_a, scope_a, "old_old"), ["scope", "baseline"], "full_outer")
     return out.withColumns({"rank_effect": F.col("new_new") - F.col("old_new"), "membership_effect": F.col("old_new") - F.col("old_old")})
+
+
+def scored_once(states: DataFrame, name: str, digest: str = "sha256") -> DataFrame:
+    """Adds scored_as, the first of the scenarios whose states are equal, and status. One row per scenario comes in."""
+    first = states.groupBy(digest).agg(F.min(name).alias("scored_as"))
+    return states.join(first, digest).withColumn("status", F.when(F.col(name) == F.col("scored_as"), "scored").otherwise("equal_state_reused"))
+
+
+def rank_differences(frozen: DataFrame, made: DataFrame) -> DataFrame:
+    """Rows of a ledger whose rank differs from the frozen one, or that one side lacks."""
+    keys = ["baseline", "query", "target"]
+    both = frozen.select(*keys, "rank").join(made.select(*keys, F.col("rank").alias("_made")), keys, "full_outer")
+    return both.where(~F.col("rank").eqNullSafe(F.col("_made")))
+
+
+def calibration(parts: dict[str, DataFrame]) -> DataFrame:
+    """part and differences: how many rows break each part of the reference's reproduction. Perturbed results count only where all are 0 (``contracts.require``)."""
+    from functools import reduce
+
+    counts = [df.agg(F.count("*").alias("differences")).select(F.lit(part).alias("part"), "differences") for part, df in parts.items()]
+    return reduce(DataFrame.union, counts)

@@ -51,6 +51,13 @@ def on_bits(df: DataFrame, key: str, structure: str, fingerprint: Callable[[str]
     return out.select(key, F.explode(F.array_distinct("_b")).alias("bit"))
 
 
+def standardised(df: DataFrame, structure: str, policies: dict[str, Callable[[str], str]], name: str = "form") -> DataFrame:
+    """One row per row and policy with the form that the policy's plug-in gives; all policies see a batch at once. A structure that can't be read fails the query."""
+    made = applied(df, structure, "_f", lambda texts: [[f(t or "") for f in policies.values()] for t in texts], "array<string>")
+    cells = F.arrays_zip(F.array(*map(F.lit, policies)).alias("policy"), F.col("_f").alias("form"))
+    return made.withColumn("_c", F.explode(cells)).withColumns({"policy": F.col("_c")["policy"], name: F.col("_c")["form"]}).drop("_f", "_c")
+
+
 def repaired(rows: DataFrame, alternatives: DataFrame, key: str, structure: str) -> DataFrame:
     """Structures of keys that have exactly one alternative. alternatives: key, structure, round_trip (its key equals)."""
     one = alternatives.where("round_trip").groupBy(key).agg(F.array_sort(F.collect_set(structure)).alias("_a")).where(F.size("_a") == 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions import scalars as S
+from quillrank.operators import temporal
 
 # Rank of tiers, best first; statuses and decisions.
 BEST = list(S.TIERS)
@@ -59,23 +60,34 @@ def one_to_one(rows: DataFrame, source: str, entry: str, reviewed: Column, taxon
     return sets.select(source, F.when(n == 1, F.col("entries")[0]).otherwise("").alias("canonical"), status.alias("mapping_status"), "mapping_row_count", n.cast("long").alias("mapping_entry_count"))
 
 
-def pair_states(rows: DataFrame, versions: tuple[str, str] = ("v2", "v3")) -> DataFrame:
-    """One row per pair of counts and sets. rows: version, pair_key, entity, target, tier, is_primary, is_strict, pre_cutoff_status, cross_version_status, temporal_screen_status."""
-    old, new = versions
+def _state_columns(versions: tuple[str, str]) -> dict[str, Column]:
+    """Aggregates of a pair's rows: version, tier, is_primary, is_strict, pre_cutoff_status."""
+    old, _ = versions
     v = lambda name: F.col("version") == name
     strict = F.col("is_primary") & F.col("is_strict")
     counts = {}
     for name in versions:
         counts |= {f"{name}_all": v(name), f"{name}_primary": v(name) & F.col("is_primary"), f"{name}_strict": v(name) & strict}
     counts[f"{old}_pre_cutoff"] = v(old) & strict & (F.col("pre_cutoff_status") == "pre_cutoff")
-    sets = {
-        "versions": F.col("version"),
-        "primary_tiers": F.when(F.col("is_primary"), F.col("tier")),
-        "date_reasons": F.when(v(old) & strict & (F.col("pre_cutoff_status") != "pre_cutoff"), F.col("pre_cutoff_status")),
-        "cross_statuses": F.when(v(new), F.coalesce("cross_version_status", F.lit(""))),
-        "screen_statuses": F.when(v(new), F.coalesce("temporal_screen_status", F.lit(""))),
-    }
-    return rows.groupBy("pair_key", "entity", "target").agg(*(F.count_if(c).alias(n) for n, c in counts.items()), *(F.array_sort(F.collect_set(c)).alias(n) for n, c in sets.items()))
+    sets = {"versions": F.col("version"), "primary_tiers": F.when(F.col("is_primary"), F.col("tier")), "date_reasons": F.when(v(old) & strict & (F.col("pre_cutoff_status") != "pre_cutoff"), F.col("pre_cutoff_status"))}
+    return {n: F.count_if(c) for n, c in counts.items()} | {n: F.array_sort(F.collect_set(c)) for n, c in sets.items()}
+
+
+def pair_states(rows: DataFrame, versions: tuple[str, str] = ("v2", "v3")) -> DataFrame:
+    """One row per pair of counts and sets. rows: version, pair_key, entity, target, tier, is_primary, is_strict, pre_cutoff_status, cross_version_status, temporal_screen_status."""
+    seen = lambda c: F.array_sort(F.collect_set(F.when(F.col("version") == versions[1], F.coalesce(c, F.lit("")))))
+    given = {"cross_statuses": seen("cross_version_status"), "screen_statuses": seen("temporal_screen_status")}
+    return rows.groupBy("pair_key", "entity", "target").agg(*(c.alias(n) for n, c in (_state_columns(versions) | given).items()))
+
+
+def pair_states_at_once(rows: DataFrame, cutoff: Column, versions: tuple[str, str] = ("v2", "v3")) -> DataFrame:
+    """The same from rows without the two statuses (but with ref_kind, ref, precision, published): both belong to a pair, so one aggregate of its rows gives them."""
+    old, new = versions
+    sums = rows.groupBy("pair_key", "entity", "target").agg(*(c.alias(n) for n, c in _state_columns(versions).items()), *temporal.screen_sums(F.col("version") == new))
+    cross = F.when((F.col(f"{old}_all") > 0) & (F.col(f"{new}_all") > 0), "shared").otherwise(f"{new}_only")
+    held = lambda c: F.when(F.col(f"{new}_all") > 0, F.array(c)).otherwise(F.array().cast("array<string>"))
+    out = sums.withColumns({"cross_statuses": held(cross), "screen_statuses": held(temporal.screen_status(cutoff))})
+    return out.select("pair_key", "entity", "target", *_state_columns(versions), "cross_statuses", "screen_statuses")
 
 
 def pair_decisions(states: DataFrame) -> DataFrame:

@@ -29,12 +29,19 @@ def pre_cutoff_status(kind: Column, ref: Column, precision: Column, published: C
 
 def pair_screen(rows: DataFrame, cutoff: Column, key: str = "pair_key") -> DataFrame:
     """Five ordered outcomes of a pair over its rows. rows: ref_kind, ref, precision, published."""
-    numeric = is_numeric_reference(F.col("ref_kind"), F.col("ref"))
+    return rows.groupBy(key).agg(*screen_sums(F.lit(True))).withColumn("temporal_screen_status", screen_status(cutoff))
+
+
+def screen_sums(when: Column) -> list[Column]:
+    """Aggregates of the rows where ``when`` holds that a pair's outcome reads."""
+    numeric = when & is_numeric_reference(F.col("ref_kind"), F.col("ref"))
     exact = numeric & (F.col("precision") == "day") & F.col("published").isNotNull()
     day = F.when(exact, F.col("published"))
-    sums = rows.groupBy(key).agg(F.count("*").alias("records"), F.count_if(numeric).alias("numeric_records"), F.count_distinct(F.when(numeric, F.col("ref"))).alias("references"), F.count_if(numeric & ~exact).alias("unresolved"), F.min(day).alias("earliest"), F.max(day).alias("latest"))
-    status = F.when(F.col("numeric_records") == 0, "no_pmid_reference").when(F.col("records") > F.col("numeric_records"), "non_pmid_reference_present").when(F.col("unresolved") > 0, "pmid_date_not_day_precise").when(F.col("earliest") <= cutoff, "pre_cutoff_or_same_day").otherwise("future_candidate_pmid_only")
-    return sums.withColumn("temporal_screen_status", status)
+    return [F.count_if(when).alias("records"), F.count_if(numeric).alias("numeric_records"), F.count_distinct(F.when(numeric, F.col("ref"))).alias("references"), F.count_if(numeric & ~exact).alias("unresolved"), F.min(day).alias("earliest"), F.max(day).alias("latest")]
+
+
+def screen_status(cutoff: Column) -> Column:
+    return F.when(F.col("numeric_records") == 0, "no_pmid_reference").when(F.col("records") > F.col("numeric_records"), "non_pmid_reference_present").when(F.col("unresolved") > 0, "pmid_date_not_day_precise").when(F.col("earliest") <= cutoff, "pre_cutoff_or_same_day").otherwise("future_candidate_pmid_only")
 
 
 def dated(rows: DataFrame, value: str, precision: str, cutoff: Column) -> DataFrame:

@@ -76,8 +76,7 @@ class Binding:
     def states(self) -> DataFrame:
         status = temporal.pre_cutoff_status(F.col("ref_kind"), F.col("ref"), F.col("precision"), F.col("published"), self.cutoff)
         rows = self.dated.withColumn("pre_cutoff_status", status).withColumn("is_strict", F.col("p_size") % 10 != 0)
-        full = rows.join(self.membership.select("pair_key", "cross_version_status"), "pair_key").join(self.screened.select("pair_key", "temporal_screen_status"), "pair_key", "left")
-        return evidence.pair_states(full)
+        return evidence.pair_states_at_once(rows, self.cutoff)
 
     @cached_property
     def history(self) -> DataFrame:
