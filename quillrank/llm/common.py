@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -103,6 +106,21 @@ class Recent:
         return [k for k in away if k not in old] if found else away
 
 
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same step, after which the worker gives the memory that it has freed back to the system: idle workers share their executor's memory with the stages that follow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim:
+                trim(0)
+
+    return run
+
+
 _MEMORIES: dict[str, Callable[[], None]] = {}
 
 

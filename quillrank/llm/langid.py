@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import claim, fold, sampled_ids, steps
+from quillrank.llm.common import claim, fold, sampled_ids, steps, tidy
 from quillrank.shipping import ship
 
 UNKNOWN = "und"
@@ -240,7 +240,6 @@ class Labeller:
     def forget(self) -> None:
         self.known, self.letters, self.table = {}, 0, np.zeros((0, len(self.model.languages) + 1), np.float32)
         self.old, self.old_table = self.known, self.table
-        pa.default_memory_pool().release_unused()
 
     def _indices(self, words: list[str]) -> np.ndarray:
         all_words = set(words)
@@ -326,7 +325,7 @@ def predict(docs: DataFrame, model: Model, more: bool = False) -> DataFrame:
         labeller.forget()
 
     kind = "doc_id long, lang_pred string, score double" + ", support double, words long" * more
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), kind)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -384,4 +383,4 @@ def filtered(docs: DataFrame) -> DataFrame:
                 yield part.filter(pa.array(limits.passes(*labeller.judge(part.column(at).to_pylist()))))
         labeller.forget()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

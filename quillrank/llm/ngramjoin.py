@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import coded_words, steps, written
+from quillrank.llm.common import coded_words, steps, tidy, written
 from quillrank.shipping import ship
 
 #: Words of a shingle; two texts link when 100 * intersection >= PERCENT * union.
@@ -93,7 +93,7 @@ def digests(docs: DataFrame, turns: bool = False) -> DataFrame:
 
     ship(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.xxhash64("text").alias("turn")] if turns else []))
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, fp binary" + (", turn long" if turns else ""))
+    return slim.mapInArrow(tidy(run), "doc_id long, n_shingles long, fp binary" + (", turn long" if turns else ""))
 
 
 # Packed rows: column a holds 4 bytes for each entry (the text: first bytes of its fp), b 5 bytes (the shingle: 40 bits
@@ -162,7 +162,7 @@ def _dealt(docs: DataFrame, lists: int) -> DataFrame:
                         yield _batch(list(rows_of(step)))
 
     ship(docs.sparkSession)
-    return docs.select("text").mapInArrow(run, PACKED)
+    return docs.select("text").mapInArrow(tidy(run), PACKED)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +180,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 passing.append(row)
         if passing:
             yield _batch(passing)
-    for k, rows in held.items():
+    while held:  # a list that is done is let go
+        k, rows = held.popitem()
         owner = np.concatenate([np.frombuffer(r[3], "<u4") for r in rows])
         key = np.concatenate([_unpack(r[4]) for r in rows])
         order = np.argsort(key, kind="stable")
@@ -250,8 +251,8 @@ def survivors(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     lists = min(max(LISTS, 4 * width), 1 << 24)  # as many more as there are more partitions
-    counted = _dealt(docs, lists).repartition(width, "list").mapInArrow(_counted, PACKED)
-    texts = counted.repartition(width, "step").mapInArrow(_assembled, "fp binary, n int, shared int, prefix int, tokens array<long>")
+    counted = _dealt(docs, lists).repartition(width, "list").mapInArrow(tidy(_counted), PACKED)
+    texts = counted.repartition(width, "step").mapInArrow(tidy(_assembled), "fp binary, n int, shared int, prefix int, tokens array<long>")
     once = texts.dropDuplicates(["fp"])  # copies of a text in other steps
     return written(once.withColumn("grp", F.md5(F.concat_ws(",", "n", F.expr("slice(tokens, 1, prefix)").cast("string")).cast("binary"))), "ngram-texts", free=True)
 

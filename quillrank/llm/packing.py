@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import Recent, claim, coded_words, steps
+from quillrank.llm.common import Recent, claim, coded_words, steps, tidy
 from quillrank.shipping import ship
 
 CAPACITY = 4096
 #: Bytes that each generation of a worker's two memories (words, runs of one kind) holds; bytes of text that one step encodes.
-MEMORY, STEP = 32 << 20, 4 << 20
+MEMORY, STEP = 16 << 20, 4 << 20
 #: What any word may hold of which the tokenizer's normal form and pattern are plain: printable ASCII and the letters of Latin-1.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: The tokenizer's pattern for such words in lower case.
@@ -59,6 +59,10 @@ class WordIds:
         self.tokenizer, self.closing = Tokenizer.from_file(path), np.array([closing], "<u4").tobytes()
         self.words, self.runs, self.spelt = Recent(MEMORY), Recent(MEMORY), _byte_level()
 
+    def forget(self) -> None:
+        self.words.forget()
+        self.runs.forget()
+
     def _plain(self, words: list[str]) -> list[bytes]:
         parted = list(map(_RUNS.findall, words))
         model, spelt = self.tokenizer.model, self.spelt
@@ -139,10 +143,11 @@ def pack(docs: DataFrame, tokenizer_path: str, closing_id: int = 2, capacity: in
                         start += n
                         at += n
                 yield pa.record_batch([pa.array(c, t.type) for c, t in zip(rows, schema, strict=True)], schema=schema)
+        encoder.forget()
 
     ship(docs.sparkSession)
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), kind)
     return pieces.withColumns({"bucket": F.round(F.log2("length")).cast("int"), "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
