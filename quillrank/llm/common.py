@@ -110,7 +110,11 @@ def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
     """The same step, after which the worker gives the memory that it has freed back to the system: idle workers share their executor's memory with the stages that follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from f(batches)
+        gc.disable()  # steps make many small objects and no cycles; one collection at the end is enough
+        try:
+            yield from f(batches)
+        finally:
+            gc.enable()
         gc.collect()
         pa.default_memory_pool().release_unused()
         if sys.platform == "linux":

@@ -28,7 +28,7 @@ from quillrank.shipping import ship
 
 CAPACITY = 4096
 #: Bytes that each generation of a worker's two memories (words, runs of one kind) holds; bytes of text that one step encodes.
-MEMORY, STEP = 8 << 20, 1 << 20
+MEMORY, STEP = 12 << 20, 2 << 20
 #: What any word may hold of which the tokenizer's normal form and pattern are plain: printable ASCII and the letters of Latin-1.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: The tokenizer's pattern for such words in lower case.
