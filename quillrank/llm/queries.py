@@ -77,11 +77,31 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillrank.llm import spelling
+
+    return spelling.forms(spelling.word_counts(_documents(spark, sf_dir)))
+
+
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quillrank.llm import subwords
+
+    return subwords.digest(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillrank.llm import rolling
+
+    return rolling.outliers(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from quillrank.llm import linededup, mixing, rules
+    from quillrank.llm import linededup, mixing, rolling, rules, spelling
 
-    return {"op4_line_dedup": linededup.SQL, "op7_quality_rules": rules.SQL, "op10_source_mixing": mixing.SQL}
+    return {"op4_line_dedup": linededup.SQL, "op7_quality_rules": rules.SQL, "op10_source_mixing": mixing.SQL, "op11_spelling_variants": spelling.SQL, "op13_rolling_median": rolling.SQL}
