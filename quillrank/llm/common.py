@@ -51,7 +51,14 @@ def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     df.write.parquet(path)
     if free:
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillrank_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes a written table; for the DataFrame that written gave, when nothing will read it again."""
+    discard(df.sparkSession, df._quillrank_path)
 
 
 def steps(batch: pa.RecordBatch, column: str = "text", size_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -65,9 +72,11 @@ def steps(batch: pa.RecordBatch, column: str = "text", size_bytes: int = STEP_BY
         at = to
 
 
-def coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words between ASCII white space (A-Z in lower case), the place of each word of all texts in order among them, and words a text."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+def coded_words(texts: pa.Array, unless: str | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words between ASCII white space (A-Z in lower case, but not in texts that hold ``unless``), the place of each word of all texts in order among them, and words a text."""
+    texts = pc.fill_null(texts, "")
+    lower = pc.ascii_lower(texts)
+    split = pc.ascii_split_whitespace(lower if unless is None else pc.if_else(pc.match_substring(texts, unless), texts, lower))
     count = np.asarray(pc.list_value_length(split), dtype=np.int64)
     coded = split.flatten().dictionary_encode()
     index = np.asarray(coded.indices, dtype=np.int64)

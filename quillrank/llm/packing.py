@@ -90,7 +90,7 @@ class WordIds:
 
     def raw(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, the closing one last in each, and how many each has."""
-        words, index, count = coded_words(texts)
+        words, index, count = coded_words(texts, unless="<|")  # special tokens are found before letters are made lower
         known = self.learn(words)
         parts = [known[w] for w in words] + [self.closing]
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4

@@ -147,6 +147,25 @@ def test_line_dedup(spark, corpus):
     assert sorted(got, key=key) == sorted(want, key=key) and sum(r[2] for r in want) > 20
 
 
+@pytest.mark.parametrize("few", [0, 2])
+def test_line_dedup_of_documents_with_many_dropped_lines(spark, monkeypatch, few):
+    monkeypatch.setattr(linededup, "FEW", few)
+    line = lambda k: f"line number {k} is long enough to count as a key"
+    rows = [(d, "\n".join([line(k % 7) for k in range(d, d + 9)] + ["short", ""] + [line(100 + d)]), "en", "s") for d in range(8)]
+    rows += [(3, line(1) + "\n" + line(2), "en", "s"), (3, line(1) + "\n" + line(2), "en", "t"), (2, None, "en", "s"), (None, "\n".join(line(k) for k in range(7)), None, None)]
+    want = [(d, n, k, hashlib.sha256(t.encode()).hexdigest()) for d, n, k, t in brute_lines(rows)]
+    got = [tuple(r) for r in linededup.dedup(documents(spark, rows, extra=True)).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_line_dedup_takes_long_texts(spark):
+    """Five equal texts of 50,000 lines and one of 200,000, in time that grows with the lines."""
+    shared = "\n".join(f"line number {k} is long enough to count as a key" for k in range(50_000))
+    own = "\n".join(f"another line, number {k}, long enough to count as a key" for k in range(200_000))
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in linededup.dedup(documents(spark, [shared] * 5 + [own])).collect()}
+    assert got == {k: (50_000, 50_000 if k < 4 else 0) for k in range(5)} | {5: (200_000, 0)}
+
+
 def test_line_runs_stay_few_and_exact(spark):
     runs = linededup.LineRuns(spark, buckets=2)
     for b in range(5):
@@ -306,7 +325,7 @@ def brute_pieces(d, t):
 def test_packing(spark, corpus):
     import public_tokenizers
 
-    rows = corpus + [(2000 + i, t, "en", "s") for i, t in enumerate(["don't I'LL <|endoftext|> x<|startoftext|>y", "İ, É. É. ½, ǅ! ΑΣ, ñ|", "日本語 テスト\x1c\x85 a", "end. (end.) end..., e.g., U.S.A."])]
+    rows = corpus + [(2000 + i, t, "en", "s") for i, t in enumerate(["don't I'LL <|endoftext|> x<|startoftext|>y", "İ, É. É. ½, ǅ! ΑΣ, ñ|", "日本語 テスト\x1c\x85 a", "end. (end.) end..., e.g., U.S.A.", "A <|ENDOFTEXT|> B", "<|EndOfText|>x", "Two <|StartOfText|> THREE <|endoftext|>", "<| UPPER |>"])]
     got = packing.pack(documents(spark, rows, extra=True), public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
     pieces = got.collect()
     want = [p for d, t, *_ in rows for p in brute_pieces(d, t)]
