@@ -11,7 +11,7 @@ A line's key is its text without white space at both ends, A-Z in lower case; tw
 hold; ``without`` drops their lines except in the largest doc_id. Counting comes first over single documents, so a
 line that a third of all documents hold is never gathered in one task.
 
-Edge cases: a null or empty text is one empty line; keys shorter than ``LEAST`` code points are never dropped; rows
+Edge cases: a text of many lines takes work in proportion to them; a null or empty text is one empty line; keys shorter than ``LEAST`` code points are never dropped; rows
 that share a doc_id count as one document; null doc_ids count as one document that is smaller than any other; an empty
 table gives an empty result; other columns are kept by ``without`` and may not begin with ``_line_``.
 """
@@ -31,6 +31,9 @@ LEAST, DOCUMENTS = 40, 5
 BATCHES, FANOUT = 4, 2
 #: A key is broadcast from so small a share of all rows on.
 HOT = 4096
+#: A document with more keys to drop than this is worked off line by line.
+FEW = 32
+WHOLE = "array<struct<id: string, n: int, text: string>>"
 KEY = ["h1", "h2"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(2**63)
@@ -44,10 +47,14 @@ def key_of(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _UPPER, _LOWER)
 
 
+def hashes_of(key: Column) -> Column:
+    return F.struct(F.xxhash64(key).alias("h1"), F.hash(key).alias("h2"))
+
+
 def hashed(line: Column) -> Column:
     """The hashes of a line's key, null where it is too short to count."""
     key = key_of(line)
-    return F.when(F.length(key) >= LEAST, F.struct(F.xxhash64(key).alias("h1"), F.hash(key).alias("h2")))
+    return F.when(F.length(key) >= LEAST, hashes_of(key))
 
 
 class LineRuns:
@@ -136,7 +143,9 @@ def repeated(docs: DataFrame, batches: int = BATCHES, least: int = DOCUMENTS) ->
     """The keys that at least ``least`` documents hold (h1, h2, n, top), and the table of all (doc, h1, h2) long enough to count."""
     spark = docs.sparkSession
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    held = docs.select(doc.alias("doc"), F.explode(F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), hashed), lambda x: x.isNotNull()))).alias("k"))
+    # distinct as texts, which Spark hashes; structs it compares each with each
+    keys = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), key_of), lambda x: F.length(x) >= LEAST))
+    held = docs.select(doc.alias("doc"), F.explode(F.transform(keys, hashes_of)).alias("k"))
     slim = written(held.select("doc", "k.h1", "k.h2", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int").alias("batch")), "line-keys")
     runs = LineRuns(spark)
     for b in range(batches):
@@ -153,16 +162,38 @@ def without(docs: DataFrame) -> DataFrame:
     frequent = F.col("n") * HOT >= slim.count()
     hot = F.broadcast(common.where(frequent).select(*KEY, "top"))
     held = slim.join(hot, KEY).unionByName(slim.join(hot.select(*KEY), KEY, "left_anti").join(common.where(~frequent).select(*KEY, "top"), KEY))
-    marks = held.where(F.col("doc") < F.col("top")).groupBy("doc").agg(F.collect_set(F.struct(*KEY)).alias("_line_drop"))
+    marks = written(held.where(F.col("doc") < F.col("top")).groupBy("doc").agg(F.collect_set(F.struct(*KEY)).alias("_line_drop")), "line-marks")
+    few, many = marks.where(F.size("_line_drop") <= FEW).withColumn("_line_whole", F.lit(None).cast(WHOLE)), marks.where(F.size("_line_drop") > FEW)
+    if many.take(1):
+        few = few.unionByName(_by_lines(docs, many).withColumn("_line_drop", F.lit(None).cast(marks.schema["_line_drop"].dataType)))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    joined = docs.withColumn("_line_doc", doc).join(marks.withColumnRenamed("doc", "_line_doc"), "_line_doc", "left")
+    joined = docs.withColumn("_line_doc", doc).join(few.withColumnRenamed("doc", "_line_doc"), "_line_doc", "left")
     lines = lines_of(F.col("text"))
     stay = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_line_drop"), hashed(x)), F.lit(False)))
-    split = joined.withColumns({"_line_n": F.size(lines).cast("long"), "_line_stay": F.when(F.col("_line_drop").isNull(), lines).otherwise(stay)})
-    out = split.withColumns({"_line_dropped": F.col("_line_n") - F.size("_line_stay"), "text": F.array_join("_line_stay", "\n")})
+    own = F.filter("_line_whole", lambda x: x["id"] == text_id(F.col("text")))[0]
+    split = joined.withColumns({"_line_n": F.size(lines).cast("long"), "_line_own": own, "_line_stay": F.when(F.col("_line_drop").isNull(), lines).otherwise(stay)})
+    whole = F.col("_line_own").isNotNull()
+    dropped = F.col("_line_n") - F.when(whole, F.col("_line_own.n")).otherwise(F.size("_line_stay"))
+    out = split.withColumns({"_line_dropped": dropped, "text": F.when(whole, F.col("_line_own.text")).otherwise(F.array_join("_line_stay", "\n"))})
     return out.select(*docs.columns, "_line_n", "_line_dropped")
 
 
+def text_id(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def _by_lines(docs: DataFrame, many: DataFrame) -> DataFrame:
+    """For documents with many keys to drop: doc and _line_whole, for each of its texts id, lines that stay and these joined. Lines are rows here and are anti-joined, so work is in proportion to lines."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")
+    texts = docs.select(doc, "text").join(many.select("doc"), "doc", "left_semi").withColumn("id", text_id(F.col("text"))).dropDuplicates(["doc", "id"])
+    rows = texts.select("doc", "id", F.posexplode(lines_of(F.col("text"))).alias("at", "line")).withColumn("k", hashed(F.col("line")))
+    gone = many.select("doc", F.explode("_line_drop").alias("d")).select("doc", F.col("d.h1").alias("_d1"), F.col("d.h2").alias("_d2"))
+    left = rows.join(gone, (rows["doc"] == gone["doc"]) & (F.col("k.h1") == F.col("_d1")) & (F.col("k.h2") == F.col("_d2")), "left_anti")
+    kept = left.groupBy("doc", "id").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("stay"))
+    whole = texts.select("doc", "id").join(kept, ["doc", "id"], "left").select("doc", F.struct("id", F.coalesce(F.size("stay"), F.lit(0)).alias("n"), F.coalesce(F.array_join(F.col("stay.line"), "\n"), F.lit("")).alias("text")).alias("w"))
+    return whole.groupBy("doc").agg(F.collect_list("w").alias("_line_whole"))
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """The contract's rows."""
     out = without(docs.select("doc_id", "text"))
