@@ -1,7 +1,7 @@
 """Exact rolling medians and median absolute deviations, by wavelet matrices over chunks of time.
 
 A point is a series, a time and a value; points equal in all three count as one with a weight. Each point enters the
-window at its time and leaves it 60 minutes later. These events, put in order by ranges of (series, time), are dealt into
+window at its time and leaves it 60 minutes later. These events, put in order by ranges of (series, time), are cut into
 chunks of about ``EVENTS`` of them, however many points a window holds. A chunk gets, besides its own events, its halo:
 of the points that were in the window before and stay in it throughout, the counts by value (running sums of what the
 chunks before changed), so a crowded window costs a task no more than its distinct values.
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillrank.llm.common import written
+from quillrank.llm.common import release, written
 from quillrank.shipping import ship
 
 #: Events of a chunk, about; the window's length.
@@ -45,39 +45,42 @@ class Matrix:
         whole = np.zeros(1 << self.levels, np.int64)
         whole[: len(held)] = held
         self.below = np.concatenate([[0], np.cumsum(whole)])
-        self.zeros, self.sums, self.total = [], [], np.concatenate([[0], np.cumsum(weights)])
+        self.width, self.total = len(ranks) + 1, np.concatenate([[0], np.cumsum(weights)])
+        #: For each level, by a bit and a place: the place that it becomes on the next level; the weight of zeros before it, for a bit of 1 alone.
+        self.steps: list[tuple[np.ndarray, np.ndarray]] = []
         for level in range(self.levels - 1, -1, -1):
             one = (ranks >> level & 1).astype(bool)
-            self.zeros.append(np.concatenate([[0], np.cumsum(~one)]).astype(np.int32))
-            self.sums.append(np.concatenate([[0], np.cumsum(np.where(one, 0, weights))]))
+            zeros = np.concatenate([[0], np.cumsum(~one)])
+            sums = np.concatenate([[0], np.cumsum(np.where(one, 0, weights))])
+            self.steps.append((np.concatenate([zeros, zeros[-1] + np.arange(self.width) - zeros]), np.concatenate([np.zeros(self.width, np.int64), sums])))
             order = np.argsort(one, kind="stable")
             ranks, weights = ranks[order], weights[order]
 
     def count_below(self, start: np.ndarray, end: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Weight of ranks below the given ones among the points from start to end and those that all windows hold."""
         out = self.below[rank]
-        full = rank >= 1 << self.levels
-        rank = np.where(full, 0, rank)
+        full = rank >> self.levels > 0
         first, last = start, end
-        for level, zeros, sums in zip(range(self.levels - 1, -1, -1), self.zeros, self.sums, strict=True):
-            one = (rank >> level & 1).astype(bool)
-            a, b = zeros[first], zeros[last]
-            out = out + np.where(one, sums[last] - sums[first], 0)
-            first = np.where(one, zeros[-1] + first - a, a)
-            last = np.where(one, zeros[-1] + last - b, b)
-        return np.where(full, self.below[-1] + self.total[end] - self.total[start], out)
+        for level, (place, sums) in zip(range(self.levels - 1, -1, -1), self.steps, strict=True):
+            bit = (rank >> level & 1) * self.width
+            first, last = first + bit, last + bit
+            out += sums[last]
+            out -= sums[first]
+            first, last = place[first], place[last]
+        if full.any():
+            out[full] = self.below[-1] + (self.total[end] - self.total[start])[full]
+        return out
 
     def kth(self, start: np.ndarray, end: np.ndarray, k: np.ndarray) -> np.ndarray:
         """The rank of the k-th smallest (from 0), by weight."""
         rank, k = np.zeros(len(k), np.int64), k.copy()
-        for level, zeros, sums in zip(range(self.levels - 1, -1, -1), self.zeros, self.sums, strict=True):
-            left = sums[end] - sums[start] + self.below[rank + (1 << level)] - self.below[rank]
-            one = k >= left
-            k -= np.where(one, left, 0)
-            rank += np.where(one, 1 << level, 0)
-            a, b = zeros[start], zeros[end]
-            start = np.where(one, zeros[-1] + start - a, a)
-            end = np.where(one, zeros[-1] + end - b, b)
+        for level, (place, sums) in zip(range(self.levels - 1, -1, -1), self.steps, strict=True):
+            left = sums[end + self.width] - sums[start + self.width] + self.below[rank + (1 << level)] - self.below[rank]
+            one = (k >= left).astype(np.int64)
+            k -= one * left
+            rank += one << level
+            bit = one * self.width
+            start, end = place[start + bit], place[end + bit]
         return rank
 
 
@@ -86,23 +89,26 @@ def spreads(matrix: Matrix, values: np.ndarray, start: np.ndarray, end: np.ndarr
     low, high = (n - 1) // 2, n // 2
     twice = values[matrix.kth(start, end, low)] + values[matrix.kth(start, end, high)]
 
-    def within(radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many values lie below and up to the range of this doubled radius."""
-        first = np.searchsorted(values, -((radius - twice) // 2), side="left")
-        last = np.searchsorted(values, (twice + radius) // 2, side="right")
-        return matrix.count_below(start, end, first), matrix.count_below(start, end, last)
+    def within(radius: np.ndarray, some: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        """How many values lie below and up to the range of this doubled radius, in some of the windows."""
+        first = np.searchsorted(values, -((radius - twice[some]) // 2), side="left")
+        last = np.searchsorted(values, (twice[some] + radius) // 2, side="right")
+        return matrix.count_below(start[some], end[some], first), matrix.count_below(start[some], end[some], last)
 
     # the smallest radius that holds the lower middle one of the distances
     # n - 2 * (n // 4) values lie from one quartile to the other, which is half of them or more
     quarter = n // 4
     least, most = np.full(len(n), -1), np.maximum(twice - 2 * values[matrix.kth(start, end, quarter)], 2 * values[matrix.kth(start, end, n - 1 - quarter)] - twice)
-    while (most - least > 1).any():
-        middle = least + (most - least) // 2
-        below, up_to = within(middle)
-        enough = up_to - below > low
-        most, least = np.where(enough, middle, most), np.where(enough, least, middle)
+    open_ = np.flatnonzero(most - least > 1)
+    while len(open_):
+        middle = least[open_] + (most[open_] - least[open_]) // 2
+        below, up_to = within(middle, open_)
+        enough = up_to - below > low[open_]
+        most[open_[enough]] = middle[enough]
+        least[open_[~enough]] = middle[~enough]
+        open_ = open_[most[open_] - least[open_] > 1]
     # the upper middle one is the same, or the nearest value outside on either side
-    below, up_to = within(most)
+    below, up_to = within(most, slice(None))
     none = np.int64(1) << 62
     right = np.where(up_to < n, 2 * values[matrix.kth(start, end, np.minimum(up_to, n - 1))] - twice, none)
     left = np.where(below > 0, twice - 2 * values[matrix.kth(start, end, np.maximum(below - 1, 0))], none)
@@ -163,9 +169,16 @@ def windows(points: DataFrame, events: int = EVENTS) -> DataFrame:
     come = F.struct(F.col("time"), F.coalesce("cents", zero).alias("cents"), F.when(known, F.col("w")).otherwise(zero).alias("change"), F.lit(True).alias("asked"))
     go = F.when(known, F.struct((F.col("time") + SPAN + 1).alias("time"), F.col("cents"), (-F.col("w")).alias("change"), F.lit(False).alias("asked")))
     event = summed.select("series", F.explode(F.array_compact(F.array(come, go))).alias("e")).select("series", "e.*")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * summed.count() // events))
-    # ranges of Spark's own: a time of a series lies in one, so a range is a chunk of each series in it
-    dealt = written(event.repartitionByRange(parts, "series", "time").withColumn("chunk", F.spark_partition_id()), "rolling-events")
+    # ranges of Spark's own, as many as shuffles have partitions: what it samples for them doesn't grow with the input. A time of a series lies in one.
+    row = F.monotonically_increasing_id()
+    ranged = event.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "series", "time").sortWithinPartitions("series", "time").withColumn("row", row)
+    first = F.min("row").over(Window.partitionBy("series", "time"))
+    cut = ranged.withColumn("first", first).select("series", "time", "cents", "change", "asked", F.shiftright("first", 33).alias("part"), F.floor(F.col("first").bitwiseAND((1 << 33) - 1) / events).alias("k"))
+    cut = written(cut, "rolling-events")
+    release(summed)
+    sizes = cut.groupBy("part").agg((F.max("k") + 1).alias("chunks"))  # a row for each range
+    offsets = sizes.select("part", (F.sum("chunks").over(Window.orderBy("part")) - F.col("chunks")).alias("offset"))
+    dealt = cut.join(F.broadcast(offsets), "part").select("series", "time", "cents", "change", "asked", (F.col("offset") + F.col("k")).alias("chunk"))
     change = dealt.where("change != 0").groupBy("series", "cents", "chunk").agg(F.sum("change").alias("d"))
     w = Window.partitionBy("series", "cents").orderBy("chunk")
     running = change.select("series", "cents", "chunk", F.sum("d").over(w).alias("held"), F.lead("chunk").over(w).alias("next"))

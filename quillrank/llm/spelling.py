@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import steps, tidy, written
+from quillrank.llm.common import release, steps, tidy, written
 from quillrank.shipping import ship
 
 #: Code points and occurrences of a word that counts; how much more frequent a form is.
@@ -227,6 +227,7 @@ def forms(counts: DataFrame) -> DataFrame:
     is_form = F.col("b.near_n") >= TIMES * F.col("n")
     judged = words.join(found, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(is_form, F.col("b.near")).alias("form"), F.when(is_form, F.col("b.near_n")).alias("form_n"))
     judged = written(judged, "spelling-forms")
+    release(words)
     roots = last_forms(judged.where("form IS NOT NULL").select("word", F.col("form").alias("root")))
     return judged.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
@@ -236,8 +237,11 @@ def last_forms(steps: DataFrame) -> DataFrame:
     roots = written(steps, "spelling-roots")
     while True:
         further = roots.select(F.col("word").alias("root"), F.col("root").alias("_last"))
+        old = roots
         new = written(roots.join(further, "root", "left").select("word", F.coalesce("_last", "root").alias("root"), F.col("_last").isNotNull().alias("moved")), "spelling-roots")
+        release(old)
         roots = new.select("word", "root")
+        roots._quillrank_path = new._quillrank_path
         if not new.where("moved").take(1):
             return roots
 
