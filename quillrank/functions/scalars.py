@@ -47,9 +47,15 @@ def pair_key_fault(key: Column, left: Column, right: Column) -> Column:
     return F.when(left.contains("|") | right.contains("|"), F.lit("separator_in_part")).when(~key.eqNullSafe(pair_key(left, right)), F.lit("key_differs"))
 
 
+_DIGITS = r"\d+(?:_\d+)*"
+#: Decimal literals: a sign, digits with single underscores between, a point, an exponent. Suffixes and hexadecimal floats, which the JVM reads, aren't among them.
+NUMBER = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
+
+
 def finite(c: Column) -> Column:
-    """The number a text holds; null for none, NaN and infinities."""
-    x = F.trim(c).try_cast("double")
+    """The number a text holds between white space; null for none, NaN and infinities."""
+    text = F.regexp_replace(c, r"^\s+|\s+$", "")
+    x = F.when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit(""))).try_cast("double")
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
@@ -182,6 +188,17 @@ def derived_seed(base: int, *labels: object) -> int:
     return int.from_bytes(hashlib.sha256("|".join(map(str, (base, *labels))).encode()).digest()[:8], "big")
 
 
+def derived_seed_text(base: int, *labels: Column) -> Column:
+    """The same seed by row, as 16 hexadecimal digits."""
+    return F.substring(F.sha2(F.concat_ws("|", F.lit(str(base)), *labels), 256), 1, 16)
+
+
+def threshold_of(c: Column) -> Column:
+    """An identity threshold with two decimals by row, null outside (0, 1]."""
+    x = finite(c)
+    return F.when((x > 0) & (x <= 1), F.format_string("%.2f", x))
+
+
 def discount(rank: Column) -> Column:
     return 1 / F.log2(rank + 1)
 

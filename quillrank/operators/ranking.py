@@ -25,6 +25,27 @@ def ranked(scores: DataFrame, salt: str, block: list[str] | None = None, tied: s
     return out.drop(tied) if tied else out
 
 
+def ranked_in_ranges(scores: DataFrame, salt: str, block: list[str] | None = None, tied: str | None = None, parts: int | None = None) -> DataFrame:
+    """The same ranks and counts when a block is too large for one task: rows are sorted by ranges of (block, order), and a rank is the number of its block's rows in the ranges before plus the place within the own.
+
+    Spark cuts the ranges, also inside a block. Only a row for each range and block is summed up in order; no window goes over raw rows.
+    """
+    from quillrank.operators.graph import shared
+
+    block = block or BLOCK
+    tied_here = scores if tied else scores.withColumn("_tie", tie(salt))
+    order = [*(F.col(c) for c in block), F.desc("score"), F.col(tied or "_tie"), F.col("target")]
+    rows = shared(tied_here, "rank-scores")  # ranges are sampled and then read: made once
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33))
+    placed = shared(placed.drop(tied or "_tie"), "rank-ranges")
+    each = placed.groupBy(*block, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    w = Window.partitionBy(*block)
+    ahead = each.withColumns({"_before": F.sum("_n").over(w.orderBy("_part")) - F.col("_n"), "eligible": F.sum("_n").over(w)}).drop("_n")
+    out = placed.join(ahead, [*block, "_part"])
+    return out.withColumn("rank", F.col("_before") + F.col("_row") - F.col("_first") + 1).select(*[c for c in scores.columns if c != tied], "rank", "eligible")
+
+
 def tie_blocks(ledger: DataFrame, block: list[str] | None = None) -> DataFrame:
     """First and last rank and size of each run of equal scores. Scores are enough, ranks aren't read: runs are counted, and the counts of better ones summed up."""
     block = block or BLOCK
@@ -33,9 +54,24 @@ def tie_blocks(ledger: DataFrame, block: list[str] | None = None) -> DataFrame:
     return out.withColumn("end", end).select(*block, "score", (F.col("end") - F.col("size") + 1).cast("int").alias("start"), F.col("end").cast("int").alias("end"), "size")
 
 
-def broken_ties(blocks: DataFrame) -> DataFrame:
-    """Runs that aren't contiguous in rank."""
-    return blocks.where(F.col("end") - F.col("start") + 1 != F.col("size"))
+def tie_runs(ledger: DataFrame, block: list[str] | None = None) -> DataFrame:
+    """Runs of equal scores by the ledger's own ranks: block, score, runs (how often a run of that score begins), start, end, size.
+
+    A row begins a run where no row of the same score has the rank before its own. That row is found by a join on the
+    rank, so a block is never gathered or sorted in one task, and runs may cross any border of partitions.
+    """
+    block = block or BLOCK
+    rows = ledger.select(*block, "score", F.col("rank").cast("long").alias("rank"))
+    before = rows.select(*block, F.col("score").alias("_s"), (F.col("rank") + 1).alias("rank")).distinct()
+    begins = rows.join(before, [rows[c] == before[c] for c in block] + [rows["rank"] == before["rank"], rows["score"] == before["_s"]], "left_anti")
+    starts = begins.groupBy(*block, "score").agg(F.count("*").alias("runs"))
+    ends = rows.groupBy(*block, "score").agg(F.min("rank").alias("start"), F.max("rank").alias("end"), F.count("*").alias("size"))
+    return ends.join(starts, [*block, "score"]).select(*block, "score", "runs", "start", "end", "size")
+
+
+def broken_ties(runs: DataFrame) -> DataFrame:
+    """Scores whose rows aren't one contiguous run of ranks: the run comes again, has a gap or holds a rank twice."""
+    return runs.where((F.col("runs") != 1) | (F.col("end") - F.col("start") + 1 != F.col("size")))
 
 
 def boundary(blocks: DataFrame, k: int) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.functions import scalars as S
-from quillrank.operators import audits, chemistry, contracts, dimensions, gate, graph, metrics, resample, shaping
-from quillrank.plans.binding import EV, REL, Binding, K
-from quillrank.plans.catalog import _BOOT, _POLICY, _macro, _policy_history, query
+from quillrank.operators import audits, chemistry, contracts, dimensions, gate, graph, metrics, ranking, resample, scoring, shaping, similarity
+from quillrank.plans.binding import EV, LED, NAMES, REL, SALT, Binding, K
+from quillrank.plans.catalog import _BOOT, _POLICY, _macro, _PAIR, _policy_history, query
 from quillrank.sources import tables
 
 # joins
@@ -248,3 +248,133 @@ def calibration_gate(b: Binding) -> DataFrame:
     masks = b.scoped.select("scope", "query", "target")
     return audits.calibration({"masks": contracts.keyset_difference(masks, masks, masks.columns), "ranks": audits.rank_differences(b.ranks, spoiled), "metrics": metrics.preserved(m, m, ["baseline", "scope", "query"], ["recall", "ndcg", "mrr"], 1e-15)})
 
+
+
+# ledgers by ranges and their proofs
+
+
+@query("SELECT * FROM led", LED, ("score",))
+def rank_ledger_by_ranges(b: Binding) -> DataFrame:
+    """The rank ledger, when a query's targets are too many for one task."""
+    return ranking.ranked_in_ranges(b.scores, SALT).select("baseline", "query", "target", "score", "rank", "eligible")
+
+
+_SPOILED = REL + """,
+bad AS (SELECT baseline, query, target, score, CASE WHEN query < 'N03' AND rank = 4 THEN eligible WHEN query < 'N03' AND rank = eligible THEN 4 ELSE rank END AS rank FROM led),
+marked AS (SELECT *, lag(score) OVER (PARTITION BY baseline, query ORDER BY rank) IS DISTINCT FROM score AS begins FROM bad)"""
+
+
+@query('SELECT baseline, query, score, count(*) FILTER (begins) AS runs, min(rank) AS "start", max(rank) AS "end", count(*) AS size FROM marked GROUP BY ALL HAVING runs <> 1 OR "end" - "start" + 1 <> size', _SPOILED, ("score",))
+def tie_run_proof(b: Binding) -> DataFrame:
+    """Runs that aren't contiguous in a ledger in which two ranks of some queries have changed places."""
+    at = F.col("query") < "N03"
+    spoiled = b.ranks.withColumn("rank", F.when(at & (F.col("rank") == 4), F.col("eligible")).when(at & (F.col("rank") == F.col("eligible")), 4).otherwise(F.col("rank")))
+    return ranking.broken_ties(ranking.tie_runs(spoiled))
+
+
+@query('SELECT baseline, query, score, 1 AS runs, "start", "end", size FROM blocks', REL, ("score",))
+def tie_runs_of_ledger(b: Binding) -> DataFrame:
+    """Every run of the ledger by its own ranks."""
+    return ranking.tie_runs(b.ranks)
+
+
+# bounded similarity joins
+
+
+@query("SELECT target, other, similarity FROM (SELECT target, other, round(similarity, 9) AS similarity FROM cs) WHERE similarity >= 0.45", NAMES, ("similarity",))
+def cosine_join_bounded(b: Binding) -> DataFrame:
+    """Pairs of names with a cosine of 0.45 or more, by prefixes."""
+    g = similarity.gram_weights(b.names, "p_name", "p_name")
+    out = similarity.cosine_join_above(g.withColumnRenamed("p_name", "target"), g.withColumnRenamed("p_name", "other"), "target", "other", 0.45)
+    return out.where(F.round("similarity", 9) >= 0.45)
+
+
+@query("SELECT query, entity, similarity FROM sim WHERE similarity >= 0.2", LED, ("similarity",))
+def tanimoto_join_bounded(b: Binding) -> DataFrame:
+    bits = b.history.join(b.targets, "target").select("entity", F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("bit")).distinct()
+    return similarity.tanimoto_join_above(bits.withColumnRenamed("entity", "query"), bits, "query", "entity", 0.2)
+
+
+@query("SELECT target, other, similarity, place FROM (SELECT target, other, similarity, row_number() OVER (PARTITION BY target ORDER BY round(similarity, 9) DESC, other) AS place FROM cs) WHERE place <= 10", NAMES, ("similarity",))
+def topk_neighbours_bounded(b: Binding) -> DataFrame:
+    """The ten nearest names of each, settled level by level."""
+    g = similarity.gram_weights(b.names, "p_name", "p_name")
+    return similarity.nearest(g.withColumnRenamed("p_name", "target"), g.withColumnRenamed("p_name", "other"), "target", "other", 10)
+
+
+@query("SELECT query, n.target, max(round(similarity, 9) * active) AS score FROM act JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(similarity, 9) DESC, other) AS r FROM cs WHERE other IN (SELECT other FROM nh)) WHERE r <= 10) n USING (other) GROUP BY ALL", _PAIR, ("score",))
+def score_pair_neighbour_bounded(b: Binding) -> DataFrame:
+    """The pair baseline over neighbours that the bounded join finds among historical targets."""
+    g = similarity.gram_weights(b.names, "p_name", "p_name")
+    old = g.withColumnRenamed("p_name", "other").join(b.name_history.select(F.col("target").alias("other")).distinct(), "other", "left_semi")
+    near = similarity.nearest(g.withColumnRenamed("p_name", "target"), old, "target", "other", 10).drop("place")
+    return scoring.score_pair_neighbour(b.name_history, b.queries, b.entity_similarity, near, neighbours=None)
+
+
+# parses and seeds by row
+
+
+@query("SELECT l_orderkey % 9 AS kind, count(*) AS n, sum(CASE l_orderkey % 9 WHEN 3 THEN q * 1000 WHEN 4 THEN q WHEN 5 THEN q WHEN 6 THEN q / 100 WHEN 7 THEN q END) AS total FROM (SELECT l_orderkey, CAST(l_quantity AS INT) AS q FROM lineitem) GROUP BY ALL", doubles=("total",))
+def scalar_number_literals(b: Binding) -> DataFrame:
+    """Texts that the JVM would read as numbers and that are none, and such that are."""
+    q, k = F.col("l_quantity").cast("int").cast("string"), F.col("l_orderkey") % 9
+    forms = [F.concat(q, F.lit("d")), F.concat(q, F.lit(".5f")), F.concat(F.lit("0x"), q, F.lit("p3")), F.concat(q, F.lit("_000")), F.concat(F.lit("+"), q, F.lit(".")), F.concat(F.lit("\t "), q, F.lit("\n")), F.concat(q, F.lit("E-2")), F.concat(q, F.lit(".0")), F.concat(q, F.lit("__0"))]
+    text = F.lit(None).cast("string")
+    for n, f in enumerate(forms):
+        text = F.when(k == n, f).otherwise(text)
+    return b.table("lineitem").select(k.alias("kind"), S.finite(text).alias("x")).groupBy("kind").agg(F.count("*").alias("n"), F.sum("x").alias("total"))
+
+
+@query("SELECT p_partkey, substr(sha256('20260719|' || p_brand || '|' || p_partkey), 1, 16) AS seed, CASE WHEN p_size BETWEEN 1 AND 25 THEN printf('%.2f', p_size / 25.0) END AS threshold FROM part")
+def scalar_seeds_and_thresholds(b: Binding) -> DataFrame:
+    """A seed for each part and brand, and its size as a threshold where it is one."""
+    return b.table("part").select("p_partkey", S.derived_seed_text(20260719, F.col("p_brand"), F.col("p_partkey").cast("string")).alias("seed"), S.threshold_of((F.col("p_size") / 25.0).cast("string")).alias("threshold"))
+
+
+# contracts that must find something
+
+
+@query("SELECT c_custkey AS k, 'left_only' AS side FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 5 <> 0) UNION ALL SELECT DISTINCT o_custkey, 'right_only' FROM orders WHERE o_custkey % 5 <> 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)")
+def contract_keyset_both_sides(b: Binding) -> DataFrame:
+    """Keysets of which each side lacks some."""
+    left, right = b.table("customer").select(F.col("c_custkey").alias("k")).where("k % 7 <> 0"), b.table("orders").select(F.col("o_custkey").alias("k")).where("k % 5 <> 0")
+    return contracts.keyset_difference(left, right, ["k"])
+
+
+@query("SELECT event_id, event_id % 4 <> 0 AND json_extract_string(props, '$.k') IS NOT NULL AS found, CASE WHEN event_id % 4 <> 0 THEN coalesce(json_extract_string(props, '$.k'), '') ELSE '' END AS k, '' AS nothing FROM events")
+def source_json_fields(b: Binding) -> DataFrame:
+    """A field that answers hold and one that none does; a quarter of the keys has no answer."""
+    e = b.table("events").select("event_id", "props")
+    return tables.json_records(e, e.where("event_id % 4 <> 0"), "event_id", "props", "k string, nothing string")
+
+
+@query("SELECT pair, count(*) AS different FROM (SELECT '0.30/0.50' AS pair, a.query, a.target FROM (SELECT query, target FROM scoped WHERE scope = 'joint_0.50' EXCEPT SELECT query, target FROM scoped WHERE scope = 'joint_0.30') a UNION ALL SELECT '0.50/temporal', query, target FROM (SELECT query, target FROM scoped WHERE scope = 'temporal' EXCEPT SELECT query, target FROM scoped WHERE scope = 'joint_0.50')) GROUP BY pair", REL)
+def differing_masks(b: Binding) -> DataFrame:
+    """Masks of nested scopes that differ: the proof of equal masks has something to find."""
+    side = lambda t: b.scoped.where(F.col("scope") == t)
+    apart = lambda pair, x, y: contracts.keyset_difference(side(x), side(y), ["query", "target"]).agg(F.count("*").alias("different")).select(F.lit(pair).alias("pair"), "different")
+    return apart("0.30/0.50", "joint_0.30", "joint_0.50").union(apart("0.50/temporal", "joint_0.50", "temporal"))
+
+
+@query("SELECT 'masks' AS part, (SELECT count(*) FROM scoped WHERE query < 'N04' AND scope = 'temporal') AS differences UNION ALL SELECT 'ranks', (SELECT count(*) FROM led WHERE rank = 3 AND query < 'N02') UNION ALL SELECT 'metrics', (SELECT count(*) FROM pq WHERE query < 'N03')", REL)
+def calibration_gate_of_spoiled(b: Binding) -> DataFrame:
+    """The gate against frozen results of which masks, ranks and metrics are spoiled: it tells each."""
+    spoiled = b.ranks.withColumn("rank", F.when((F.col("rank") == 3) & (F.col("query") < "N02"), 0).otherwise(F.col("rank")))
+    m, masks = metrics.per_query(b.relevant, K), b.scoped.select("scope", "query", "target")
+    fewer = masks.where(~((F.col("query") < "N04") & (F.col("scope") == "temporal")))
+    moved = m.withColumn("mrr", F.when(F.col("query") < "N03", F.col("mrr") + 0.25).otherwise(F.col("mrr")))
+    return audits.calibration({"masks": contracts.keyset_difference(masks, fewer, masks.columns), "ranks": audits.rank_differences(b.ranks, spoiled), "metrics": metrics.preserved(m, moved, ["baseline", "scope", "query"], ["recall", "ndcg", "mrr"], 1e-12)})
+
+
+@query("SELECT 'P' || p_partkey AS accession, upper(replace(p_name, ' ', '')) AS sequence FROM part")
+def source_fasta(b: Binding) -> DataFrame:
+    """Parts written as records with three kinds of headers, with signs inside them, and read back."""
+    import uuid
+
+    acc, k = F.concat(F.lit("P"), F.col("p_partkey").cast("string")), F.col("p_partkey") % 3
+    head = F.when(k == 0, F.concat(F.lit("sp|"), acc, F.lit("|NAME foo->bar"))).when(k == 1, F.concat(acc, F.lit("|x >y"))).otherwise(F.concat(acc, F.lit(" z>")))
+    lines = b.table("part").select(F.concat(F.lit(">"), head, F.lit("\n"), F.replace("p_name", F.lit(" "), F.lit("\n"))).alias("value"))
+    top = graph.shared(lines, "fasta-lines")
+    path = f"{top.inputFiles()[0].rsplit('/', 1)[0]}-{uuid.uuid4().hex}.fa"
+    top.write.text(path)
+    return tables.fasta(b.spark, path)

@@ -37,7 +37,9 @@ def choose_column(df: DataFrame, names: list[str], role: str) -> str:
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """accession and sequence of each record; headers ``sp|ACC|..``, ``ACC|..`` or a bare token. Blank sequences and repeated accessions raise on use of contracts.duplicates."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    # a record begins where a line does; a file's first has its sign still
+    raw = spark.read.option("lineSep", "\n>").text(path)
+    records = raw.select(F.regexp_replace("value", r"^\s*>", "").alias("value")).where(F.trim("value") != "")
     head = F.trim(F.substring_index("value", "\n", 1))
     token = F.split(head, r"\s+")[0]
     parts = F.split(token, r"\|")

@@ -216,3 +216,70 @@ def test_gate_and_plug_ins(spark):
     assert gate.gate_faults(audit).count() == 0 and {r.pair_key: r.status for r in audit.collect()}["b"] == "entity_pair_not_sqlite_validated"
     s = chemistry.scaffold_rows(spark.createDataFrame([("a", "C1CC1"), ("b", "CC"), ("c", "?")], "k string, s string"), "k", "s", lambda t: None if t == "?" else "ring" if "1" in t else "")
     assert {tuple(r) for r in s.select("k", "scaffold", "scaffold_status").collect()} == {("a", "ring", "ok"), ("b", "", "acyclic_or_empty_bemis_murcko"), ("c", "", "invalid_smiles")}
+
+
+def test_number_literals(spark):
+    texts = {"5d": None, "5D": None, "1.5f": None, "0x1p3": None, "NaN": None, "inf": None, "-Infinity": None, "": None, None: None, "1__0": None, "_1": None, "1_": None, "1e": None, ".": None, "1e999": None,
+             "5": 5.0, " 5\t\n": 5.0, "+5.": 5.0, "-.5": -0.5, "1_000.2_5": 1000.25, "1e3": 1000.0, "2E-2": 0.02, "007": 7.0}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.finite(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in got} == texts
+
+
+def test_seeds_and_thresholds_by_row(spark):
+    rows = spark.createDataFrame([("a", "0.3"), ("b", "1"), ("c", "0"), ("d", "1.2"), ("e", "x"), ("f", None)], "k string, t string")
+    got = {r.k: (r.seed, r.t) for r in rows.select("k", S.derived_seed_text(7, F.col("k"), F.lit("z")).alias("seed"), S.threshold_of(F.col("t")).alias("t")).collect()}
+    assert all(int(seed, 16) == S.derived_seed(7, k, "z") for k, (seed, _) in got.items())
+    assert [got[k][1] for k in "abcdef"] == ["0.30", "1.00", None, None, None, None]
+
+
+def test_ranks_in_ranges_part_one_block(spark):
+    """One query with most targets, most of them tied at 0: many ranges hold it, none much more than its share."""
+    n = 60_000
+    grid = spark.range(n).select(F.lit("b").alias("baseline"), F.lit("q").alias("query"), F.format_string("t%06d", "id").alias("target"), F.when(F.col("id") % 10 == 0, F.col("id") % 97).otherwise(0).cast("double").alias("score"))
+    grid = grid.union(grid.where("score > 90").withColumn("query", F.lit("other"))).union(grid.limit(1).withColumn("query", F.lit("lone")))
+    keys = ["baseline", "query", "target"]
+    a, b = ranking.ranked(grid, "salt"), ranking.ranked_in_ranges(grid, "salt", parts=16)
+    both = a.select(*keys, "rank", "eligible").join(b.select(*keys, F.col("rank").alias("r"), F.col("eligible").alias("e")), keys, "full_outer")
+    assert both.count() == grid.count() and both.where("NOT (rank <=> r AND eligible <=> e)").count() == 0
+    empty = ranking.ranked_in_ranges(grid.limit(0), "salt")
+    assert empty.count() == 0 and empty.columns == [*grid.columns, "rank", "eligible"]
+
+
+def test_broken_runs_are_found(spark):
+    rows = [("b", "q", f"t{r}", s, r) for r, s in enumerate([3.0, 2.0, 2.0, 1.0, 0.0, 0.0, 0.0], 1)]
+    led = spark.createDataFrame(rows, "baseline string, query string, target string, score double, rank int")
+    assert ranking.broken_ties(ranking.tie_runs(led)).count() == 0
+    swapped = led.withColumn("rank", F.when(F.col("rank") == 3, 4).when(F.col("rank") == 4, 3).otherwise(F.col("rank")))
+    assert [tuple(r) for r in ranking.broken_ties(ranking.tie_runs(swapped)).collect()] == [("b", "q", 2.0, 2, 2, 4, 2)]
+    gap = led.withColumn("rank", F.when(F.col("rank") == 7, 9).otherwise(F.col("rank")))
+    twice = led.withColumn("rank", F.when(F.col("rank") == 6, 5).otherwise(F.col("rank")))
+    assert [r.score for r in ranking.broken_ties(ranking.tie_runs(gap)).collect()] == [0.0] == [r.score for r in ranking.broken_ties(ranking.tie_runs(twice)).collect()]
+
+
+def test_bounded_joins_against_full_ones(spark):
+    import random
+
+    draw = random.Random(3)
+    parts = ["alpha", "beta", "gam", "delt", "eps", "zeta", "eta", "iota"]
+    names = [(k, " ".join(draw.choice(parts) for _ in range(draw.randrange(1, 5)))) for k in range(150)] + [(900, "x"), (901, None)]
+    g = similarity.gram_weights(spark.createDataFrame(names, "k long, t string"), "k", "t").cache()
+    l, r = g.withColumnRenamed("k", "a"), g.withColumnRenamed("k", "b").where("b % 3 <> 0")
+    full = {(x.a, x.b): x.similarity for x in similarity.cosine_join(l, r, "a", "b").collect()}
+    for least in (0.3, 0.7, 1.0):
+        got = {(x.a, x.b): x.similarity for x in similarity.cosine_join_above(l, r, "a", "b", least).collect()}
+        assert set(got) == {p for p, s in full.items() if s >= least - 1e-9} and all(abs(s - full[p]) < 1e-9 for p, s in got.items())
+    want = {(x.a, x.b): x.place for x in ranking.top_k(similarity.cosine_join(l, r, "a", "b"), ["a"], [F.desc(F.round("similarity", 9)), F.col("b")], 6).collect()}
+    assert {(x.a, x.b): x.place for x in similarity.nearest(l, r, "a", "b", 6).collect()} == want
+    bits = spark.createDataFrame([(k, b) for k in range(60) for b in {draw.randrange(12) for _ in range(draw.randrange(1, 8))} | {99}], "k long, bit long")
+    x, y = bits.withColumnRenamed("k", "a"), bits.withColumnRenamed("k", "b")
+    every = {(p.a, p.b): p.similarity for p in similarity.tanimoto_join(x, y, "a", "b").collect()}
+    for least in (0.25, 0.6, 1.0):
+        assert {(p.a, p.b): p.similarity for p in similarity.tanimoto_join_above(x, y, "a", "b", least).collect()} == {p: s for p, s in every.items() if s >= least}
+
+
+def test_a_gram_of_all_names_makes_no_pairs(spark):
+    """20,000 names of which all share a gram and none shares another: the bounded join makes no candidates of them."""
+    n = 20_000
+    rows = spark.range(n).select(F.col("id").alias("k"), F.explode(F.array(F.struct(F.lit("all").alias("gram"), F.lit(0.6).alias("weight")), F.struct(F.concat(F.lit("own"), F.col("id").cast("string")).alias("gram"), F.lit(0.8).alias("weight")))).alias("e")).select("k", "e.*")
+    got = similarity.cosine_join_above(rows.withColumnRenamed("k", "a"), rows.withColumnRenamed("k", "b"), "a", "b", 0.7)
+    assert got.agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("same")).first() == (n, n)

@@ -41,3 +41,8 @@ def test_sinks_refuse(spark, tmp_path):
     sinks.write_summary({"b": 1, "a": 2}, str(tmp_path / "s.json"))
     with pytest.raises(FileExistsError):
         sinks.write_summary({}, str(tmp_path / "s.json"))
+
+
+def test_fasta_signs_inside_lines(spark, tmp_path):
+    (tmp_path / "s.fa").write_text("\n>sp|P1|X foo->bar\r\nac>\r\ngt\r\n>P2|y>z\n>P3 > q\nCC\n")
+    assert {tuple(r) for r in tables.fasta(spark, str(tmp_path / "s.fa")).collect()} == {("P1", "AC>GT"), ("P2", ""), ("P3", "CC")}
