@@ -163,11 +163,13 @@ def without(docs: DataFrame) -> DataFrame:
     hot = F.broadcast(common.where(frequent).select(*KEY, "top"))
     held = slim.join(hot, KEY).unionByName(slim.join(hot.select(*KEY), KEY, "left_anti").join(common.where(~frequent).select(*KEY, "top"), KEY))
     marks = written(held.where(F.col("doc") < F.col("top")).groupBy("doc").agg(F.collect_set(F.struct(*KEY)).alias("_line_drop")), "line-marks")
-    few, many = marks.where(F.size("_line_drop") <= FEW).withColumn("_line_whole", F.lit(None).cast(WHOLE)), marks.where(F.size("_line_drop") > FEW)
+    few = marks.where(F.size("_line_drop") <= FEW).withColumn("_line_whole", F.lit(None).cast(WHOLE))
+    many = written(marks.where(F.size("_line_drop") > FEW), "line-many")  # a table of its own, so that its size is known
     if many.take(1):
         few = few.unionByName(_by_lines(docs, many).withColumn("_line_drop", F.lit(None).cast(marks.schema["_line_drop"].dataType)))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    joined = docs.withColumn("_line_doc", doc).join(few.withColumnRenamed("doc", "_line_doc"), "_line_doc", "left")
+    # marks grow with the documents: one plan at every size
+    joined = docs.withColumn("_line_doc", doc).join(few.withColumnRenamed("doc", "_line_doc").hint("merge"), "_line_doc", "left")
     lines = lines_of(F.col("text"))
     stay = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_line_drop"), hashed(x)), F.lit(False)))
     own = F.filter("_line_whole", lambda x: x["id"] == text_id(F.col("text")))[0]
