@@ -44,6 +44,31 @@ def components(edges: DataFrame, left: str, right: str, limit: int = 50) -> Data
     raise RuntimeError(f"components did not settle in {limit} rounds")
 
 
+def contracted_components(edges: DataFrame, left: str, right: str, limit: int = 200) -> DataFrame:
+    """The same labels by contraction, for hubs and long paths.
+
+    Two steps take turns: a node hands the smallest of its neighbours to its larger ones (large star), then to its smaller
+    ones (small star), until every edge leads to the smallest node of its component. Edges are never more than before, a
+    hub's minimum is taken before the shuffle, and its edges meet it in a join whose large side may be split.
+    """
+    pairs = edges.select(F.concat(F.lit("L|"), F.col(left).cast("string")).alias("a"), F.concat(F.lit("R|"), F.col(right).cast("string")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    held = shared(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "graph-stars")
+    seen = None
+    for _ in range(limit):
+        both = held.union(held.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m"))
+        large = held.select(F.col("b").alias("a"), F.col("a").alias("_v")).join(least, "a").select(F.col("_v").alias("a"), F.col("_m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("_m"))
+        met = large.join(low, "a")
+        small = met.select(F.explode(F.array(F.struct("a", F.col("_m").alias("b")), F.struct(F.col("b").alias("a"), F.col("_m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        held = shared(small, "graph-stars")
+        now = held.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"), F.count_distinct("a").alias("nodes")).first()
+        if seen == (now["n"], now["h"]) and now["n"] == now["nodes"]:
+            return held.select(F.col("a").alias("node"), F.col("b").alias("component")).union(held.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        seen = (now["n"], now["h"])
+    raise RuntimeError(f"components did not settle in {limit} rounds")
+
+
 def component_sizes(labels: DataFrame) -> DataFrame:
     is_left = F.col("node").startswith("L|")
     return labels.groupBy("component").agg(F.count_if(is_left).alias("left_nodes"), F.count_if(~is_left).alias("right_nodes"), F.count("*").alias("nodes"))

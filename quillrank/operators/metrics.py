@@ -93,6 +93,26 @@ def upper_bound(hits: int, n: int, alpha: float = 0.05) -> float:
     return (low + high) / 2
 
 
+def exact_upper_bound(hits: Column, n: Column, alpha: float = 0.05, rounds: int = 60) -> Column:
+    """The same bound by row, for any number of hits: the binomial tail is summed up in logarithms and the share bisected. Null without trials or hits."""
+    x, m = hits.cast("long"), n.cast("double")
+    steps = F.when(x > 0, F.sequence(F.lit(1).cast("long"), x)).otherwise(F.array().cast("array<bigint>"))
+
+    def tail(p: Column) -> Column:
+        odds, first = F.log(p) - F.log1p(-p), m * F.log1p(-p)
+        step = lambda a, i: F.struct((a["t"] + F.log((m - i + 1) / i) + odds).alias("t"), (a["s"] + F.exp(a["t"] + F.log((m - i + 1) / i) + odds)).alias("s"))
+        return F.aggregate(steps, F.struct(first.alias("t"), F.exp(first).alias("s")), step, lambda a: a["s"])
+
+    def halved(a: Column, _: Column) -> Column:
+        p = (a["low"] + a["high"]) / 2
+        above = tail(p) > alpha
+        return F.struct(F.when(above, p).otherwise(a["low"]).alias("low"), F.when(above, a["high"]).otherwise(p).alias("high"))
+
+    start = F.struct((x / m).alias("low"), F.lit(1.0).alias("high"))
+    bisected = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halved, lambda a: (a["low"] + a["high"]) / 2)
+    return F.when((n > 0) & (x >= n), 1.0).when((n > 0) & (x == 0), 1 - F.pow(F.lit(alpha), 1 / m)).when((n > 0) & (x > 0), bisected)
+
+
 def zero_hit_bounds(counts: DataFrame, n: str, hits: str, alpha: float = 0.05) -> DataFrame:
     """Adds the bound where nothing was hit; null elsewhere and for no trial."""
     return counts.withColumn("upper_bound", F.when((F.col(hits) == 0) & (F.col(n) > 0), 1 - F.pow(F.lit(alpha), 1 / F.col(n))))

@@ -5,12 +5,15 @@ history: entity, target, weight (one row per pair). Similarities have rows for p
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.operators import ranking
+from quillrank.shipping import ship
 
 POPULARITY, SEQUENCE, FINGERPRINT, PAIR = "weighted_target_popularity", "sequence_3mer_transfer", "weighted_morgan_transfer", "structure_sequence_pair_neighbor"
 #: A scorer makes rows of (query, target, score) from history and features; register more under their names.
@@ -34,6 +37,37 @@ def popularity(history: DataFrame, exact: bool = False) -> DataFrame:
     return history.groupBy("target").agg(F.aggregate(ordered, F.lit(0).cast("float"), lambda a, x: (a + x["w"]).cast("float")).alias("score"))
 
 
+def popularity_in_order(history: DataFrame) -> DataFrame:
+    """target and score: weights added in 32 bits in the order of entities, as rows stream by in that order; a task holds one sum, whatever a target's history."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, total = None, np.float32(0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, weights = batch.column("target"), np.asarray(batch.column("weight"), dtype=np.float32)
+            coded = names.dictionary_encode()
+            index = np.asarray(coded.indices)
+            starts = [0, *(np.flatnonzero(np.diff(index)) + 1).tolist(), len(index)]
+            done: list[tuple[str, np.float32]] = []
+            for a, b in zip(starts, starts[1:], strict=False):
+                name = coded.dictionary[int(index[a])].as_py()
+                if name != target:
+                    if target is not None:
+                        done.append((target, total))
+                    target, total = name, np.float32(0)
+                # accumulate adds one after the other; sum would pair them
+                total = np.add.accumulate(np.concatenate([[total], weights[a:b]]), dtype=np.float32)[-1]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in done], pa.string()), pa.array([s for _, s in done], pa.float32())], names=["target", "score"])
+        if target is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([target], pa.string()), pa.array([total], pa.float32())], names=["target", "score"])
+
+    ship(history.sparkSession)
+    rows = history.where("target IS NOT NULL AND weight IS NOT NULL").select(F.col("target").cast("string").alias("target"), "entity", F.col("weight").cast("float").alias("weight"))
+    return rows.repartition("target").sortWithinPartitions("target", "entity").select("target", "weight").mapInArrow(fold, "target string, score float")
+
+
 @scorer(POPULARITY)
 def score_popularity(history: DataFrame, queries: DataFrame, **_) -> DataFrame:
     """The same for all queries: target and score alone."""
@@ -63,15 +97,16 @@ def score_pair_neighbour(history: DataFrame, queries: DataFrame, entity_similari
     return active.join(near, "other").groupBy("query", "target").agg(F.max(F.col("similarity") * F.col("active")).alias("score"))
 
 
-def candidates(history: DataFrame, queries: DataFrame, targets: DataFrame, salt: str, names: tuple[str, ...], **features) -> DataFrame:
+def candidates(history: DataFrame, queries: DataFrame, targets: DataFrame, salt: str, names: tuple[str, ...], scored: dict[str, DataFrame] | None = None, **features) -> DataFrame:
     """baseline, query, target, score (zeros filled in) and _tie: the whole universe of a query, its own historical targets masked.
 
-    The product of queries and targets is the result's own size; it is made, masked and hashed once for all baselines.
+    scored: scores of a baseline that are made already. The product of queries and targets is the result's own size; it is made, masked and hashed once for all baselines.
     """
     grid = queries.select("query").crossJoin(targets.select("target")).join(history.select(F.col("entity").alias("query"), "target"), ["query", "target"], "left_anti").withColumn("_tie", ranking.tie(salt))
     cells = []
     for k, name in enumerate(names):
-        scores = SCORERS[name](history, queries, **features).withColumnRenamed("score", f"_s{k}")
+        made = (scored or {}).get(name)
+        scores = (SCORERS[name](history, queries, **features) if made is None else made).withColumnRenamed("score", f"_s{k}")
         grid = grid.join(scores, [c for c in ("query", "target") if c in scores.columns], "left")
         cells.append(F.struct(F.lit(name).alias("baseline"), F.round(F.coalesce(F.col(f"_s{k}"), F.lit(0.0)), 9).alias("score")))
     return grid.select("query", "target", "_tie", F.explode(F.array(*cells)).alias("_c")).select("_c.baseline", "query", "target", "_c.score", "_tie")

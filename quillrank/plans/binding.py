@@ -12,6 +12,7 @@ from quillrank.operators import evidence, scoring, temporal
 
 CUTOFF, SALT, K = "1999-06-30", "quill-1", 20
 BASELINES = (scoring.POPULARITY, scoring.FINGERPRINT)
+FOUR = (scoring.POPULARITY, scoring.SEQUENCE, scoring.FINGERPRINT, scoring.PAIR)
 
 
 def pick(c: Column, cases: list, other=None) -> Column:
@@ -132,6 +133,28 @@ class Binding:
     def ledger(self, names: tuple[str, ...] = BASELINES, history: DataFrame | None = None) -> DataFrame:
         return scoring.ledger(history or self.history, self.queries, self.targets, SALT, names, **self._features(names))
 
+    def _by_name(self, scores: DataFrame) -> DataFrame:
+        """Scores of targets' texts as those of the targets."""
+        return self.targets.select(F.col("target").alias("_t"), "p_name").join(scores.withColumnRenamed("target", "p_name"), "p_name").select("query", F.col("_t").alias("target"), "score")
+
+    @cached_property
+    def four(self) -> DataFrame:
+        """baseline, query, target, score and _tie of all four baselines."""
+        near = self.name_similarity.withColumn("similarity", F.round("similarity", 9))
+        sequence = scoring.score_sequence(self.name_history, self.queries, target_similarity=near)
+        pair = scoring.score_pair_neighbour(self.name_history, self.queries, self.entity_similarity, near, neighbours=10)
+        return scoring.candidates(self.history, self.queries, self.targets, SALT, FOUR, {scoring.SEQUENCE: self._by_name(sequence), scoring.PAIR: self._by_name(pair)}, **self._features(FOUR))
+
+    @cached_property
+    def ranks_of_four(self) -> DataFrame:
+        from quillrank.operators import ranking
+
+        return ranking.ranked(self.four, SALT, tied="_tie")
+
+    @cached_property
+    def relevant_of_four(self) -> DataFrame:
+        return self.scoped.join(self.ranks_of_four, ["query", "target"]).select("baseline", "scope", "query", "target", "tier", "rank", "score")
+
     @cached_property
     def scores(self) -> DataFrame:
         """The ledger's rows without ranks, for what ties alone decide."""

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import scalars as S
 from quillrank.operators import audits, chemistry, contracts, dimensions, gate, graph, metrics, ranking, resample, scoring, shaping, similarity
-from quillrank.plans.binding import EV, LED, NAMES, REL, SALT, Binding, K
-from quillrank.plans.catalog import _BOOT, _POLICY, _macro, _PAIR, _policy_history, query
+from quillrank.plans.binding import EV, FOUR, HIST, LED, NAMES, REL, SALT, Binding, K
+from quillrank.plans.catalog import _BOOT, _CC, _PAIR, _POLICY, _edges, _macro, _policy_history, query
 from quillrank.sources import tables
 
 # joins
@@ -378,3 +378,73 @@ def source_fasta(b: Binding) -> DataFrame:
     path = f"{top.inputFiles()[0].rsplit('/', 1)[0]}-{uuid.uuid4().hex}.fa"
     top.write.text(path)
     return tables.fasta(b.spark, path)
+
+
+# all four baselines in one ledger
+
+_FOUR = REL + NAMES.removeprefix(HIST) + f""",
+act AS (SELECT query, other, max(similarity * weight) AS active FROM sim JOIN nh USING (entity) GROUP BY ALL),
+sq AS (SELECT entity AS query, target AS p_name, max(round(similarity, 9) * weight) AS s FROM nh JOIN cs USING (other) GROUP BY ALL),
+pr AS (SELECT query, n.target AS p_name, max(round(similarity, 9) * active) AS s FROM act JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(similarity, 9) DESC, other) AS r FROM cs WHERE other IN (SELECT other FROM nh)) WHERE r <= 10) n USING (other) GROUP BY ALL),
+raw4 AS (SELECT * FROM raw UNION ALL SELECT '{scoring.SEQUENCE}', query, target, round(coalesce(s, 0), 9) FROM grid JOIN ts USING (target) LEFT JOIN sq USING (query, p_name)
+  UNION ALL SELECT '{scoring.PAIR}', query, target, round(coalesce(s, 0), 9) FROM grid JOIN ts USING (target) LEFT JOIN pr USING (query, p_name)),
+led4 AS (SELECT *, row_number() OVER (PARTITION BY baseline, query ORDER BY score DESC, substr(sha256('{SALT}|' || query || '|' || target), 1, 16), target) AS rank,
+  count(*) OVER (PARTITION BY baseline, query) AS eligible FROM raw4),
+rel4 AS (SELECT l.baseline, s.scope, s.query, s.target, s.tier, l.rank, l.score FROM scoped s JOIN led4 l USING (query, target)),
+pq4 AS (SELECT baseline, scope, query, count(*) AS relevant, count(*) FILTER (rank <= {K}) AS hits, 1.0 / min(rank) AS mrr, avg(CASE WHEN rank <= {K} THEN 1.0::DOUBLE ELSE 0 END) AS recall,
+  coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= {K}), 0) / list_sum(list_transform(range(1, least({K}, count(*)) + 1), lambda i: 1 / log2(i + 1))) AS ndcg FROM rel4 GROUP BY ALL)"""
+_ORDER = "CASE baseline " + " ".join(f"WHEN '{n}' THEN {k}" for k, n in enumerate(FOUR)) + " END"
+
+
+@query("SELECT baseline, query, target, score, rank, eligible FROM led4", _FOUR, ("score",))
+def rank_ledger_four_baselines(b: Binding) -> DataFrame:
+    return b.ranks_of_four.select("baseline", "query", "target", "score", "rank", "eligible")
+
+
+@query("SELECT baseline, scope, query, relevant, hits, mrr, recall, ndcg FROM pq4", _FOUR, ("mrr", "recall", "ndcg"))
+def metrics_per_query_four_baselines(b: Binding) -> DataFrame:
+    return metrics.per_query(b.relevant_of_four, K)
+
+
+@query("SELECT baseline, scope, count(*) AS queries, avg(recall) AS recall, avg(ndcg) AS ndcg, avg(mrr) AS mrr, count(*) FILTER (recall = 0) AS zero_recall, count(*) FILTER (ndcg = 0) AS zero_ndcg, count(*) FILTER (mrr = 0) AS zero_mrr FROM pq4 GROUP BY ALL", _FOUR, ("recall", "ndcg", "mrr"))
+def metrics_macro_four_baselines(b: Binding) -> DataFrame:
+    return metrics.macro(metrics.per_query(b.relevant_of_four, K), ["baseline", "scope"])
+
+
+@query('SELECT scope, x.baseline AS "left", y.baseline AS "right", count(*) AS n, avg(x.recall - y.recall) AS mean, count(*) FILTER (x.recall > y.recall) AS better, count(*) FILTER (x.recall < y.recall) AS worse FROM (SELECT *, ' + _ORDER + " AS o FROM pq4) x JOIN (SELECT *, " + _ORDER + " AS o FROM pq4) y USING (scope, query) WHERE x.o > y.o GROUP BY ALL", _FOUR, ("mean",))
+def paired_contrasts_of_four(b: Binding) -> DataFrame:
+    """All six contrasts of recall on the same queries."""
+    diffs = resample.paired_contrasts(metrics.per_query(b.relevant_of_four, K), "recall", {n: k for k, n in enumerate(FOUR)})
+    d = F.col("difference")
+    return diffs.groupBy("scope", "left", "right").agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.count_if(d > 0).alias("better"), F.count_if(d < 0).alias("worse"))
+
+
+@query('SELECT baseline, query, score, "start", "end", size FROM (SELECT baseline, query, score, min(rank) AS "start", max(rank) AS "end", count(*) AS size FROM led4 GROUP BY ALL) WHERE size > 1', _FOUR, ("score",))
+def tie_runs_four_baselines(b: Binding) -> DataFrame:
+    """Runs of more than one, by the ranks of the ledger of four."""
+    return ranking.tie_runs(b.ranks_of_four).where("size > 1").select("baseline", "query", "score", "start", "end", "size")
+
+
+@query("SELECT target, list_reduce(list(CAST(weight AS FLOAT) ORDER BY entity), lambda a, x: CAST(a + x AS FLOAT)) AS score FROM hist GROUP BY target", HIST, ("score",))
+def popularity_32_bits(b: Binding) -> DataFrame:
+    """Popularity in 32 bits, added in the order of entities."""
+    return scoring.popularity_in_order(b.history)
+
+
+# bounds and components
+
+
+@query("SELECT baseline, scope, k, n, hits, CASE WHEN hits >= n THEN 1 WHEN hits = 0 THEN 1 - power(0.05, 1.0 / n) ELSE (low + high) / 2 END AS upper_bound FROM bis WHERE round = 60", REL + """,
+cnt AS (SELECT baseline, scope, k, count(*) AS n, count(*) FILTER (rank <= k) AS hits FROM rel CROSS JOIN (SELECT unnest([1, 5, 20, 100]) AS k) GROUP BY ALL),
+bis AS (SELECT *, 0 AS round, hits / n::DOUBLE AS low, 1.0::DOUBLE AS high FROM cnt
+  UNION ALL SELECT baseline, scope, k, n, hits, round + 1, CASE WHEN above THEN p ELSE low END, CASE WHEN above THEN high ELSE p END FROM (SELECT *, (low + high) / 2 AS p, hits > 0 AND hits < n AND list_sum(list_transform(range(0, hits + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((low + high) / 2) + (n - i) * ln(1 - (low + high) / 2)))) > 0.05 AS above FROM bis WHERE round < 60 AND low < 1))""", ("upper_bound",))
+def exact_upper_bounds(b: Binding) -> DataFrame:
+    """Exact upper bounds of the share of hits, for any number of them."""
+    each = b.relevant.withColumn("k", F.explode(F.array(*map(F.lit, (1, 5, 20, 100)))))
+    counts = each.groupBy("baseline", "scope", "k").agg(F.count("*").alias("n"), F.count_if(F.col("rank") <= F.col("k")).alias("hits"))
+    return counts.withColumn("upper_bound", metrics.exact_upper_bound(F.col("hits"), F.col("n")))
+
+
+@query("SELECT * FROM comp", _CC)
+def connected_components_contracted(b: Binding) -> DataFrame:
+    return graph.contracted_components(_edges(b), "c_custkey", "key")

@@ -283,3 +283,33 @@ def test_a_gram_of_all_names_makes_no_pairs(spark):
     rows = spark.range(n).select(F.col("id").alias("k"), F.explode(F.array(F.struct(F.lit("all").alias("gram"), F.lit(0.6).alias("weight")), F.struct(F.concat(F.lit("own"), F.col("id").cast("string")).alias("gram"), F.lit(0.8).alias("weight")))).alias("e")).select("k", "e.*")
     got = similarity.cosine_join_above(rows.withColumnRenamed("k", "a"), rows.withColumnRenamed("k", "b"), "a", "b", 0.7)
     assert got.agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("same")).first() == (n, n)
+
+
+def test_contraction_settles_hubs_and_paths(spark):
+    """A hub of 20,000 neighbours, a path of 3,000 nodes and a pair: labels are the smallest nodes."""
+    hub = spark.range(20_000).select(F.format_string("h%05d", "id").alias("l"), F.lit("hub").alias("r"))
+    path = spark.range(1500).select(F.explode(F.array(F.struct(F.format_string("p%04d", "id").alias("l"), F.format_string("p%04d", "id").alias("r")), F.struct(F.format_string("p%04d", F.col("id") + 1).alias("l"), F.format_string("p%04d", "id").alias("r")))).alias("e")).select("e.*")
+    edges = hub.union(path).union(spark.createDataFrame([("a", "z"), ("a", "z"), (None, "q"), ("q", None)], "l string, r string"))
+    got = {r.component: r.n for r in graph.contracted_components(edges, "l", "r").groupBy("component").agg(F.count("*").alias("n")).collect()}
+    assert got == {"L|h00000": 20_001, "L|p0000": 3001, "L|a": 2}
+    assert graph.contracted_components(edges.limit(0), "l", "r").count() == 0
+
+
+def test_exact_bounds_against_bisection(spark):
+    cases = [(0, 5), (1, 5), (4, 5), (5, 5), (3, 400), (57, 300), (0, 0), (200, 1000)]
+    got = spark.createDataFrame(cases, "x int, n int").select("x", "n", metrics.exact_upper_bound(F.col("x"), F.col("n")).alias("u")).collect()
+    for r in got:
+        assert r.u is None if r.n == 0 else abs(r.u - metrics.upper_bound(r.x, r.n)) < 1e-9, r
+
+
+def test_popularity_in_32_bits(spark):
+    """Sums in the order of entities, over batches and for a target that most rows hold."""
+    import numpy as np
+
+    rows = [("hot", f"e{k:05d}", 0.1 + k % 7) for k in range(25_000)] + [(f"t{k % 9}", f"e{k}", 0.3 * k) for k in range(200)] + [(None, "e", 1.0), ("t1", "x", None)]
+    history = spark.createDataFrame(rows, "target string, entity string, weight double").repartition(7)
+    want = {}
+    for t, e, w in sorted(r for r in rows if None not in r):
+        want[t] = np.float32(want.get(t, np.float32(0)) + np.float32(w))
+    assert {r.target: np.float32(r.score) for r in scoring.popularity_in_order(history).collect()} == want
+    assert scoring.popularity_in_order(history.limit(0)).count() == 0
