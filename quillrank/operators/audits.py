@@ -31,6 +31,51 @@ def concentration(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return out.withColumns({"gini": gini, "effective": 1 / F.col("hhi")} | {k: F.col(f"_{k}") for k in ("top1", "top5", "top10", "top1pct")}).drop("_w", "_top1", "_top5", "_top10", "_top1pct")
 
 
+def counted_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, n, before and total: how many rows of a group hold a value, how many hold a lower one, and how many there are; nulls are not counted.
+
+    Rows are added up by value before anything is put in order. Values are then sorted by ranges of (by, value); what
+    lies before is the ranges before plus the part of the own, so a group of any number of values is dealt to many tasks.
+    """
+    from quillrank.operators.graph import shared
+
+    counts = shared(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n")), "value-counts")
+    ranged = shared(counts.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "value").withColumn("_part", F.spark_partition_id()), "value-ranges")
+    w = Window.partitionBy(*by)
+    each = ranged.groupBy(*by, "_part").agg(F.sum("n").alias("_n"))
+    ahead = each.withColumns({"_ahead": F.sum("_n").over(w.orderBy("_part")) - F.col("_n"), "total": F.sum("_n").over(w)}).drop("_n")
+    inside = F.sum("n").over(Window.partitionBy(*by, "_part").orderBy("value")) - F.col("n")
+    met = ranged.withColumn("_inside", inside)
+    return met.join(ahead.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_part").alias("_p"), "_ahead", "total"), [F.col("_part") == F.col("_p"), *(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by)]).select(*by, "value", "n", (F.col("_ahead") + F.col("_inside")).alias("before"), "total")
+
+
+def order_statistics(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The same as distribution, and upper_median (the value at n // 2 from 0, never between two), by selection from counted values: no group's values are held together."""
+    rows, x = counted_values(df, by, value), F.col("value").cast("double")
+    holds = lambda i: (F.col("before") <= i) & (i < F.col("before") + F.col("n"))
+
+    def between(q: float) -> Column:
+        place = (F.col("total") - 1) * q
+        low = F.max(F.when(holds(F.floor(place)), x))
+        return low + (F.max(F.when(holds(F.ceil(place)), x)) - low) * F.max(place - F.floor(place))
+
+    names = {n: between(q) for n, q in zip(("q25", "median", "q75"), QUARTILES, strict=True)}
+    return rows.groupBy(*by).agg(F.max("total").alias("n"), F.min(x).alias("least"), *(c.alias(n) for n, c in names.items()), F.max(x).alias("largest"), (F.sum(x * F.col("n")) / F.sum("n")).alias("mean"), F.max(F.when(holds(F.floor(F.col("total") / 2)), x)).alias("upper_median"))
+
+
+def concentration_by_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The same as concentration, by counted values: n equal counts take the places before + 1 to before + n together."""
+    rows = counted_values(df, by, value)
+    x, n, total = F.col("value").cast("double"), F.col("n"), F.col("total")
+    above = total - F.col("before") - n
+    top = lambda k: F.sum(x * F.greatest(F.lit(0), F.least(n, k - above)))
+    sums = rows.groupBy(*by).agg(F.max("total").alias("sources"), F.sum(x * n).alias("total"), F.sum(x * (n * F.col("before") + n * (n + 1) / 2)).alias("_w"), F.sum(x * x * n).alias("_s"), top(F.lit(1)).alias("_top1"), top(F.lit(5)).alias("_top5"), top(F.lit(10)).alias("_top10"), top(F.greatest(F.lit(1), F.ceil(total * 0.01))).alias("_top1pct"))
+    m, t = F.col("sources").cast("double"), F.nullif(F.col("total"), F.lit(0.0))
+    gini = F.when(F.col("total") == 0, 0.0).otherwise(2 * F.col("_w") / (m * F.col("total")) - (m + 1) / m)
+    hhi = F.col("_s") / (t * t)
+    return sums.select(*by, "sources", "total", hhi.alias("hhi"), gini.alias("gini"), (1 / hhi).alias("effective"), *((F.col(f"_{k}") / t).alias(k) for k in ("top1", "top5", "top10", "top1pct")))
+
+
 def degrees(edges: DataFrame, nodes: DataFrame, node: str, other: str) -> DataFrame:
     """Distinct neighbours of every node, 0 for those without an edge."""
     return nodes.select(node).distinct().join(edges.groupBy(node).agg(F.count_distinct(other).alias("degree")), node, "left").fillna(0, ["degree"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillrank.functions import scalars as S
 from quillrank.operators import audits, chemistry, contracts, dimensions, gate, graph, metrics, ranking, resample, scoring, shaping, similarity
 from quillrank.plans.binding import EV, FOUR, HIST, LED, NAMES, REL, SALT, Binding, K
-from quillrank.plans.catalog import _BOOT, _CC, _PAIR, _POLICY, _edges, _macro, _policy_history, query
+from quillrank.plans.catalog import _BOOT, _CC, _CONC, _PAIR, _POLICY, _edges, _macro, _policy_history, query
 from quillrank.sources import tables
 
 # joins
@@ -448,3 +448,47 @@ def exact_upper_bounds(b: Binding) -> DataFrame:
 @query("SELECT * FROM comp", _CC)
 def connected_components_contracted(b: Binding) -> DataFrame:
     return graph.contracted_components(_edges(b), "c_custkey", "key")
+
+
+# order statistics by counted values
+
+_SPREAD = "count(v) AS n, min(v) AS least, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q75, max(v) AS largest, avg(v) AS mean, list_sort(list(v))[count(v) // 2 + 1] AS upper_median"
+_SPREAD_D = ("least", "q25", "median", "q75", "largest", "mean", "upper_median")
+
+
+@query(f"SELECT l_returnflag, {_SPREAD} FROM (SELECT l_returnflag, CAST(CASE WHEN l_linenumber <> 6 THEN l_extendedprice END AS DOUBLE) AS v FROM lineitem) GROUP BY ALL", doubles=_SPREAD_D)
+def order_statistics(b: Binding) -> DataFrame:
+    """Spread of prices, nearly all of them distinct."""
+    price = F.when(F.col("l_linenumber") != 6, F.col("l_extendedprice").cast("double"))
+    return audits.order_statistics(b.table("lineitem").select("l_returnflag", price.alias("v")), ["l_returnflag"], "v")
+
+
+@query(f"SELECT baseline, {_SPREAD} FROM (SELECT baseline, query, CAST(count(*) AS DOUBLE) AS v FROM led GROUP BY ALL) GROUP BY baseline", LED, _SPREAD_D)
+def candidate_counts(b: Binding) -> DataFrame:
+    """How many candidates the queries of a baseline have."""
+    return audits.order_statistics(b.ranks.groupBy("baseline", "query").agg(F.count("*").alias("v")), ["baseline"], "v")
+
+
+@query(_CONC, EV, ("total", "hhi", "gini", "effective", "top1", "top5", "top10", "top1pct"))
+def gini_hhi_by_counts(b: Binding) -> DataFrame:
+    sources = b.rows.groupBy("p_type", "target").agg(F.count_distinct("pair_key").alias("v"))
+    return audits.concentration_by_counts(sources, ["p_type"], "v")
+
+
+@query("SELECT 'part' AS role, count(*) AS n, sum(p_size)::BIGINT AS total FROM part")
+def sink_created_once(b: Binding) -> DataFrame:
+    """A table written beside its place, renamed, and read back; a second write is refused."""
+    import uuid
+
+    from quillrank.sources import sinks
+
+    part = b.table("part").select("p_partkey", "p_size")
+    held = graph.shared(part, "sink-part")
+    path = f"{held.inputFiles()[0].rsplit('/', 1)[0]}-{uuid.uuid4().hex}"
+    sinks.create_once(held, path, ["p_partkey"])
+    try:
+        sinks.create_once(held, path, ["p_partkey"])
+        raise AssertionError("a second write must be refused")
+    except FileExistsError:
+        pass
+    return b.spark.read.parquet(path).agg(F.lit("part").alias("role"), F.count("*").alias("n"), F.sum("p_size").alias("total")).select("role", "n", "total")

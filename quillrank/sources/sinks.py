@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.operators import contracts
@@ -28,6 +29,44 @@ def write_table(df: DataFrame, path: str, keys: list[str], columns: list[str] |
         out.format(kind).save(path)
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def create_once(df: DataFrame, path: str, keys: list[str], kind: str = "parquet", rows: int | None = None) -> None:
+    """Creates a sorted table that is seen whole or not at all: written beside its place, read back and counted, then renamed. An existing path is an error; what a failed write left is deleted.
+
+    rows: how many there must be. Works on any file system that Hadoop knows.
+    """
+    spark = df.sparkSession
+    place, fs = _hadoop(spark, path)
+    if fs.exists(place):
+        raise FileExistsError(path)
+    beside, _ = _hadoop(spark, f"{path.rstrip('/')}.unfinished-{uuid.uuid4().hex}")
+    try:
+        df.orderBy(*keys).write.format(kind).mode("errorifexists").save(beside.toString())
+        back = spark.read.format(kind).schema(df.schema).load(beside.toString())
+        if rows is not None and (found := back.count()) != rows:
+            raise contracts.ContractError(f"{found} rows written, {rows} expected")
+        if fs.exists(place) or not fs.rename(beside, place):
+            raise FileExistsError(path)
+    finally:
+        fs.delete(beside, True)
+
+
+def digests(spark: SparkSession, files: dict[str, str]) -> dict[str, dict]:
+    """Role to SHA-256 and bytes of files on any file system that Hadoop knows, streamed through a digest of constant memory in the JVM."""
+    jvm, out = spark.sparkContext._jvm, {}
+    for role, path in files.items():
+        place, fs = _hadoop(spark, path)
+        digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(place), jvm.java.security.DigestOutputStream(jvm.java.io.OutputStream.nullOutputStream(), digest), 1 << 16, True)
+        out[role] = {"sha256": bytes(b & 255 for b in digest.digest()).hex(), "bytes": fs.getFileStatus(place).getLen()}
+    return out
+
+
 def write_aggregates(df: DataFrame, path: str, keys: list[str], kind: str = "parquet") -> None:
     """The same, for tables that may tell nothing of single rows."""
     contracts.require(contracts.identifying(df, FORBIDDEN, IDENTIFIER), "identifiers in an aggregate table")
@@ -42,11 +81,14 @@ def write_summary(values: dict, path: str) -> None:
 
 
 def manifest(files: dict[str, str]) -> dict[str, dict]:
-    """Role to SHA-256 and bytes of local input files."""
+    """Role to SHA-256 and bytes of local input files, read in chunks."""
     out = {}
     for role, path in files.items():
-        data = Path(path).read_bytes()
-        out[role] = {"sha256": hashlib.sha256(data).hexdigest(), "bytes": len(data)}
+        digest = hashlib.sha256()
+        with open(path, "rb") as f:
+            while chunk := f.read(1 << 20):
+                digest.update(chunk)
+        out[role] = {"sha256": digest.hexdigest(), "bytes": Path(path).stat().st_size}
     return out
 
 

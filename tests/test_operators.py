@@ -313,3 +313,21 @@ def test_popularity_in_32_bits(spark):
         want[t] = np.float32(want.get(t, np.float32(0)) + np.float32(w))
     assert {r.target: np.float32(r.score) for r in scoring.popularity_in_order(history).collect()} == want
     assert scoring.popularity_in_order(history.limit(0)).count() == 0
+
+
+def test_order_statistics_by_counts(spark):
+    import random
+
+    draw = random.Random(9)
+    rows = [(g, None if k % 11 == 0 else float(draw.choice([draw.randrange(3), draw.uniform(0, 9)]))) for g, n in (("a", 700), ("b", 1), ("c", 2), (None, 30)) for k in range(1, n + 1)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {r.g: r for r in audits.distribution(df, ["g"], "v").collect() if r.n}
+    got = {r.g: r for r in audits.order_statistics(df, ["g"], "v").collect()}
+    assert set(got) == set(want)
+    for g, r in got.items():
+        v = sorted(x for h, x in rows if h == g and x is not None)
+        assert r.upper_median == v[len(v) // 2] and r.n == len(v)
+        assert all(math.isclose(r[c], want[g][c], rel_tol=1e-12, abs_tol=1e-12) for c in ("least", "q25", "median", "q75", "largest", "mean"))
+    counts = spark.createDataFrame([(g, k) for g in "xy" for k in ([1] * 300 + [5, 5, 9, 40] if g == "x" else [3])], "g string, v long")
+    a, b = ({r.g: r for r in f(counts, ["g"], "v").collect()} for f in (audits.concentration, audits.concentration_by_counts))
+    assert all(math.isclose(a[g][c], b[g][c], rel_tol=1e-12, abs_tol=1e-12) for g in "xy" for c in ("sources", "total", "hhi", "gini", "effective", "top1", "top5", "top10", "top1pct"))

@@ -46,3 +46,27 @@ def test_sinks_refuse(spark, tmp_path):
 def test_fasta_signs_inside_lines(spark, tmp_path):
     (tmp_path / "s.fa").write_text("\n>sp|P1|X foo->bar\r\nac>\r\ngt\r\n>P2|y>z\n>P3 > q\nCC\n")
     assert {tuple(r) for r in tables.fasta(spark, str(tmp_path / "s.fa")).collect()} == {("P1", "AC>GT"), ("P2", ""), ("P3", "CC")}
+
+
+def test_tables_are_created_once_or_not_at_all(spark, tmp_path):
+    df = spark.range(50).select(F.col("id").alias("k"))
+    sinks.create_once(df, str(tmp_path / "whole"), ["k"], rows=50)
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "whole")).collect()) == list(range(50))
+    with pytest.raises(FileExistsError):
+        sinks.create_once(df, str(tmp_path / "whole"), ["k"])
+    with pytest.raises(ContractError):
+        sinks.create_once(df, str(tmp_path / "short"), ["k"], rows=51)
+    broken = df.select(F.when(F.col("k") == 30, F.raise_error(F.lit("stop")).cast("long")).otherwise(F.col("k")).alias("k"))
+    with pytest.raises(Exception):
+        sinks.create_once(broken, str(tmp_path / "broken"), ["k"])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["whole"]
+
+
+def test_digests_are_streamed(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a").write_bytes(b"x" * 300_001)
+    (tmp_path / "b").write_bytes(b"")
+    files = {n: str(tmp_path / n) for n in "ab"}
+    want = {n: {"sha256": hashlib.sha256((tmp_path / n).read_bytes()).hexdigest(), "bytes": (tmp_path / n).stat().st_size} for n in "ab"}
+    assert sinks.digests(spark, files) == sinks.manifest(files) == want
