@@ -17,6 +17,11 @@ AFFINITY = ("KI", "KD")
 POTENCY = ("IC50", "EC50")
 CONTEXT = ("INHIBITION", "ACTIVITY", "EMAX", "EFFICACY", "%INHIB (MEAN)", "%MAX (MEAN)", "RESIDUAL ACTIVITY")
 SCREEN = ("AC50", "POTENCY")
+# Classes of endpoints in the order in which they are tried, the class of any other, levels and roles of evidence that counts and of other.
+CLASSES = {"affinity_or_inhibition_constant_candidate": AFFINITY, "quantitative_functional_potency_candidate": POTENCY, "screen_or_potency_endpoint_needs_assay_context": SCREEN, "functional_effect_needs_assay_context": CONTEXT}
+OTHER_CLASS = "other_or_unclassified_endpoint"
+LEVELS = ("P1_npass_raw_exact_candidate", "P0_censored_or_unresolved")
+ROLES = ("weak_candidate_only", "exclude_from_positive_and_unlabeled")
 
 
 def blank_to_null(c: Column) -> Column:
@@ -87,14 +92,17 @@ def tier(relation: Column, endpoint: Column, value: Column, unit: Column) -> Col
 
 
 def measurement_class(endpoint: Column) -> Column:
-    kind = F.upper(F.trim(F.coalesce(endpoint, F.lit(""))))
-    return F.when(kind.isin(*AFFINITY), "affinity_or_inhibition_constant_candidate").when(kind.isin(*POTENCY), "quantitative_functional_potency_candidate").when(kind.isin(*SCREEN), "screen_or_potency_endpoint_needs_assay_context").when(kind.isin(*CONTEXT), "functional_effect_needs_assay_context").otherwise("other_or_unclassified_endpoint")
+    kind, out = F.upper(F.trim(F.coalesce(endpoint, F.lit("")))), F.lit(OTHER_CLASS)
+    for name, endpoints in reversed(CLASSES.items()):
+        out = F.when(kind.isin(*endpoints), name).otherwise(out)
+    return out
 
 
 def verification(name: Column) -> Column:
     """Struct of level, reviewed, role, promoted; nothing is ever reviewed or promoted by rule."""
     good = name.isin(*list(TIERS)[:3])
-    return F.struct(F.when(good, "P1_npass_raw_exact_candidate").otherwise("P0_censored_or_unresolved").alias("level"), F.lit(False).alias("reviewed"), F.when(good, "weak_candidate_only").otherwise("exclude_from_positive_and_unlabeled").alias("role"), F.lit(False).alias("promoted"))
+    either = lambda pair: F.when(good, pair[0]).otherwise(pair[1])
+    return F.struct(either(LEVELS).alias("level"), F.lit(False).alias("reviewed"), either(ROLES).alias("role"), F.lit(False).alias("promoted"))
 
 
 def partial_date(c: Column) -> Column:

@@ -14,15 +14,6 @@ from pyspark.sql import functions as F
 from quillrank.shipping import ship
 
 
-def toolkit():
-    """RDKit, or None where it isn't installed."""
-    try:
-        from rdkit import Chem
-    except ImportError:
-        return None
-    return Chem
-
-
 def applied(df: DataFrame, column: str, name: str, f: Callable[[list[str]], list], kind: str) -> DataFrame:
     """Adds what a plug-in makes of a text column, batch by batch."""
 

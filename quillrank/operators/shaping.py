@@ -45,15 +45,6 @@ def unique_row(df: DataFrame, **criteria) -> DataFrame:
     return found
 
 
-def require_complete(df: DataFrame, columns: list[str], dimensions: dict[str, DataFrame]) -> DataFrame:
-    """A table to be exported has exactly these columns, unique keys and every cell of its grid."""
-    if sorted(df.columns) != sorted(columns):
-        raise contracts.ContractError(f"columns {df.columns}, expected {columns}")
-    contracts.require(contracts.duplicates(df, list(dimensions)), "duplicate cells")
-    contracts.require(contracts.grid_gaps(df, dimensions), "missing cells")
-    return df
-
-
 def closure_gap(total: int, removed: list[int], left: int) -> int:
     """What a flow of counts loses; 0 when it closes."""
     return total - sum(removed) - left
