@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillrank.functions import scalars as S
 from quillrank.operators import audits, chemistry, contracts, dimensions, gate, graph, metrics, ranking, resample, scoring, shaping, similarity
 from quillrank.plans.binding import EV, FOUR, HIST, LED, NAMES, REL, SALT, Binding, K
-from quillrank.plans.catalog import _BOOT, _CC, _CONC, _PAIR, _POLICY, _edges, _macro, _policy_history, query
+from quillrank.plans.catalog import _BOOT, _CC, _CONC, _LEAK, _PAIR, _POLICY, _edges, _leak, _macro, _policy_history, query
 from quillrank.sources import tables
 
 # joins
@@ -492,3 +492,74 @@ def sink_created_once(b: Binding) -> DataFrame:
     except FileExistsError:
         pass
     return b.spark.read.parquet(path).agg(F.lit("part").alias("role"), F.count("*").alias("n"), F.sum("p_size").alias("total")).select("role", "n", "total")
+
+
+# sources over files that Spark writes from the tables
+
+
+def _files(b: Binding, lines: DataFrame, kind: str, **options: str) -> str:
+    """A new folder of text files with one column's lines, in the shared folder."""
+    import uuid
+
+    held = graph.shared(lines, f"source-{kind}")
+    path = f"{held.inputFiles()[0].rsplit('/', 1)[0]}-{uuid.uuid4().hex}"
+    held.write.options(**options).text(path)
+    return path
+
+
+@query("SELECT 'S' || s_suppkey AS accession, CASE s_suppkey % 3 WHEN 0 THEN 'NA' WHEN 1 THEN '' ELSE s_name END AS name, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier")
+def source_delimited(b: Binding) -> DataFrame:
+    """Suppliers as gzip files with a header in each, "NA" and blanks in them; the separator is sniffed, the key column chosen by alias, all is text."""
+    import uuid
+
+    name = F.when(F.col("s_suppkey") % 3 == 0, "NA").when(F.col("s_suppkey") % 3 == 1, "").otherwise(F.col("s_name"))
+    rows = b.table("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("acc"), name.alias("name"), F.col("s_nationkey").cast("string").alias("nation"))
+    held = graph.shared(rows, "source-delimited")
+    path = f"{held.inputFiles()[0].rsplit('/', 1)[0]}-{uuid.uuid4().hex}"
+    held.write.options(sep="\t", header=True, compression="gzip", emptyValue="").csv(path)
+    df = tables.delimited(b.spark, path, ["name", "nation"])
+    return df.select(F.col(tables.choose_column(df, ["accession", "acc", "id"], "key")).alias("accession"), "name", "nation")
+
+
+@query("SELECT p_partkey::BIGINT AS key, p_brand AS brand FROM part WHERE p_partkey % 4 <> 0")
+def source_headerless(b: Binding) -> DataFrame:
+    """Parts without a header, a quarter of the lines being comments."""
+    from pyspark.sql import types as T
+
+    line = F.concat(F.when(F.col("p_partkey") % 4 == 0, "#").otherwise(""), F.col("p_partkey").cast("string"), F.lit("\t"), F.col("p_brand"))
+    path = _files(b, b.table("part").select(line.alias("value")), "headerless")
+    return tables.headerless(b.spark, path, T.StructType([T.StructField("key", T.LongType()), T.StructField("brand", T.StringType())]))
+
+
+# rules of the leakage gate
+
+
+@query("SELECT DISTINCT 'C' || c_custkey AS pair_key, e AS entity_id, t AS target_id FROM (SELECT c_custkey, unnest([c_nationkey::VARCHAR, (c_custkey % 5)::VARCHAR, c_nationkey::VARCHAR]) AS e, CASE WHEN c_custkey % 7 = 0 THEN [] ELSE [c_mktsegment, 'x'] END AS ts FROM customer), unnest(ts) AS u(t)")
+def expanded_mappings(b: Binding) -> DataFrame:
+    """Every combination of listed identifiers, with repeats, blanks and empty lists among them."""
+    k = F.col("c_custkey").cast("string")
+    entities = F.concat_ws(" ;", F.col("c_nationkey").cast("string"), (F.col("c_custkey") % 5).cast("string"), F.lit(""), F.col("c_nationkey").cast("string"))
+    targets = F.when(F.col("c_custkey") % 7 == 0, " ; ").otherwise(F.concat_ws(";", "c_mktsegment", F.lit(" x ")))
+    return gate.expand_mappings(b.table("customer").select(F.concat(F.lit("C"), k).alias("pair_key"), entities.alias("e"), targets.alias("t")), "e", "t")
+
+
+@query("SELECT pair_key, status FROM aud WHERE (pair_key < 'N05' AND status <> 'no_activity_found_in_validated_chembl31_entity_pair') OR (pair_key >= 'N05' AND NOT CASE status WHEN 'historical_activity_recorded_in_chembl31' THEN activity_rows > 0 AND validated_count > 0 WHEN 'no_activity_found_in_validated_chembl31_entity_pair' THEN activity_rows = 0 AND validated_count > 0 ELSE activity_rows = 0 AND validated_count = 0 END)", _LEAK)
+def gate_count_faults(b: Binding) -> DataFrame:
+    """Pairs whose counts contradict their status, in an audit of which some statuses are spoiled."""
+    spoiled = _leak(b)
+    wrong = F.when(F.col("pair_key") < "N05", F.lit(list(gate.STATUSES)[1])).otherwise(F.col("status"))
+    found = gate.gate_faults(spoiled.withColumn("_was", F.col("status")).withColumn("status", wrong))
+    return found.select("pair_key", F.col("_was").alias("status"))
+
+
+# guards of what may be written
+
+
+@query("SELECT 'label' AS place, 'see ABCDEFGHIJKLMN-OPQRSTUVWX-N in ' || p_name AS found, count(*) AS n FROM part WHERE p_partkey % 50 = 0 GROUP BY ALL")
+def identifying_values(b: Binding) -> DataFrame:
+    """Texts of an aggregate table that hold an identifier."""
+    from quillrank.sources import sinks
+
+    label = F.when(F.col("p_partkey") % 50 == 0, F.concat(F.lit("see ABCDEFGHIJKLMN-OPQRSTUVWX-N in "), "p_name")).otherwise(F.col("p_name"))
+    found = contracts.identifying(b.table("part").select("p_partkey", label.alias("label")), sinks.FORBIDDEN, sinks.IDENTIFIER)
+    return found.groupBy(F.col("column").alias("place"), F.col("value").alias("found")).agg(F.count("*").alias("n"))
