@@ -419,6 +419,19 @@ def paired_contrasts_of_four(b: Binding) -> DataFrame:
     return diffs.groupBy("scope", "left", "right").agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.count_if(d > 0).alias("better"), F.count_if(d < 0).alias("worse"))
 
 
+_DRAWN = _FOUR + f""",
+lm AS (SELECT scope, baseline, query, metric, v FROM (UNPIVOT (SELECT scope, baseline, query, recall, ndcg, mrr FROM pq4) ON recall, ndcg, mrr INTO NAME metric VALUE v)),
+lx AS (SELECT *, row_number() OVER (PARTITION BY scope, baseline, metric ORDER BY query) - 1 AS pick, count(*) OVER (PARTITION BY scope, baseline, metric) AS n FROM lm),
+ld AS (SELECT n, rep, CAST('0x' || substr(md5('20260719|' || rep || '|' || slot), 1, 8) AS BIGINT) % n AS pick, count(*) AS times FROM (SELECT n, rep, unnest(range(1, n + 1)) AS slot FROM (SELECT DISTINCT n FROM lx) CROSS JOIN range(1, 10001) r(rep)) GROUP BY ALL),
+lr AS (SELECT scope, baseline, metric, rep, sum(v * times) / any_value(n) AS m FROM ld JOIN lx USING (n, pick) GROUP BY ALL)"""
+
+
+@query("SELECT scope, baseline, metric, n, mean, low, high, CASE WHEN n = 1 THEN 'n=1_descriptive_only' ELSE 'estimated' END AS status FROM (SELECT scope, baseline, metric, count(*) AS n, avg(v) AS mean FROM lx GROUP BY ALL) JOIN (SELECT scope, baseline, metric, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM lr GROUP BY ALL) USING (scope, baseline, metric)", _DRAWN, ("mean", "low", "high"))
+def bootstrap_metrics_of_four(b: Binding) -> DataFrame:
+    """Intervals of all three metrics of all four baselines, with the same draws, in one pass."""
+    return resample.metric_intervals(metrics.per_query(b.relevant_of_four, K), ["recall", "ndcg", "mrr"], ["scope", "baseline"], "query")
+
+
 @query('SELECT baseline, query, score, "start", "end", size FROM (SELECT baseline, query, score, min(rank) AS "start", max(rank) AS "end", count(*) AS size FROM led4 GROUP BY ALL) WHERE size > 1', _FOUR, ("score",))
 def tie_runs_four_baselines(b: Binding) -> DataFrame:
     """Runs of more than one, by the ranks of the ledger of four."""

@@ -3,6 +3,7 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +208,47 @@ def test_bootstraps(spark):
     assert resample.cluster_intervals(one_cluster, ["scope"], "unit", "top", "bottom", 20).first().status == "not_estimable"
 
 
+def _plain_draws(n, replicates, seed):
+    from hashlib import md5
+
+    return [[int(md5(f"{seed}|{r}|{k}".encode()).hexdigest()[:8], 16) % n for k in range(1, n + 1)] for r in range(1, replicates + 1)]
+
+
+def test_replicates_as_weights(spark, monkeypatch):
+    """Against plain draws: groups of the same and of other sizes over several blocks and parts, nulls, a null key, one unit, no units."""
+    monkeypatch.setattr(resample, "UNITS", 16)
+    monkeypatch.setattr(resample, "PART", 7)
+    rows = [(g, i, (i * 37 % 11) / 7 if i % 5 else None, float(i % 3)) for g, n in (("a", 50), ("b", 50), (None, 33), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i int, x double, y double")
+    got = {(r.g, r.metric): r for r in resample.metric_intervals(df, ["x", "y"], ["g"], "i", 20, 5).collect()}
+    assert len(got) == 8
+    for g in ("a", "b", None, "c"):
+        for k, m in ((2, "x"), (3, "y")):
+            v = np.array([r[k] or 0.0 for r in rows if r[0] == g])
+            means = [v[d].mean() for d in _plain_draws(len(v), 20, 5)]
+            r = got[g, m]
+            assert (r.n, r.status) == (len(v), "estimated" if len(v) > 1 else "n=1_descriptive_only")
+            assert [r.mean, r.low, r.high] == pytest.approx([v.mean(), *np.quantile(means, resample.LEVELS)])
+    assert resample.metric_intervals(df.where("false"), ["x"], ["g"], "i", 20).count() == 0
+    ratio = resample.cluster_intervals(df.where("g = 'a'"), ["g"], "i", "x", "y", 20, 5).first()
+    x, y = (np.array([r[k] or 0.0 for r in rows if r[0] == "a"]) for k in (2, 3))
+    assert [ratio.mean, ratio.low, ratio.high] == pytest.approx([x.sum() / y.sum(), *np.quantile([x[d].sum() / y[d].sum() for d in _plain_draws(50, 20, 5)], resample.LEVELS)])
+    nothing = resample.cluster_intervals(df.where("g = 'a'").withColumn("y", F.lit(0)), ["g"], "i", "x", "y", 20).first()
+    assert (nothing.clusters, nothing.mean, nothing.low) == (50, None, None)
+
+
+def test_pcg64_intervals_against_numpy(spark):
+    from quillrank.functions.scalars import derived_seed
+
+    v = {b: [(i * k % 13) / 13 for i in range(30)] for b, k in (("x", 5), ("y", 7))}
+    m = spark.createDataFrame([("s", b, f"q{i:02}", x) for b, xs in v.items() for i, x in enumerate(xs)], "scope string, baseline string, query string, recall double")
+    got = {r.baseline: r for r in resample.query_intervals(m, ["recall"], 700, 3).collect()}
+    draw = np.random.Generator(np.random.PCG64(derived_seed(3, "s")))
+    index = np.concatenate([draw.integers(0, 30, size=(k, 30)) for k in (500, 200)])
+    for b, xs in v.items():
+        assert [got[b].mean, got[b].low, got[b].high] == pytest.approx([np.mean(xs), *np.quantile(np.array(xs)[index].mean(axis=1), (0.025, 0.975))])
+
+
 def test_gate_and_plug_ins(spark):
     pairs = spark.createDataFrame([("a", "1;2; ", "x"), ("b", "", "x")], "pair_key string, e string, t string")
     assert {tuple(r) for r in gate.expand_mappings(pairs, "e", "t").collect()} == {("a", "1", "x"), ("a", "2", "x")}
