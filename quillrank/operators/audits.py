@@ -116,6 +116,21 @@ def first_hits(relevant: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.groupBy("baseline", "query").agg(F.min_by(F.struct("target", "rank", "score", "size"), "rank").alias("_r")).select("baseline", "query", "_r.*")
 
 
+def attribution_sums(relevant: DataFrame, blocks: DataFrame, by: list[str]) -> DataFrame:
+    """Relations by score and tie (three kinds), queries by those of their first hit (four kinds), and what the kinds leave of either total.
+
+    relevant: baseline, query, rank, score and by; blocks: runs of equal scores with size. A zero score that is not tied
+    belongs to no kind of relation, so relation_gap counts such; a first hit of that sort is first_other.
+    """
+    kind = F.when(F.col("size") > 1, F.when(F.col("score") == 0, "zero_tied").otherwise("positive_tied")).when(F.col("score") > 0, "positive_unique").otherwise("other")
+    rows = relevant.join(blocks.select("baseline", "query", "score", "size"), ["baseline", "query", "score"]).withColumn("_k", kind)
+    names = ("zero_tied", "positive_tied", "positive_unique")
+    per_query = rows.groupBy(*dict.fromkeys([*by, "baseline", "query"])).agg(F.count("*").alias("_n"), F.min_by("_k", "rank").alias("_first"), *(F.count_if(F.col("_k") == n).alias(f"_{n}") for n in names))
+    out = per_query.groupBy(*by).agg(F.sum("_n").alias("relations"), F.count("*").alias("queries"), *(F.sum(f"_{n}").alias(n) for n in names), *(F.count_if(F.col("_first") == n).alias(f"first_{n}") for n in (*names, "other")))
+    gap = lambda total, parts: F.col(total) - sum((F.col(c) for c in parts), F.lit(0))
+    return out.withColumns({"relation_gap": gap("relations", names), "query_gap": gap("queries", [f"first_{n}" for n in (*names, "other")])})
+
+
 def cohort_summary(df: DataFrame, by: str, measures: list[str], flags: list[str]) -> DataFrame:
     """Long table of counts and shares of flags and of distributions of measures per cohort: by, measure, statistic, value."""
     q = lambda m: F.percentile(m, F.array(*map(F.lit, QUARTILES)))

@@ -24,6 +24,16 @@ def per_query(relevant: DataFrame, k: int, by: list[str] | None = None) -> DataF
     return sums.withColumns({"recall": F.col("hits") / F.col("relevant"), "ndcg": F.col("_dcg") / ideal_dcg(F.col("relevant"), k)}).drop("_dcg")
 
 
+def at_depths(relevant: DataFrame, depths: tuple[int, ...] = (10, 50), by: list[str] | None = None) -> DataFrame:
+    """Recall and NDCG at several depths and the reciprocal rank per query, in one aggregate: relevant, mrr, then recall_k and ndcg_k for each depth k."""
+    hit = {k: F.col("rank") <= k for k in depths}
+    counts = [F.count_if(c).alias(f"_h{k}") for k, c in hit.items()]
+    gains = [F.coalesce(F.sum(F.when(c, S.discount(F.col("rank")))), F.lit(0.0)).alias(f"_d{k}") for k, c in hit.items()]
+    sums = relevant.groupBy(*(by or BY)).agg(F.count("*").alias("relevant"), (1 / F.min("rank")).alias("mrr"), *counts, *gains)
+    made = {f"recall_{k}": F.col(f"_h{k}") / F.col("relevant") for k in depths} | {f"ndcg_{k}": F.col(f"_d{k}") / ideal_dcg(F.col("relevant"), k) for k in depths}
+    return sums.select(*(by or BY), "relevant", "mrr", *(c.alias(n) for n, c in made.items()))
+
+
 def macro(metrics: DataFrame, by: list[str], names: tuple[str, ...] = ("recall", "ndcg", "mrr")) -> DataFrame:
     return metrics.groupBy(*by).agg(F.count("*").alias("queries"), *(F.avg(n).alias(n) for n in names), *(F.count_if(F.col(n) == 0).alias(f"zero_{n}") for n in names))
 

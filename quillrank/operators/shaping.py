@@ -48,3 +48,12 @@ def unique_row(df: DataFrame, **criteria) -> DataFrame:
 def closure_gap(total: int, removed: list[int], left: int) -> int:
     """What a flow of counts loses; 0 when it closes."""
     return total - sum(removed) - left
+
+
+def disagreeing(a: DataFrame, b: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Keys of which two tables give different denominators, or that one of them lacks: keys, item, left, right. Nulls agree with nulls."""
+    side = lambda df, x: df.select(*keys, *(F.col(n).cast("double").alias(f"_{x}_{n}") for n in names), F.lit(True).alias(f"_{x}"))
+    both = side(a, "l").join(side(b, "r"), keys, "full_outer")
+    cells = F.array(*(F.struct(F.lit(n).alias("item"), F.col(f"_l_{n}").alias("left"), F.col(f"_r_{n}").alias("right")) for n in names))
+    out = both.select(*keys, (F.col("_l").isNull() | F.col("_r").isNull()).alias("_alone"), F.explode(cells).alias("_c")).select(*keys, "_alone", "_c.*")
+    return out.where(F.col("_alone") | ~F.col("left").eqNullSafe(F.col("right"))).drop("_alone")

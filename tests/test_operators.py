@@ -373,3 +373,34 @@ def test_order_statistics_by_counts(spark):
     counts = spark.createDataFrame([(g, k) for g in "xy" for k in ([1] * 300 + [5, 5, 9, 40] if g == "x" else [3])], "g string, v long")
     a, b = ({r.g: r for r in f(counts, ["g"], "v").collect()} for f in (audits.concentration, audits.concentration_by_counts))
     assert all(math.isclose(a[g][c], b[g][c], rel_tol=1e-12, abs_tol=1e-12) for g in "xy" for c in ("sources", "total", "hhi", "gini", "effective", "top1", "top5", "top10", "top1pct"))
+
+
+def test_metrics_at_depths_are_those_of_each_depth(spark):
+    rows = [("b", "s", f"q{q}", f"t{q}-{r}", r) for q, ranks in enumerate([(1, 2, 60), (11, 12), (50, 51), (10,), (999,)]) for r in ranks]
+    relevant = spark.createDataFrame(rows, "baseline string, scope string, query string, target string, rank int")
+    many = {r.query: r for r in metrics.at_depths(relevant, (10, 50)).collect()}
+    for k in (10, 50):
+        for r in metrics.per_query(relevant, k).collect():
+            got = many[r.query]
+            assert (got.relevant, got.mrr, got[f"recall_{k}"]) == (r.relevant, r.mrr, r.recall) and got[f"ndcg_{k}"] == pytest.approx(r.ndcg, abs=1e-12)
+    assert many["q3"].recall_10 == 1 and many["q1"].recall_10 == 0 and many["q2"].recall_50 == 0.5
+    assert metrics.at_depths(relevant.where("false")).collect() == []
+
+
+def test_attribution_sums_count_what_the_kinds_leave(spark):
+    kinds = "baseline string, scope string, query string, target string, rank int, score double"
+    # scores of q1: 0.9 once, 0.5 twice, 0 twice; of q2: 0.4 once, 0 once (a zero that is not tied)
+    relevant = spark.createDataFrame([("b", "s", "q1", "t1", 1, 0.9), ("b", "s", "q1", "t2", 2, 0.5), ("b", "s", "q1", "t4", 4, 0.0), ("b", "s", "q2", "t9", 2, 0.0), ("b", "u", "q1", "t4", 4, 0.0)], kinds)
+    blocks = spark.createDataFrame([("b", "q1", 0.9, 1), ("b", "q1", 0.5, 2), ("b", "q1", 0.0, 2), ("b", "q2", 0.4, 1), ("b", "q2", 0.0, 1)], "baseline string, query string, score double, size bigint")
+    got = {r.scope: r.asDict() for r in audits.attribution_sums(relevant, blocks, ["baseline", "scope"]).collect()}
+    assert got["s"] == {"baseline": "b", "scope": "s", "relations": 4, "queries": 2, "zero_tied": 1, "positive_tied": 1, "positive_unique": 1, "first_zero_tied": 0, "first_positive_tied": 0, "first_positive_unique": 1, "first_other": 1, "relation_gap": 1, "query_gap": 0}
+    assert (got["u"]["first_zero_tied"], got["u"]["relation_gap"], got["u"]["zero_tied"]) == (1, 0, 1)
+    assert audits.attribution_sums(relevant.where("false"), blocks, ["baseline", "scope"]).collect() == []
+
+
+def test_denominators_that_disagree(spark):
+    a = spark.createDataFrame([("x", 1, 2), ("y", 3, 4), ("z", None, 5), ("gone", 0, None)], "k string, n bigint, m bigint")
+    b = spark.createDataFrame([("x", 1, 2), ("y", 3, 5), ("z", None, 5), ("new", 7, 8)], "k string, n bigint, m bigint")
+    got = {tuple(r) for r in shaping.disagreeing(a, b, ["k"], ["n", "m"]).collect()}
+    assert got == {("y", "m", 4.0, 5.0), ("gone", "n", 0.0, None), ("gone", "m", None, None), ("new", "n", None, 7.0), ("new", "m", None, 8.0)}
+    assert shaping.disagreeing(a, a, ["k"], ["n", "m"]).collect() == []

@@ -8,7 +8,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["scalar_partial_date_parse", "evidence_tiers", "pair_decision", "metrics_macro", "connected_components", "gini_hhi", "joint_coldness"]
+NAMES = ["scalar_partial_date_parse", "evidence_tiers", "pair_decision", "metrics_macro", "connected_components", "gini_hhi", "joint_coldness", "table_flow", "table_attribution", "table_denominator_faults"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -16,8 +16,9 @@ NAMES = ["scalar_partial_date_parse", "evidence_tiers", "pair_decision", "metric
 def test_against_sql(spark, name):
     import duckdb
 
-    from quillrank.plans import catalog
+    from quillrank.plans import catalog, reports
 
+    assert reports.query is catalog.query  # its tables are in the catalogue too
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
