@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -105,22 +106,38 @@ def verification(name: Column) -> Column:
     return F.struct(either(LEVELS).alias("level"), F.lit(False).alias("reviewed"), either(ROLES).alias("role"), F.lit(False).alias("promoted"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once a row, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def partial_date(c: Column) -> Column:
     """Struct of value (as precise as the text) and precision: day, month, year, missing or unparseable.
 
-    The month is a word after the year, the day a number after the month; a day that the month lacks is no day.
+    The month is a word after the year, the day a number after the month; a day that the month lacks is no day. Each
+    pattern is matched once a row.
     """
     text = F.trim(F.coalesce(c, F.lit("")))
-    year = F.nullif(F.regexp_extract(text, r"\b((?:19|20)\d{2})\b", 1), F.lit(""))
-    after_year = F.regexp_extract(text, r"\b(?:19|20)\d{2}\b(.*)$", 1)
-    word = F.lower(F.substring(F.regexp_extract(after_year, r"\b([A-Za-z]{3,9})\b", 1), 1, 3))
-    month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), word), F.lit(0))
-    day = F.nullif(F.regexp_extract(F.regexp_extract(after_year, r"\b[A-Za-z]{3,9}\b(.*)$", 1), r"\b([0-2]?\d|3[01])\b", 1), F.lit(""))
-    to_month = F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"))
-    whole = F.try_to_date(F.concat_ws("-", to_month, F.lpad(day, 2, "0")), "yyyy-MM-dd")
-    case = lambda d, m, y, none, bad: F.when(text == "", none).when(year.isNull(), bad).when(month.isNull(), y).when(day.isNull() | whole.isNull(), m).otherwise(d)
-    value = case(F.date_format(whole, "yyyy-MM-dd"), to_month, year, F.lit(""), F.lit(""))
-    return F.struct(value.alias("value"), case(*map(F.lit, ("day", "month", "year", "missing", "unparseable"))).alias("precision"))
+    found = lambda t, pattern: F.nullif(F.regexp_extract(t, pattern, 1), F.lit(""))
+
+    def parted(t: Column) -> Column:
+        return F.struct(t.alias("text"), found(t, r"\b((?:19|20)\d{2})\b").alias("year"), F.regexp_extract(t, r"\b(?:19|20)\d{2}\b(.*)$", 1).alias("rest"))
+
+    def named(p: Column) -> Column:
+        word = F.lower(F.substring(F.regexp_extract(p["rest"], r"\b([A-Za-z]{3,9})\b", 1), 1, 3))
+        month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), word), F.lit(0))
+        day = found(F.regexp_extract(p["rest"], r"\b[A-Za-z]{3,9}\b(.*)$", 1), r"\b([0-2]?\d|3[01])\b")
+        return F.struct(p["text"].alias("text"), p["year"].alias("year"), F.concat_ws("-", p["year"], F.lpad(month.cast("string"), 2, "0")).alias("to_month"), month.isNotNull().alias("has_month"), day.alias("day"))
+
+    def whole(p: Column) -> Column:
+        return F.struct(p["text"].alias("text"), p["year"].alias("year"), p["to_month"].alias("to_month"), p["has_month"].alias("has_month"), F.when(p["has_month"] & p["day"].isNotNull(), F.try_to_date(F.concat_ws("-", p["to_month"], F.lpad(p["day"], 2, "0")), "yyyy-MM-dd")).alias("whole"))
+
+    def result(p: Column) -> Column:
+        case = lambda d, m, y, none, bad: F.when(p["text"] == "", none).when(p["year"].isNull(), bad).when(~p["has_month"], y).when(p["whole"].isNull(), m).otherwise(d)
+        value = case(F.date_format(p["whole"], "yyyy-MM-dd"), p["to_month"], p["year"], F.lit(""), F.lit(""))
+        return F.struct(value.alias("value"), case(*map(F.lit, ("day", "month", "year", "missing", "unparseable"))).alias("precision"))
+
+    return _once(_once(_once(_once(text, parted), named), whole), result)
 
 
 def first_usable_date(sources: dict[str, Column]) -> Column:

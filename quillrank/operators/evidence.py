@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from quillrank.functions import scalars as S
 from quillrank.operators import temporal
 
-# Rank of tiers, best first; statuses and decisions.
+# Rank of tiers, best first; statuses, reasons against a date and decisions.
 BEST = list(S.TIERS)
 STRICT_MAPPING = "strict_one_to_one_reviewed_human"
+REASONS = ("v2_primary_pmid_after_cutoff", "v2_primary_pmid_missing_or_not_day_precise", "v2_primary_reference_not_pmid")
 DECISIONS = ("strict_pre_cutoff_training_candidate", "strict_post_cutoff_future_candidate", "historical_snapshot_candidate_not_date_verified_for_training", "excluded_from_strict_temporal_pair_tables")
 RATIONALES = ("at_least_one_primary_A_or_B_P1_record_has_day_precise_PMID_on_or_before_cutoff", "absent_from_v2_and_all_v3_records_are_v3_only_PMID_screened_future_candidates", "v2_snapshot_primary_candidate_retained_separately_until_record_level_PubMed_dates_are_archived", "does_not_meet_all_primary_evidence_entity_and_temporal_conditions")
 
@@ -60,8 +61,8 @@ def one_to_one(rows: DataFrame, source: str, entry: str, reviewed: Column, taxon
     return sets.select(source, F.when(n == 1, F.col("entries")[0]).otherwise("").alias("canonical"), status.alias("mapping_status"), "mapping_row_count", n.cast("long").alias("mapping_entry_count"))
 
 
-def _state_columns(versions: tuple[str, str]) -> dict[str, Column]:
-    """Aggregates of a pair's rows: version, tier, is_primary, is_strict, pre_cutoff_status."""
+def _state_counts(versions: tuple[str, str]) -> dict[str, Column]:
+    """Counts of a pair's rows: version, is_primary, is_strict, pre_cutoff_status."""
     old, _ = versions
     v = lambda name: F.col("version") == name
     strict = F.col("is_primary") & F.col("is_strict")
@@ -69,8 +70,17 @@ def _state_columns(versions: tuple[str, str]) -> dict[str, Column]:
     for name in versions:
         counts |= {f"{name}_all": v(name), f"{name}_primary": v(name) & F.col("is_primary"), f"{name}_strict": v(name) & strict}
     counts[f"{old}_pre_cutoff"] = v(old) & strict & (F.col("pre_cutoff_status") == "pre_cutoff")
-    sets = {"versions": F.col("version"), "primary_tiers": F.when(F.col("is_primary"), F.col("tier")), "date_reasons": F.when(v(old) & strict & (F.col("pre_cutoff_status") != "pre_cutoff"), F.col("pre_cutoff_status"))}
-    return {n: F.count_if(c) for n, c in counts.items()} | {n: F.array_sort(F.collect_set(c)) for n, c in sets.items()}
+    return {n: F.count_if(c) for n, c in counts.items()}
+
+
+def _state_values(versions: tuple[str, str]) -> dict[str, Column]:
+    """What the sets of a pair hold: version, tier, and why a row has no usable date; null where a row adds nothing."""
+    open_ = (F.col("version") == versions[0]) & F.col("is_primary") & F.col("is_strict") & (F.col("pre_cutoff_status") != "pre_cutoff")
+    return {"versions": F.col("version"), "primary_tiers": F.when(F.col("is_primary"), F.col("tier")), "date_reasons": F.when(open_, F.col("pre_cutoff_status"))}
+
+
+def _state_columns(versions: tuple[str, str]) -> dict[str, Column]:
+    return _state_counts(versions) | {n: F.array_sort(F.collect_set(c)) for n, c in _state_values(versions).items()}
 
 
 def pair_states(rows: DataFrame, versions: tuple[str, str] = ("v2", "v3")) -> DataFrame:
@@ -81,13 +91,20 @@ def pair_states(rows: DataFrame, versions: tuple[str, str] = ("v2", "v3")) -> Da
 
 
 def pair_states_at_once(rows: DataFrame, cutoff: Column, versions: tuple[str, str] = ("v2", "v3")) -> DataFrame:
-    """The same from rows without the two statuses (but with ref_kind, ref, precision, published): both belong to a pair, so one aggregate of its rows gives them."""
+    """The same from rows without the two statuses (but with ref_kind, ref, precision, published): both belong to a pair, so one aggregate of its rows gives them.
+
+    Sets are made of one flag for each value they may hold (the two versions, the tiers, the reasons), so all sums are of
+    fixed width and no set is gathered; other values are not listed.
+    """
     old, new = versions
-    sums = rows.groupBy("pair_key", "entity", "target").agg(*(c.alias(n) for n, c in _state_columns(versions).items()), *temporal.screen_sums(F.col("version") == new))
+    known = {"versions": sorted(versions), "primary_tiers": sorted(S.TIERS), "date_reasons": sorted(REASONS)}
+    flags = [F.bool_or(c == x).alias(f"_{n}_{k}") for n, c in _state_values(versions).items() for k, x in enumerate(known[n])]
+    sums = rows.groupBy("pair_key", "entity", "target").agg(*(c.alias(n) for n, c in _state_counts(versions).items()), *flags, *temporal.screen_sums(F.col("version") == new))
+    sets = {n: F.array_compact(F.array(*(F.when(F.col(f"_{n}_{k}"), x) for k, x in enumerate(values)))) for n, values in known.items()}
     cross = F.when((F.col(f"{old}_all") > 0) & (F.col(f"{new}_all") > 0), "shared").otherwise(f"{new}_only")
     held = lambda c: F.when(F.col(f"{new}_all") > 0, F.array(c)).otherwise(F.array().cast("array<string>"))
-    out = sums.withColumns({"cross_statuses": held(cross), "screen_statuses": held(temporal.screen_status(cutoff))})
-    return out.select("pair_key", "entity", "target", *_state_columns(versions), "cross_statuses", "screen_statuses")
+    out = sums.withColumns(sets | {"cross_statuses": held(cross), "screen_statuses": held(temporal.screen_status(cutoff))})
+    return out.select("pair_key", "entity", "target", *_state_counts(versions), *sets, "cross_statuses", "screen_statuses")
 
 
 def pair_decisions(states: DataFrame) -> DataFrame:

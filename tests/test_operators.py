@@ -404,3 +404,17 @@ def test_denominators_that_disagree(spark):
     got = {tuple(r) for r in shaping.disagreeing(a, b, ["k"], ["n", "m"]).collect()}
     assert got == {("y", "m", 4.0, 5.0), ("gone", "n", 0.0, None), ("gone", "m", None, None), ("new", "n", None, 7.0), ("new", "m", None, 8.0)}
     assert shaping.disagreeing(a, a, ["k"], ["n", "m"]).collect() == []
+
+
+def test_pair_states_by_flags_are_those_by_sets(spark):
+    tiers = list(S.TIERS)
+    rows = [
+        (("v2", "v3")[i % 2], f"p{i % 5}", "e", f"t{i % 5}", tiers[i % 5 if i % 4 else 0], i % 3 != 0, i % 4 != 1, ("PMID", "DOI")[i % 7 == 6], str(i), ("day", "month")[i % 6 == 5], f"20{10 + i % 10}-01-02") for i in range(60)
+    ] + [("v2", "only old", "e", "t", tiers[1], True, True, "DOI", "x", "missing", None), ("v3", "only new", "e", "t", tiers[4], False, False, "PMID", "8", "day", "2019-03-04")]
+    kinds = "version string, pair_key string, entity string, target string, tier string, is_primary boolean, is_strict boolean, ref_kind string, ref string, precision string, day string"
+    cutoff = F.lit("2015-06-30").cast("date")
+    df = spark.createDataFrame(rows, kinds).withColumn("published", F.when(F.col("precision") == "day", F.to_date("day"))).drop("day")
+    df = df.withColumn("pre_cutoff_status", temporal.pre_cutoff_status(F.col("ref_kind"), F.col("ref"), F.col("precision"), F.col("published"), cutoff))
+    given = df.join(evidence.version_membership(df).select("pair_key", "cross_version_status"), "pair_key").join(temporal.pair_screen(df.where("version = 'v3'"), cutoff).select("pair_key", "temporal_screen_status"), "pair_key", "left")
+    want, got = evidence.pair_states(given), evidence.pair_states_at_once(df, cutoff)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and got.count() == 7
