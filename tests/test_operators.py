@@ -418,3 +418,31 @@ def test_pair_states_by_flags_are_those_by_sets(spark):
     given = df.join(evidence.version_membership(df).select("pair_key", "cross_version_status"), "pair_key").join(temporal.pair_screen(df.where("version = 'v3'"), cutoff).select("pair_key", "temporal_screen_status"), "pair_key", "left")
     want, got = evidence.pair_states(given), evidence.pair_states_at_once(df, cutoff)
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and got.count() == 7
+
+
+def test_ledger_joins_and_shuffles_no_product(spark, capsys):
+    """Popularity, transfer from entities and the mask are found beside a target: one exchange of the product, by query, and no join that sorts it."""
+    from quillrank.operators import scoring
+
+    h = spark.createDataFrame([("a", "t1", 1.0), ("a", "t2", 0.7), ("b", "t1", 0.7)], "entity string, target string, weight double")
+    q, t = spark.createDataFrame([("a",), ("b",), ("new",)], "query string"), spark.createDataFrame([("t1",), ("t2",), ("t3",)], "target string")
+    sims = spark.createDataFrame([("a", "a", 1.0), ("a", "b", 0.5), ("b", "a", 0.5), ("b", "b", 1.0)], "query string, entity string, similarity double")
+    led = scoring.ledger(h, q, t, "s", (scoring.POPULARITY, scoring.FINGERPRINT), entity_similarity=sims)
+    got = {(r.baseline == scoring.POPULARITY, r.query, r.target): r.score for r in led.collect()}
+    assert {k[1:]: v for k, v in got.items() if k[0]} == {("a", "t3"): 0.0, ("b", "t2"): 0.7, ("b", "t3"): 0.0, ("new", "t1"): 1.7, ("new", "t2"): 0.7, ("new", "t3"): 0.0}
+    assert {k[1:]: v for k, v in got.items() if not k[0]} == {("a", "t3"): 0.0, ("b", "t2"): 0.35, ("b", "t3"): 0.0, ("new", "t1"): 0.0, ("new", "t2"): 0.0, ("new", "t3"): 0.0}
+    led.explain()
+    plan = capsys.readouterr().out
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert exchanges and "LeftAnti" not in plan
+    assert not [line for line in exchanges if "baseline#" in line.split("),")[0] or {"query", "target"} <= set(line.split("(", 1)[1].replace("#", ",").replace(" ", "").split(","))]
+
+
+def test_number_of_a_text_is_parsed_once(spark):
+    from quillrank.functions import scalars as S
+
+    texts = [" 5\n", "\t1_0.5e1 ", "1__0", "nan", "1e999", "0x1p3", "5d", "", None, "5 ", "-.5"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    assert [r.x for r in df.select(S.finite(F.col("t")).alias("x")).collect()] == [5.0, 105.0, None, None, None, None, None, None, None, None, -0.5]
+    plan = df.select(S.tier(F.lit("="), F.lit("Ki"), F.col("t"), F.lit("nM")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1
