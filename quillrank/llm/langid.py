@@ -15,8 +15,10 @@ point; repeated rows get equal rows; other columns are ignored, whatever their n
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -298,8 +300,29 @@ def train(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> Model:
     """The model of at most ``sample`` documents of each language among those learnable."""
     kept = docs.select("doc_id", "text", "lang").where(learnable & F.col("lang").isNotNull() & (F.trim("text") != ""))
     ids = sampled_ids(kept, ["lang"], sample).select("doc_id", "lang").distinct()
-    rows = kept.join(F.broadcast(ids), ["doc_id", "lang"]).select("text", "lang").distinct().collect()
-    return fit([(r.text, r.lang) for r in rows])
+    rows = kept.join(F.broadcast(ids), ["doc_id", "lang"]).select("text", "lang").distinct()
+    ship(docs.sparkSession)
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [row for batch in batches for row in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True)]
+        yield pa.record_batch([pa.array([packed(fit(held))], pa.binary())], names=["model"])
+
+    # One task fits the bounded set, so that neither its texts nor the fit's arrays are in the driver's memory; the driver gets the model.
+    found = rows.repartition(1).mapInArrow(tidy(learned), "model binary").collect()
+    return unpacked(bytes(found[0].model)) if found else fit([])
+
+
+def packed(model: Model) -> bytes:
+    """A model in bytes, without the weights of features that training never met: they are 0."""
+    met = np.flatnonzero(model.seen).astype(np.int32)
+    return zlib.compress(pickle.dumps((model.languages, met, model.weights[met], model.moves, model.start, model.lexicons)), 1)
+
+
+def unpacked(data: bytes) -> Model:
+    languages, met, some, moves, start, lexicons = pickle.loads(zlib.decompress(data))
+    weights, seen = np.zeros((DIMS, len(languages)), some.dtype), np.zeros(DIMS, bool)
+    weights[met], seen[met] = some, True
+    return Model(languages, weights, moves, start, lexicons, seen)
 
 
 def _labeller(held, token: str) -> Labeller:

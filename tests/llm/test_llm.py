@@ -758,3 +758,18 @@ def test_pipeline_against_brute_force(spark, corpus, tmp_path):
             before += n
             want += copies * brute_pieces(r[0], r[1])
     assert got == sorted(want)
+
+
+def test_language_fit_runs_in_a_task(spark, monkeypatch):
+    """The field is fitted where no driver memory is used, and comes back as it was fitted."""
+    import os
+
+    words = {"x": "alpha beta gamma delta", "y": "uno dos tres cuatro"}
+    rows = [(i, f"{words[lang]} {i}", lang) for i, lang in enumerate("xyxyxyxy")]
+    want = langid.fit([(text, lang) for _, text, lang in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.train(docs, F.lit(True))
+    assert got.languages == want.languages and got.lexicons == want.lexicons and (got.seen == want.seen).all()
+    assert got.weights.dtype == want.weights.dtype and np.allclose(got.weights, want.weights) and np.allclose(got.moves, want.moves) and np.allclose(got.start, want.start)
+    monkeypatch.setattr(langid, "fit", lambda rows: langid.Model((str(os.getpid()),), np.zeros((langid.DIMS, 1)), np.zeros((1, 1)), np.zeros(1), (frozenset(),), np.zeros(langid.DIMS, bool)))
+    assert langid.train(docs, F.lit(True)).languages != (str(os.getpid()),)
