@@ -446,3 +446,14 @@ def test_number_of_a_text_is_parsed_once(spark):
     assert [r.x for r in df.select(S.finite(F.col("t")).alias("x")).collect()] == [5.0, 105.0, None, None, None, None, None, None, None, None, -0.5]
     plan = df.select(S.tier(F.lit("="), F.lit("Ki"), F.col("t"), F.lit("nM")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") == 1
+
+
+def test_two_ledgers_are_aligned_without_a_join_of_products(spark, capsys):
+    h = spark.createDataFrame([("a", "t1", 1.0), ("b", "t1", 0.7), ("c", "t2", 0.7), ("b", "t2", 0.7)], "entity string, target string, weight double")
+    q, t = spark.createDataFrame([("a",), ("new",)], "query string"), spark.createDataFrame([("t1",), ("t2",), ("t3",)], "target string")
+    both = scoring.aligned(h, q, t, "s", scoring.POPULARITY, scoring.ENTITIES)
+    one, other = scoring.ledger(h, q, t, "s", (scoring.POPULARITY,)), scoring.ledger(h.withColumn("weight", F.lit(1.0)), q, t, "s", (scoring.POPULARITY,))
+    want = ranking.aligned(one, other, ["query", "target"])
+    assert both.columns == want.columns and sorted(map(tuple, both.collect())) == sorted(map(tuple, want.collect()))
+    both.explain()
+    assert "FullOuter" not in capsys.readouterr().out
