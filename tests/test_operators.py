@@ -457,3 +457,18 @@ def test_two_ledgers_are_aligned_without_a_join_of_products(spark, capsys):
     assert both.columns == want.columns and sorted(map(tuple, both.collect())) == sorted(map(tuple, want.collect()))
     both.explain()
     assert "FullOuter" not in capsys.readouterr().out
+
+
+def test_texts_are_read_once_each(spark):
+    """What texts alone decide is found for each distinct combination, nulls among them, and joined: rows are not parsed."""
+    from quillrank.functions import scalars as S
+    from quillrank.operators import evidence
+
+    rows = [("=", "Ki", "5", "nM"), ("=", "Ki", "5", "nM"), (None, "Ki", "5", "nM"), ("=", None, None, "nM"), ("<", "IC50", "7", "uM")] * 3
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, relation string, endpoint string, value string, unit string")
+    texts = ["relation", "endpoint", "value", "unit"]
+    found = S.tier(*map(F.col, texts))
+    got = evidence.by_text(df, texts, found)
+    want = df.select("*", found.alias("_t")).select("*", "_t.*").drop("_t")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "RLIKE" not in got._jdf.queryExecution().optimizedPlan().toString()
