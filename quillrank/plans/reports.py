@@ -69,7 +69,7 @@ _DEPTH = REL + f",\npd AS (SELECT baseline, scope, query, count(*) AS relevant,
 @query("SELECT baseline, scope, sum(relevant)::BIGINT AS relations, count(*) AS queries, " + ", ".join(f"avg({c}) AS {c}, count(*) FILTER ({c} = 0) AS zero_{c}" for c in _CELLS) + " FROM pd GROUP BY ALL", _DEPTH, _CELLS)
 def table_metrics_at_depths(b: Binding) -> DataFrame:
     """Means and zero results of recall and NDCG at both depths and of the reciprocal rank; one aggregate of the relevant rows serves all."""
-    per = metrics.at_depths(b.relevant, DEPTHS)
+    per = metrics.at_depths(b.leading(max(DEPTHS)), DEPTHS)
     return per.groupBy("baseline", "scope").agg(F.sum("relevant").alias("relations"), F.count("*").alias("queries"), *(x for c in _CELLS for x in (F.avg(c).alias(c), F.count_if(F.col(c) == 0).alias(f"zero_{c}"))))
 
 
@@ -90,7 +90,7 @@ _SHARES = ("salted_recall", "expected_recall", "worst_recall", "best_recall")
 @query("SELECT *, CASE WHEN queries_with_hit = 0 THEN 1 - power(0.05, 1.0 / queries) END AS upper_bound, CASE WHEN subset = 'structural_all_zero' THEN 'non_operational_uniform_tie_allocation' WHEN tie_dependent > 0 THEN 'tie_dependent' ELSE 'score_identifiable' END AS result_class FROM cs0 JOIN ci USING (subset, scope, baseline)", _CORRECTED, (*_SHARES, "low", "high", "upper_bound"))
 def table_corrected(b: Binding) -> DataFrame:
     """Recall as salted and as ties allow, with intervals of its expectation, over all queries, those with a score above zero and the others."""
-    operable = b.scores.groupBy("baseline", "query").agg((F.max("score") > 0).alias("operable"))
+    operable = b.blocks.groupBy("baseline", "query").agg((F.max("score") > 0).alias("operable"))
     salted = metrics.per_query(b.relevant, K).select(*metrics.BY, F.col("recall").alias("salted_recall"), "hits")
     rows = _tied(b).join(salted, metrics.BY).join(operable, ["baseline", "query"])
     rows = rows.withColumn("subset", F.explode(F.array(F.lit("all_queries"), F.when(F.col("operable"), "operable").otherwise("structural_all_zero"))))
@@ -113,13 +113,13 @@ att AS (SELECT * FROM (SELECT baseline, scope, count(*) AS relations, count(*) F
 @query("SELECT baseline, scope, relations, queries, zero_tied, positive_tied, positive_unique, first_zero_tied, first_positive_tied, first_positive_unique, first_other, relation_gap, query_gap FROM att", _KINDS)
 def table_attribution(b: Binding) -> DataFrame:
     """Relations in three kinds and first hits in four, with what the kinds leave of the denominators."""
-    return audits.attribution_sums(b.relevant, ranking.tie_blocks(b.scores), ["baseline", "scope"])
+    return audits.attribution_sums(b.relevant, b.blocks, ["baseline", "scope"])
 
 
 @query("SELECT baseline, scope, item, \"left\", \"right\" FROM (SELECT baseline, scope, unnest([{'item': 'relations', 'left': r, 'right': x}, {'item': 'queries', 'left': q, 'right': y}], recursive := true) FROM (SELECT baseline, scope, count(*)::DOUBLE AS r, count(DISTINCT query)::DOUBLE AS q FROM rel GROUP BY ALL) FULL JOIN (SELECT baseline, scope, count(*)::DOUBLE AS x, count(DISTINCT query)::DOUBLE AS y FROM rk WHERE scope <> 'joint_0.70' AND NOT (scope = 'scaffold_cold' AND kind = 'positive_unique') AND NOT (scope = 'joint_0.30' AND query < 'N02') GROUP BY ALL) USING (baseline, scope)) WHERE \"left\" IS DISTINCT FROM \"right\"", _KINDS)
 def table_denominator_faults(b: Binding) -> DataFrame:
     """Denominators of the metrics against those of an attribution that was spoiled: it lacks one scope, some queries of another and some relations of a third."""
-    blocks = ranking.tie_blocks(b.scores)
+    blocks = b.blocks
     odd = b.relevant.join(blocks.where((F.col("size") == 1) & (F.col("score") > 0)).select("baseline", "query", "score"), ["baseline", "query", "score"], "left_semi").where("scope = 'scaffold_cold'")
     kept = b.relevant.where("scope <> 'joint_0.70' AND NOT (scope = 'joint_0.30' AND query < 'N02')").join(odd.select("baseline", "scope", "query", "target"), ["baseline", "scope", "query", "target"], "left_anti")
     by = ["baseline", "scope"]
@@ -141,4 +141,4 @@ def figure_policy_matrix(b: Binding) -> DataFrame:
 @query(f"SELECT baseline, scope, {_DIST} FROM (SELECT baseline, scope, rank AS value FROM rel) GROUP BY ALL", REL, _DIST_D)
 def figure_rank_boxes(b: Binding) -> DataFrame:
     """Five numbers and mean of the ranks of relevant targets, by selection from counted values."""
-    return audits.order_statistics(b.relevant.select("baseline", "scope", "rank"), ["baseline", "scope"], "rank").drop("upper_median")
+    return audits.order_statistics(b.relevant_ranks.select("baseline", "scope", "rank"), ["baseline", "scope"], "rank").drop("upper_median")

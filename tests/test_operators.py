@@ -472,3 +472,37 @@ def test_texts_are_read_once_each(spark):
     want = df.select("*", found.alias("_t")).select("*", "_t.*").drop("_t")
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "RLIKE" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_leading_ranks_are_the_ledgers_without_it(spark):
+    """Counts of scores, relevant scores and leading ranks, against the full ledger; only cells that reach the limit are ranked."""
+    import random
+
+    from quillrank.operators import metrics, ranking, scoring
+
+    rng, k = random.Random(5), 3
+    entities, targets = [f"e{i}" for i in range(6)], [f"t{i:02d}" for i in range(40)]
+    pairs = {(e, t): rng.choice([1.0, 0.7]) for e in entities[:5] for t in targets[:30] if rng.random() < 0.3}
+    h = spark.createDataFrame([(e, t, w) for (e, t), w in pairs.items()], "entity string, target string, weight double")
+    q, t = spark.createDataFrame([(e,) for e in entities], "query string"), spark.createDataFrame([(x,) for x in targets], "target string")
+    sims = spark.createDataFrame([(a, b, 1.0 if a == b else round(rng.random(), 2)) for a in entities[:5] for b in entities[:4]], "query string, entity string, similarity double")
+    wanted = spark.createDataFrame([(s, e, x) for s in ("wide", "narrow") for e in entities for x in targets if (e, x) not in pairs and rng.random() < (0.2 if s == "wide" else 0.03)], "scope string, query string, target string")
+    names = (scoring.POPULARITY, scoring.FINGERPRINT)
+    led = scoring.ledger(h, q, t, "s", names, entity_similarity=sims).cache()
+    u = scoring.Universe(h, q, t, wanted, sims)
+    both = lambda f: f(names[0]).withColumn("baseline", F.lit(names[0])).unionByName(f(names[1]).withColumn("baseline", F.lit(names[1])))
+    blocks = ranking.counted_blocks(both(u.counts))
+    assert sorted(map(str, blocks.select("baseline", "query", "score", "start", "end", "size").collect())) == sorted(map(str, ranking.tie_blocks(led).select("baseline", "query", "score", "start", "end", "size").collect()))
+    relevant = wanted.join(both(u.asked), ["query", "target"]).select("baseline", "scope", "query", "target", "score")
+    full = wanted.join(led, ["query", "target"]).select("baseline", "scope", "query", "target", "score", "rank")
+    limits = ranking.leading_limits(relevant, blocks, k, ["scope"])
+    above = both(lambda n: u.above(n, limits.where(F.col("baseline") == n).select("query", "limit")))
+    got = ranking.leading_ranks(relevant, blocks, above, "s")
+    assert sorted(map(str, metrics.per_query(got, k).collect())) == sorted(map(str, metrics.per_query(full, k).collect()))
+    true = {tuple(r[:4]): r.rank for r in full.collect()}
+    assert {tuple(r[:4]) for r in got.select(full.columns[:4]).collect()} == set(true)
+    assert all(r.rank == true[r[:4]] or k < r.rank <= true[r[:4]] for r in got.select(*full.columns).collect())
+    assert above.count() < led.count()
+    found = scoring.score_fingerprint(h, q, sims)
+    plain = sims.join(h, "entity").groupBy("query", "target").agg(F.max(F.col("similarity") * F.col("weight")).alias("score"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.select(found.columns).collect()))
