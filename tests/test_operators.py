@@ -506,3 +506,23 @@ def test_leading_ranks_are_the_ledgers_without_it(spark):
     found = scoring.score_fingerprint(h, q, sims)
     plain = sims.join(h, "entity").groupBy("query", "target").agg(F.max(F.col("similarity") * F.col("weight")).alias("score"))
     assert sorted(map(str, found.collect())) == sorted(map(str, plain.select(found.columns).collect()))
+
+
+def test_leaders_by_popularity_need_no_product(spark):
+    """Recall and first ranks under several policies are those of the full ranking; the plan has no product of queries and targets."""
+    import random
+
+    from quillrank.operators import metrics, ranking, scoring
+
+    rng, k = random.Random(8), 2
+    qs, ts = [f"q{i}" for i in range(4)], [f"t{i:02d}" for i in range(25)]
+    own = sorted({(p, e, t) for p in ("a", "b") for e in qs[:3] for t in ts[:20] if rng.random() < 0.35})
+    h = spark.createDataFrame([(*x, rng.choice([1.0, 0.7])) for x in own], "policy string, entity string, target string, weight double")
+    q, t = spark.createDataFrame([(x,) for x in qs], "query string"), spark.createDataFrame([(x,) for x in ts], "target string")
+    asked = spark.createDataFrame([(x, y) for x in qs for y in ts if rng.random() < 0.3], "query string, target string")
+    got = scoring.popularity_leaders(h, q, t, asked, "s", "policy", k)
+    grid = q.crossJoin(t).crossJoin(h.select("policy").distinct()).join(h.select("policy", F.col("entity").alias("query"), "target"), ["policy", "query", "target"], "left_anti")
+    scores = grid.join(h.groupBy("policy", "target").agg(F.sum("weight").alias("_s")), ["policy", "target"], "left").withColumn("score", F.round(F.coalesce("_s", F.lit(0.0)), 9))
+    want = asked.join(ranking.ranked(scores, "s", ["policy", "query"]), ["query", "target"])
+    per = lambda df: sorted(map(str, metrics.per_query(df, k, ["policy", "query"]).collect()))
+    assert per(got) == per(want) and got.count() == want.count()
