@@ -56,3 +56,12 @@ def test_pcg64_bootstrap_draws_as_many_replicates_as_the_reference(monkeypatch):
     catalog.bootstrap_pcg64(SimpleNamespace(relevant=None))
     asked[0].apply_defaults()
     assert asked[0].arguments["replicates"] == 10_000
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_policy_effects_rank_no_ledger(spark, monkeypatch):
+    """Effects of a policy need leading ranks alone: neither ledger, a product of queries and targets, is made."""
+    from quillrank.plans import binding, catalog
+
+    monkeypatch.setattr(binding.Binding, "ledger", lambda *a, **k: pytest.fail("a full ledger is ranked"))
+    assert catalog.QUERIES["policy_effect_split"](spark, SF).count() == 5
