@@ -526,3 +526,52 @@ def test_leaders_by_popularity_need_no_product(spark):
     want = asked.join(ranking.ranked(scores, "s", ["policy", "query"]), ["query", "target"])
     per = lambda df: sorted(map(str, metrics.per_query(df, k, ["policy", "query"]).collect()))
     assert per(got) == per(want) and got.count() == want.count()
+
+
+def test_ranks_by_ties_are_those_of_the_windows(spark, monkeypatch):
+    """One sort by ties numbers both baselines as the windows do, over targets in several tasks; relevant cells alone have the same ranks."""
+    import random
+
+    from quillrank.operators import ranking, scoring
+
+    rng = random.Random(11)
+    entities, targets = [f"e{i}" for i in range(5)], [f"t{i:02d}" for i in range(60)]
+    pairs = {(e, t): rng.choice([1.0, 0.7]) for e in entities[:4] for t in targets[:40] if rng.random() < 0.3}
+    h = spark.createDataFrame([(e, t, w) for (e, t), w in pairs.items()], "entity string, target string, weight double")
+    q, t = spark.createDataFrame([(e,) for e in entities[1:]], "query string"), spark.createDataFrame([(x,) for x in targets], "target string")
+    sims = spark.createDataFrame([(a, b, 1.0 if a == b else 0.5) for a in entities for b in entities[:3]], "query string, entity string, similarity double")
+    wanted = spark.createDataFrame([(e, x) for e in entities for x in targets if (e, x) not in pairs and rng.random() < 0.2], "query string, target string")
+    names = (scoring.POPULARITY, scoring.FINGERPRINT)
+    led = scoring.ledger(h, q, t, "s", names, entity_similarity=sims)
+    u = scoring.Universe(h, q, t, wanted, sims)
+    assert u.rows.rdd.getNumPartitions() > 1  # small rows, large product
+    blocks = ranking.tie_blocks(led)
+    got = u.ledger(blocks, "s")
+    assert got.columns == led.columns and sorted(map(str, got.collect())) == sorted(map(str, led.collect()))
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    few = led.join(wanted, ["query", "target"], "left_semi").select(led.columns)
+    assert sorted(map(str, u.ledger(blocks, "s", asked=True).collect())) == sorted(map(str, few.collect()))
+
+
+def test_runs_of_ranks_need_no_join_and_cross_stretches(spark, monkeypatch):
+    """A run that goes over a border of stretches is one; a rank that comes twice begins twice; the ledger is read once."""
+    from quillrank.operators import ranking
+
+    monkeypatch.setattr(ranking, "STRETCH", 3)
+    rows = [("b", "q", 1.0, r) for r in (1, 2, 3, 4, 5, 6, 7)] + [("b", "q", 0.5, r) for r in (8, 10, 11, 12, 12)] + [("b", "p", 0.5, r) for r in (2, 2, 3)]
+    runs = ranking.tie_runs(spark.createDataFrame(rows, "baseline string, query string, score double, rank int"))
+    assert sorted(map(tuple, runs.collect())) == [("b", "p", 0.5, 2, 2, 3, 3), ("b", "q", 0.5, 2, 8, 12, 5), ("b", "q", 1.0, 1, 1, 7, 7)]
+    assert "Join" not in runs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rank_faults_of_large_ranks_and_differences_beside(spark):
+    """Squares whose sum is above 64 bits stay exact, and two ranks in one row are told apart without a join."""
+    from quillrank.operators import audits, contracts
+
+    rows = [("b", "q", r) for r in (1, 3_000_000_000, 2_147_483_647, 2_147_483_646)]
+    led = spark.createDataFrame(rows, "baseline string, query string, rank long")
+    got = contracts.rank_faults(led, ["baseline", "query"]).first()
+    assert (int(got.s1), int(got.s2)) == (sum(r[2] for r in rows), sum(r[2] ** 2 for r in rows))
+    both = spark.createDataFrame([(1, 1), (2, 3), (4, None), (None, None)], "a int, b int")
+    told = audits.rank_differences_beside(both, "a", "b")
+    assert told.count() == 2 and "Join" not in told._jdf.queryExecution().optimizedPlan().toString()
