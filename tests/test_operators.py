@@ -508,6 +508,45 @@ def test_leading_ranks_are_the_ledgers_without_it(spark):
     assert sorted(map(str, found.collect())) == sorted(map(str, plain.select(found.columns).collect()))
 
 
+def test_universe_meets_both_baselines_in_one_pass(spark, monkeypatch):
+    """Runs, relevant cells and leaders of both baselines against the full ledger, from rows made beside their targets; a task sends each score of a query once, and a weight of 0 makes no NaN of a missing similarity."""
+    import random
+
+    from quillrank.operators import ranking, scoring
+
+    monkeypatch.setattr(scoring, "TARGETS_AT_ONCE", 4)
+    rng, names = random.Random(11), (scoring.POPULARITY, scoring.FINGERPRINT)
+    entities, targets = [f"e{i}" for i in range(6)], [(f"t{i:02d}", i) for i in range(40)]
+    pairs = [(e, x, rng.choice([1.0, 0.7, 0.0, None]), rng.choice(["A", None])) for e in entities[:5] for x, _ in targets[:30] if rng.random() < 0.4]
+    p = spark.createDataFrame([(e, x, w, None if w is not None else g) for e, x, w, g in pairs], "entity string, target string, weight double, grade string")
+    h, wanted = p.where("weight IS NOT NULL").select("entity", "target", "weight"), p.where("grade IS NOT NULL").select(F.col("entity").alias("query"), "target", "grade")
+    q, t = spark.createDataFrame([(e,) for e in entities], "query string"), spark.createDataFrame(targets, "target string, size int")
+    sims = spark.createDataFrame([(a, b, 1.0 if a == b else round(rng.random(), 1)) for a in entities[:5] for b in entities[:4] if a == b or rng.random() < 0.6], "query string, entity string, similarity double")
+    led = scoring.ledger(h, q, t, "s", names, entity_similarity=sims).cache()
+    given = scoring.Universe(h, q, t, wanted, sims)
+    raw = scoring._transferred(given.rows.coalesce(1), sims, q, "counts")
+    assert raw.count() == raw.drop("size").distinct().count()
+    assert raw.where("isnan(score)").count() == 0
+    u = scoring.Universe(h, q, t, wanted, sims, t.join(scoring.Universe.beside(p, F.col("weight"), F.col("grade")), "target", "left"), ("size",))
+    texts = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+    run = ("baseline", "query", "score", "start", "end", "size")
+    blocks = ranking.counted_blocks(u.runs())
+    assert texts(blocks, *run) == texts(ranking.tie_blocks(led), *run)
+    asked = scoring._long(u.both_asked(), names, "grade", "size")
+    cell = ("baseline", "query", "target", "score", "grade", "size")
+    want = wanted.join(led, ["query", "target"]).join(t, "target")
+    assert wanted.count() and texts(asked, *cell) == texts(want, *cell)
+    limits = ranking.leading_limits(asked, blocks, 3, [])
+    limits = spark.createDataFrame(limits.collect(), limits.schema)
+    above = u.both_above(limits)
+    assert texts(above, *cell[:4]) == texts(led.join(limits, ["baseline", "query"]).where("score >= limit"), *cell[:4])
+    assert above._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = ranking.leading_ranks(asked, blocks, above, "s", limits=limits)
+    assert texts(got, *cell) == texts(want, *cell)
+    true = {r[:3]: r.rank for r in want.select(*cell[:3], "rank").collect()}
+    assert all(r.rank == true[r[:3]] or 3 < r.rank <= true[r[:3]] for r in got.select(*cell[:3], "rank").collect())
+
+
 def test_leaders_by_popularity_need_no_product(spark):
     """Recall and first ranks under several policies are those of the full ranking; the plan has no product of queries and targets."""
     import random
