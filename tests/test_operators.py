@@ -614,3 +614,39 @@ def test_rank_faults_of_large_ranks_and_differences_beside(spark):
     both = spark.createDataFrame([(1, 1), (2, 3), (4, None), (None, None)], "a int, b int")
     told = audits.rank_differences_beside(both, "a", "b")
     assert told.count() == 2 and "Join" not in told._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_further_baselines_need_no_product(spark):
+    """Scores that hang on a target's text lie beside the two others: runs, leaders and ledger of all four are those of the full product, and of a run that all cells share few are ranked."""
+    import random
+
+    from quillrank.operators import metrics, ranking, scoring
+
+    rng, k = random.Random(13), 3
+    names = (scoring.POPULARITY, scoring.FINGERPRINT, scoring.SEQUENCE, scoring.PAIR)
+    entities, targets = [f"e{i}" for i in range(4)], [(f"t{i:03d}", f"n{i % 5}" if i % 11 else None) for i in range(600)]
+    pairs = {(e, t): rng.choice([1.0, 0.7]) for e in entities[:3] for t, _ in targets[:400] if rng.random() < 0.1}
+    h = spark.createDataFrame([(e, t, w) for (e, t), w in pairs.items()], "entity string, target string, weight double")
+    q, t = spark.createDataFrame([(e,) for e in entities], "query string"), spark.createDataFrame(targets, "target string, text string")
+    sims = spark.createDataFrame([(a, b, 1.0 if a == b else 0.5) for a in entities for b in entities[:3]], "query string, entity string, similarity double")
+    wanted = spark.createDataFrame([(s, e, x) for s in ("wide", "narrow") for e in entities for x, _ in targets if (e, x) not in pairs and rng.random() < (0.1 if s == "wide" else 0.01)], "scope string, query string, target string")
+    flat = spark.createDataFrame([(e, f"n{i}", 1.0) for e in entities[:3] for i in range(5)], "query string, text string, score double")
+    some = spark.createDataFrame([(e, f"n{i}", rng.random()) for e in entities[1:] for i in range(3)], "query string, text string, score double")
+    by_target = lambda df: t.join(df, "text").select("query", "target", "score")
+    led = ranking.ranked(scoring.candidates(h, q, t, "s", names, {scoring.SEQUENCE: by_target(flat), scoring.PAIR: by_target(some)}, entity_similarity=sims).drop("_tie"), "s").cache()
+    u = scoring.Universe(h, q, t, wanted, sims, t.join(scoring.Universe(h, q, t, wanted, sims).rows, "target"), ("text",))
+    u.scored_by("text", {scoring.SEQUENCE: flat, scoring.PAIR: some})
+    texts = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+    run, cell = ("baseline", "query", "score", "start", "end", "size"), ("baseline", "query", "target", "score", "rank", "eligible")
+    blocks = ranking.counted_blocks(u.runs()).cache()
+    assert u.names == names and texts(blocks, *run) == texts(ranking.tie_blocks(led), *run)
+    assert texts(u.ledger(blocks, "s"), *cell) == texts(led, *cell)
+    cells = scoring._long(u.both_asked(), names).dropDuplicates()
+    relevant = wanted.join(cells, ["query", "target"])
+    limits = ranking.tie_limits(relevant, blocks, ranking.leading_limits(relevant, blocks, k, ["scope"]), k, ["scope"], "s")
+    limits = spark.createDataFrame(limits.collect(), limits.schema)
+    above, plain = u.both_above(limits, "s"), u.both_above(limits)
+    assert 2 * above.count() < plain.count() < led.count()
+    got = wanted.join(ranking.leading_ranks(cells, blocks, above, "s", limits=limits), ["query", "target"])
+    full = wanted.join(led, ["query", "target"])
+    assert got.count() == full.count() and texts(metrics.per_query(got, k), *metrics.BY, "relevant", "hits", "mrr", "recall", "ndcg") == texts(metrics.per_query(full, k), *metrics.BY, "relevant", "hits", "mrr", "recall", "ndcg")
