@@ -650,3 +650,17 @@ def test_further_baselines_need_no_product(spark):
     got = wanted.join(ranking.leading_ranks(cells, blocks, above, "s", limits=limits), ["query", "target"])
     full = wanted.join(led, ["query", "target"])
     assert got.count() == full.count() and texts(metrics.per_query(got, k), *metrics.BY, "relevant", "hits", "mrr", "recall", "ndcg") == texts(metrics.per_query(full, k), *metrics.BY, "relevant", "hits", "mrr", "recall", "ndcg")
+
+
+def test_ranks_in_ranges_deal_the_rows_once(spark, monkeypatch):
+    """Rows that can be made twice are not written before they are sampled, and meet what is ahead of their range without a second exchange."""
+    from quillrank.operators import graph
+
+    names, write = [], graph.shared
+    monkeypatch.setattr(graph, "shared", lambda df, name: names.append(name) or write(df, name))
+    grid = spark.range(3000).select(F.lit("b").alias("baseline"), F.lit("q").alias("query"), F.format_string("t%06d", "id").alias("target"), (F.col("id") % 7).cast("double").alias("score"))
+    got, want = ranking.ranked_in_ranges(grid, "salt", parts=8, once=False), ranking.ranked(grid, "salt")
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert names == ["rank-ranges", "rank-ahead"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
