@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import coded_words, steps, tidy, written
+from quillrank.llm.common import coded_words, release, steps, tidy, written
 from quillrank.shipping import ship
 
 #: Words of a shingle; two texts link when 100 * intersection >= PERCENT * union.
@@ -251,10 +251,13 @@ def survivors(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     lists = min(max(LISTS, 4 * width), 1 << 24)  # as many more as there are more partitions
-    counted = _dealt(docs, lists).repartition(width, "list").mapInArrow(tidy(_counted), PACKED)
+    # written, so that the exchange of all shingles is gone before the others are filled
+    counted = written(_dealt(docs, lists).repartition(width, "list").mapInArrow(tidy(_counted), PACKED), "ngram-counted", free=True)
     texts = counted.repartition(width, "step").mapInArrow(tidy(_assembled), "fp binary, n int, shared int, prefix int, tokens array<long>")
     once = texts.dropDuplicates(["fp"])  # copies of a text in other steps
-    return written(once.withColumn("grp", F.md5(F.concat_ws(",", "n", F.expr("slice(tokens, 1, prefix)").cast("string")).cast("binary"))), "ngram-texts", free=True)
+    out = written(once.withColumn("grp", F.md5(F.concat_ws(",", "n", F.expr("slice(tokens, 1, prefix)").cast("string")).cast("binary"))), "ngram-texts", free=True)
+    release(counted)
+    return out
 
 
 def links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -268,17 +271,19 @@ def links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """node and root (the smallest node of its component), of the nodes of edges (a, b).
 
-    Each round takes the smallest label around and then the label's own label; written each round, for lineage.
+    Each round takes the smallest label around and then the label's own label; written each round, for lineage. Labels of the round before and edges go when they are used up.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ngram-edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "ngram-labels")
+    held = labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "ngram-labels")
     for _ in range(limit):
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
         least = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "m").alias("next"), F.col("root").alias("was"))
         jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
         new = written(least.join(jump, "next").select("node", F.least("next", "far").alias("root"), (F.least("next", "far") != F.col("was")).alias("moved")), "ngram-labels")
-        labels = new.select("node", "root")
+        release(held)
+        held, labels = new, new.select("node", "root")
         if not new.where("moved").take(1):
+            release(both)
             return labels
     raise RuntimeError(f"components did not settle in {limit} rounds")
 

@@ -773,3 +773,24 @@ def test_language_fit_runs_in_a_task(spark, monkeypatch):
     assert got.weights.dtype == want.weights.dtype and np.allclose(got.weights, want.weights) and np.allclose(got.moves, want.moves) and np.allclose(got.start, want.start)
     monkeypatch.setattr(langid, "fit", lambda rows: langid.Model((str(os.getpid()),), np.zeros((langid.DIMS, 1)), np.zeros((1, 1)), np.zeros(1), (frozenset(),), np.zeros(langid.DIMS, bool)))
     assert langid.train(docs, F.lit(True)).languages != (str(os.getpid()),)
+
+
+def test_ngram_join_leaves_no_used_up_tables(spark, corpus, monkeypatch):
+    """The exchange of all shingles ends at a table of the shared ones; that one, edges and labels of rounds that are over are deleted."""
+    import os
+
+    made, write = [], ngramjoin.written
+
+    def kept(df, name, free=False):
+        made.append(out := write(df, name, free))
+        return out
+
+    monkeypatch.setattr(ngramjoin, "written", kept)
+    texts = ngramjoin.survivors(documents(spark, corpus))
+    counted = next(x for x in made if "/ngram-counted-" in x._quillrank_path)
+    assert not os.path.exists(counted._quillrank_path.removeprefix("file:")) and "ngram-counted" not in texts._jdf.queryExecution().toString()
+    chain = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(40)], "a string, b string")
+    made.clear()
+    labels = ngramjoin.components(chain)
+    assert {r.root for r in labels.collect()} == {"n00"} and len(made) > 3
+    assert [os.path.exists(x._quillrank_path.removeprefix("file:")) for x in made] == [False] * (len(made) - 1) + [True]
