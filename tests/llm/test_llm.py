@@ -794,3 +794,24 @@ def test_ngram_join_leaves_no_used_up_tables(spark, corpus, monkeypatch):
     labels = ngramjoin.components(chain)
     assert {r.root for r in labels.collect()} == {"n00"} and len(made) > 3
     assert [os.path.exists(x._quillrank_path.removeprefix("file:")) for x in made] == [False] * (len(made) - 1) + [True]
+
+
+def test_language_field_learns_from_every_document(spark):
+    """Words that only documents beyond the start have are learned too, and what every task changed is averaged; limits come from all held-out documents."""
+    draw = random.Random(3)
+    rows = [(i, made(draw, lang, 40), lang) for i in range(90) for lang in ("aa", "bb")]
+    rare = [(1000 + i, " ".join(draw.choice(["quux", "zyzzy", "wyrd"]) for _ in range(30)), "bb") for i in range(30)]
+    docs = spark.createDataFrame(rows + rare, "doc_id long, text string, lang string").repartition(3).cache()
+    start = langid.fit([r[1:] for r in rows[:40]])
+    model = langid.learned_from_all(start, docs, 1.0)
+    cells = langid.features(["zyzzy"], start.lexicons)[0]
+    assert not start.seen[cells].all() and model.seen[cells].all() and (model.weights[cells, 1] > model.weights[cells, 0]).mean() > 0.9
+    again = langid.learned_from_all(start, docs, 1.0)
+    assert (again.weights == model.weights).all() and (again.moves == model.moves).all()
+    lead = lambda m: [w[1] - w[0] for w in langid.Labeller(m)._emissions(["quux", "zyzzy", "wyrd"])]
+    assert all(x > y + 0.3 for x, y in zip(lead(model), lead(start), strict=True))
+    assert langid.Labeller(model).label([r[1] for r in rows])[0] == [r[2] for r in rows]
+    all_, few = langid.train(docs, F.lit(True)), langid.train(docs, F.lit(True), sample=20)
+    assert all_.seen[cells].all() and few.seen[cells].mean() > 0.9
+    odd = docs.where("doc_id < 1000").unionByName(spark.createDataFrame([(5000, "\u0431\u0432\u0433 " * 40, "bb")], docs.schema))
+    assert langid.calibrate(odd, start, sample=90).least[1] < langid.calibrate(docs.where("doc_id < 1000"), start, sample=90).least[1]
